@@ -98,6 +98,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     while large:
         n = large[-1]
         at = bisect_left(large, capacity - n + 1) - 1
+        if at >= 0 and large[at] == n and left[n] == 1:
+            at -= 1  # it can't pair with itself
         mate = large[at] if at >= 0 else 0
         if not mate:
             put(n, left[n], opened, 1, 0)
@@ -105,15 +107,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
             opened += left.pop(n)
             large.pop()
         elif mate == n:
-            twos, one = divmod(left.pop(n), 2)
-            if twos:
-                put(n, 2 * twos, opened, 2, 0)
-                leave(capacity - 2 * n, opened, twos)
-            if one:
-                put(n, 1, opened + twos, 1, 0)
-                leave(capacity - n, opened + twos, 1)
-            opened += twos + one
-            large.pop()
+            twos = left[n] // 2
+            put(n, 2 * twos, opened, 2, 0)
+            leave(capacity - 2 * n, opened, twos)
+            opened += twos
+            left[n] -= 2 * twos
+            if not left[n]:
+                del left[n]
+                large.pop()
         else:
             both = min(left[n], left[mate])
             put(n, both, opened, 1, 0)

@@ -31,9 +31,10 @@ from gridwell.session import scratch_path
 
 MAGIC = b"TIDBLK01"
 END_ID = 2
-#: Documents from whose ids the dictionary is trained, those of the smallest hashes.
-SAMPLE_DOCS = 2000
-SAMPLE_BYTES = 8192
+#: The dictionary is trained from the whole ids of these documents, those of the
+#: smallest hashes, or of as many of them as give so many bytes.
+SAMPLE_DOCS = 1000
+SAMPLE_BYTES = 6 << 20
 DICTIONARY_BYTES = 65536
 BLOCK_BYTES = 8 << 20
 LEVEL = 3
@@ -81,11 +82,16 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = source.where("text is not null").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", F.length("text")).alias("h"))
+    picked = source.where("text is not null").select("doc_id", F.xxhash64("doc_id", F.length("text")).alias("h"), F.length("text").alias("n"))
     enc = encoder(vocabulary, False)
     width = _width(enc)
-    taken = [_stored(enc.encode(r["text"]), width) for r in picked.orderBy("h").limit(SAMPLE_DOCS).toLocalIterator()]
-    data = _dictionary([x for x in taken if x])
+    chosen, total = [], 0
+    for r in picked.orderBy("h").limit(SAMPLE_DOCS).collect():
+        if total < SAMPLE_BYTES and r["doc_id"] is not None:
+            chosen.append(r["doc_id"])
+            total += r["n"]
+    texts = source.where("text is not null").where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
+    data = _dictionary([x for r in texts.collect() if (x := _stored(enc.encode(r["text"]), width))])
     digest = hashlib.sha256(data).digest()
     shared = spark.sparkContext.broadcast(data)
     end = int(end_id).to_bytes(4, "little")
