@@ -8,17 +8,22 @@
    sketch alike; the first ``INDEX`` hashes that are not hot are indexed, so that
    no list is longer than ``HOT`` and passages that very many documents share
    make no pairs.
-4. Documents whose sketch is mostly hot belong to large families of near copies.
-   Within each hot list they are compared with the list's leader, whom most
-   match; the few that no leader took are joined with their whole lists, and only
-   pairs whose sketches agree leave the join. No list is expanded into pairs, and
-   none is cut.
+4. Documents with over three fifths of their sketch hot belong to large families of
+   near copies. (Of others at least two fifths are cold, and a partner shares some of
+   that: at the threshold, if all differences are cold, still 0.31.)
+   Within each hot list they are compared with the list's leader, the document
+   with the most hot hashes, which is the least edited one and matches most; the few
+   that no leader took are joined with their whole lists, but for those that links
+   have brought together, and only pairs whose sketches agree leave the join, each
+   from one list. No list is expanded into pairs, and none is cut.
 5. The sketch of the union estimates each candidate's similarity; candidates far
    below the threshold go. The rest is confirmed on full sets, read from the texts.
 6. Confirmed links are closed to components.
 
 A pair at the threshold shares none of 24 indexed hashes with a probability of
-about 1e-12, and is estimated below ``PASS`` with one of about 1e-7.
+about 1e-12, none of 12 with one of about 1e-7, and is estimated below ``PASS`` with
+one of about 1e-7. Where two fifths are cold and all differences of a pair exactly at
+the threshold are too, it is missed with a probability of about 1e-4.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from gridwell.session import written
 
 SKETCH = 64
 INDEX = 24
+FAMILY = 12
 HOT = 32
 PASS = 0.45
 LEADER_ROUNDS = 2
@@ -96,23 +102,26 @@ def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
             "n",
             "sketch",
             F.slice("cold", 1, INDEX).alias("indexed"),
-            F.when(3 * F.size("cold") < 2 * F.size("sketch"), F.array_intersect(F.slice("sketch", 1, INDEX), "hot")).alias("family"),
+            F.when(5 * F.size("cold") < 2 * F.size("sketch"), F.array_intersect(F.slice("sketch", 1, FAMILY), "hot")).alias("family"),
+            F.size("hot").alias("heat"),
+            ((F.size("cold") >= INDEX) & (3 * F.size("cold") >= 2 * F.size("sketch"))).alias("full"),
         ),
         "ranked",
     )
     links = spark.createDataFrame([], "src long, dst long")
     cold = _estimated(_overlaps(ranked), ranked)
-    family = ranked.where("family is not null").select("id", F.explode("family").alias("h"))
+    family = ranked.where("family is not null").select("id", "heat", F.explode("family").alias("h"))
     left = written(family, "family")
     all_lists = left
     led = None
     for _ in range(LEADER_ROUNDS):
-        leaders = left.groupBy("h").agg(F.min("id").alias("leader"))
-        pairs = left.join(leaders, "h").where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        leaders = left.groupBy("h").agg(F.max(F.struct("heat", (-F.col("id")).alias("id"))).alias("top")).select("h", (-F.col("top.id")).alias("leader"))
+        led_by = left.join(leaders, "h")
+        pairs = led_by.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         found = _confirmed(_estimated(pairs, ranked), source)
         links = written(links.union(found), "links")
-        led = leaders.join(links, leaders["leader"] == links["src"]).select("h", F.col("dst").alias("id"))
-        led = led.union(leaders.select("h", F.col("leader").alias("id"))).distinct()
+        taken = found.select(F.col("src").alias("leader"), F.col("dst").alias("id"))
+        led = led_by.join(taken, ["leader", "id"]).select("h", "id").union(leaders.select("h", F.col("leader").alias("id"))).distinct()
         left = written(left.join(led, ["h", "id"], "left_anti"), "family")
     links = written(links.union(_confirmed(cold, source)), "links")
     rest = _unled(left, all_lists, ranked, links)
@@ -122,9 +131,10 @@ def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
 def _overlaps(ranked: DataFrame) -> DataFrame:
     """Pairs (a, b) that share indexed hashes, from lists of at most ``HOT`` vertices.
 
-    Vertices with a full index must share three hashes, smaller ones a single one.
+    Vertices with a full index and mostly cold sketches must share three hashes, others
+    a single one.
     """
-    item = F.struct("id", "n", (F.size("indexed") >= INDEX).alias("full"))
+    item = F.struct("id", "n", "full")
     lists = (
         ranked.select(item.alias("x"), F.explode("indexed").alias("h"))
         .groupBy("h")
@@ -164,7 +174,7 @@ def _unled(left: DataFrame, lists: DataFrame, ranked: DataFrame, links: DataFram
     met = connected_components(links)
     part = (
         ranked.where("family is not null")
-        .select("id", "n", "sketch", "family")
+        .select("id", "n", "sketch")
         .join(met, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
@@ -172,7 +182,9 @@ def _unled(left: DataFrame, lists: DataFrame, ranked: DataFrame, links: DataFram
     x = some.join(part, "id").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"))
     y = lists.join(part, "id").select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"))
     apart = (F.col("ca") != F.col("cb")) & _near_in_size(F.col("na"), F.col("nb"))
-    return x.join(y, "h").where(apart & _alike("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # sketches are sorted, so a pair leaves from the list of its first common hash
+    once = F.element_at(F.array_intersect("sa", "sb"), 1) == F.col("h")
+    return x.join(y, "h").where(apart & once & _alike("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, source: DataFrame) -> DataFrame:
