@@ -1,0 +1 @@
+"""Streams: the operators here are batch only, as clusters depend on all points."""
