@@ -128,9 +128,8 @@ def _cut(ordered: DataFrame, noise, cut) -> DataFrame:
 def ratio_clusters(ordered: DataFrame, ratio: float = 0.4) -> DataFrame:
     """Clusters where reachability jumps: a new one after noise, and where the previous
     value over the present one is below ``ratio``. A core point without reachability
-    counts with its gap."""
-    value = F.coalesce("reach", "gap", F.lit(0.0))
-    ordered = ordered.withColumn("value", value)
+    counts with its gap; the first point of an order has neither and makes no second cut."""
+    ordered = ordered.withColumn("value", F.coalesce("reach", "gap"))
 
     def cut(w):
         before = F.lag("value").over(w)

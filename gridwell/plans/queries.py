@@ -290,7 +290,7 @@ def optics_order(spark, sf):
 
 @query(
     _OPT
-    + """, v AS (SELECT *, coalesce(reach, gap, CAST(0 AS DOUBLE)) AS val, flag = 'NOISE' AS noise FROM f),
+    + """, v AS (SELECT *, coalesce(reach, gap) AS val, flag = 'NOISE' AS noise FROM f),
 w AS (SELECT *, NOT noise AND (coalesce(lag(noise) OVER (ORDER BY pos), true) OR coalesce(val > 0 AND lag(val) OVER (ORDER BY pos) < CAST(0.4 AS DOUBLE) * val, false)) AS step FROM v)
 SELECT id, pos, flag, CASE WHEN noise THEN 0 ELSE CAST(sum(CAST(step AS BIGINT)) OVER (ORDER BY pos) AS BIGINT) END AS cluster_id FROM w"""
 )
