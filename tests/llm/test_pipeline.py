@@ -1,0 +1,56 @@
+"""Each stage on its own input, against brute force."""
+
+import corpus_pipeline
+from gridwell.llm.decontam import WINDOW
+from gridwell.llm.text import alnum_words
+from gridwell.session import written
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def first_of_groups(docs):
+    group = {i: i for i in docs}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    sets = [(i, shingles(t)) for i, t in docs.items()]
+    for x, (i, s) in enumerate(sets):
+        for j, t in sets[:x]:
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    return {i for i in docs if find(i) == i}
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    bench = [alnum_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(b[k : k + WINDOW]) for b in bench for k in range(max(1, len(b) - WINDOW + 1))}
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = written(stage(spark, docs, SF), "stage")
+        if number == 4:
+            assert {r["doc_id"] for r in docs.collect()} == set(before)
+            return
+        assert docs.columns == columns
+        after = {r["doc_id"]: r["text"] for r in docs.collect()}
+        if number == 0:
+            assert 0 < len(after) < len(before)
+        if number == 1:
+            assert set(after) == first_of_groups(before)
+        if number == 2:
+            clean = lambda t: not any(tuple(w[k : k + WINDOW]) in windows for w in [alnum_words(t)] for k in range(len(w)))
+            assert set(after) == {i for i, t in before.items() if clean(t)}
+        if number == 3:
+            assert set(after) == set(before)
+            assert not any("AKIA" in t and len(t.split("AKIA")[1].split()[0]) >= 14 for t in after.values())
+        assert number == 3 or all(after[i] == before[i] for i in after)
