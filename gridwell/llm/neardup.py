@@ -8,14 +8,20 @@
    sketch alike; the first ``INDEX`` hashes that are not hot are indexed, so that
    no list is longer than ``HOT`` and passages that very many documents share
    make no pairs.
-4. Documents with over three fifths of their sketch hot belong to large families of
-   near copies. (Of others at least two fifths are cold, and a partner shares some of
-   that: at the threshold, if all differences are cold, still 0.31.)
-   Within each hot list they are compared with the list's leader, the document
-   with the most hot hashes, which is the least edited one and matches most; the few
-   that no leader took are joined with their whole lists, but for those that links
-   have brought together, and only pairs whose sketches agree leave the join, each
-   from one list. No list is expanded into pairs, and none is cut.
+4. Documents with over three fifths of their sketch hot are *family*: copies of one
+   text, or texts made mostly of common passages. (Of others at least two fifths are
+   cold, and a partner shares some of that: at the threshold, if all differences are
+   cold, still 0.31.) Pairs of two family documents are found on their full sets. Of
+   each set the rarest ``n - ceil(0.75 n) + 1`` shingles are listed, those common in
+   families last; two sets at the threshold share one of them. Pairs with a rare
+   shingle in common come from short lists. Others share common ones only, so that
+   all rare shingles of both are differences, which bounds the sizes that a partner
+   can have and how many places of the order need be listed: an isolated edited copy
+   has few or no partners left. Long lists are first compared with a leader for each
+   size, the document with the largest common share; then, in each list, those that
+   links have not brought into its largest component are compared with the list's
+   members of possible sizes in other components. No list is expanded into pairs,
+   and none is cut.
 5. The sketch of the union estimates each candidate's similarity; candidates far
    below the threshold go. The rest is confirmed on full sets, read from the texts.
 6. Confirmed links are closed to components.
@@ -41,10 +47,13 @@ from gridwell.session import written
 
 SKETCH = 64
 INDEX = 24
-FAMILY = 12
 HOT = 32
 PASS = 0.45
 LEADER_ROUNDS = 2
+#: Places of the order that leaders are chosen in; the later comparison uses all.
+LEADER_PLACES = 4
+#: Size classes for each doubling of a set's size.
+CLASSES = 16
 
 _SIGNATURE = "doc_id long, n long, k1 long, k2 long, sketch array<long>"
 
@@ -87,7 +96,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
     """Confirmed links (src, dst) between vertices."""
-    spark = vertices.sparkSession
     lists = vertices.select(F.explode("sketch").alias("h"))
     hot = written(lists.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
     marked = (
@@ -95,37 +103,102 @@ def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
     )
     ranked = written(
         vertices.join(marked, "id", "left")
-        .withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
-        .withColumn("cold", F.array_except("sketch", "hot"))
+        .withColumn("cold", F.array_except("sketch", F.coalesce("hot", F.array().cast("array<long>"))))
         .select(
             "id",
             "n",
             "sketch",
             F.slice("cold", 1, INDEX).alias("indexed"),
-            F.when(5 * F.size("cold") < 2 * F.size("sketch"), F.array_intersect(F.slice("sketch", 1, FAMILY), "hot")).alias("family"),
-            F.size("hot").alias("heat"),
+            (5 * F.size("cold") < 2 * F.size("sketch")).alias("family"),
             ((F.size("cold") >= INDEX) & (3 * F.size("cold") >= 2 * F.size("sketch"))).alias("full"),
         ),
         "ranked",
     )
-    links = spark.createDataFrame([], "src long, dst long")
-    cold = _estimated(_overlaps(ranked), ranked)
-    family = ranked.where("family is not null").select("id", "heat", F.explode("family").alias("h"))
-    left = written(family, "family")
-    all_lists = left
-    led = None
+    rare, common = _family_lists(ranked, source)
+    near = _estimated(_overlaps(ranked).union(_listed_pairs(rare)).distinct(), ranked)
+    links = _confirmed(near, source)
     for _ in range(LEADER_ROUNDS):
-        leaders = left.groupBy("h").agg(F.max(F.struct("heat", (-F.col("id")).alias("id"))).alias("top")).select("h", (-F.col("top.id")).alias("leader"))
-        led_by = left.join(leaders, "h")
-        pairs = led_by.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        found = _confirmed(_estimated(pairs, ranked), source)
-        links = written(links.union(found), "links")
-        taken = found.select(F.col("src").alias("leader"), F.col("dst").alias("id"))
-        led = led_by.join(taken, ["leader", "id"]).select("h", "id").union(leaders.select("h", F.col("leader").alias("id"))).distinct()
-        left = written(left.join(led, ["h", "id"], "left_anti"), "family")
-    links = written(links.union(_confirmed(cold, source)), "links")
-    rest = _unled(left, all_lists, ranked, links)
-    return written(links.union(_confirmed(rest, source)), "links")
+        others = _with_components(common, links).where(f"not component <=> main and place < {LEADER_PLACES}")
+        top = F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id")))
+        leaders = others.groupBy("h", "class").agg(top.alias("top")).select("h", "class", (-F.col("top.id")).alias("a"))
+        pairs = others.join(leaders, ["h", "class"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
+        links = written(links.union(_confirmed(_estimated(pairs, ranked), source)), "links")
+    return written(links.union(_confirmed(_estimated(_remaining(common, links), ranked), source)), "links")
+
+
+def _family_lists(ranked: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of family documents' full sets the shingles that a partner must share one of.
+
+    Rare ones as (h, id, n), and common ones as (h, id, n, m, place, class): ``m`` of
+    the set's ``n`` shingles are common, ``place`` is the shingle's among them.
+    """
+    ids = ranked.where("family").select("id")
+    sets = written(_texts(ids, source).select("id", "text").mapInArrow(_full_sets, "id long, k long, n long, hs array<long>"), "sets").dropDuplicates(["id", "k"])
+    entries = sets.select("id", "k", F.explode("hs").alias("h"))
+    frequent = written(entries.groupBy("h").count().where(F.col("count") > HOT).select("h"), "frequent")
+    marked = entries.join(frequent, "h").groupBy("id", "k").agg(F.sort_array(F.collect_set("h")).alias("common"))
+    least = F.ceil(F.col("n") * 3 / 4).cast("int")
+    none = F.array().cast("array<long>")
+    placed = written(
+        sets.join(marked, ["id", "k"], "left")
+        .withColumn("common", F.coalesce("common", none))
+        .withColumn("rare", F.sort_array(F.array_except("hs", "common")))
+        .select(
+            "id",
+            "n",
+            F.size("common").alias("m"),
+            F.slice("rare", F.lit(1), F.col("n").cast("int") - least + 1).alias("rare"),
+            F.slice("common", F.lit(1), F.greatest(F.size("common") - least + 1, F.lit(0))).alias("common"),
+        ),
+        "placed",
+    )
+    rare = placed.select(F.explode("rare").alias("h"), "id", "n")
+    common = placed.select("id", "n", "m", _size_class(F.col("n")).alias("class"), F.posexplode("common").alias("place", "h"))
+    return rare, written(common.select("h", "id", "n", "m", "place", "class"), "common")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(CLASSES * F.log2(n)).cast("int")
+
+
+def _listed_pairs(rare: DataFrame) -> DataFrame:
+    """Pairs (a, b) of possible sizes in lists, which have at most ``HOT`` sets."""
+    lists = rare.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("xs")).where(F.size("xs") > 1)
+    pairs = F.transform(
+        "xs",
+        lambda x, i: F.transform(
+            F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: _near_in_size(x["n"], y["n"])),
+            lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")),
+        ),
+    )
+    return lists.select(F.explode(F.flatten(pairs)).alias("p")).select("p.*").where("a != b").distinct()
+
+
+def _with_components(common: DataFrame, links: DataFrame) -> DataFrame:
+    """``common`` with each entry's component and ``main``, that of most of its list, null where all differ."""
+    met = connected_components(links)
+    own = written(common.join(met, "id", "left").withColumn("component", F.coalesce("component", "id")), "own")
+    counted = own.groupBy("h", "component").count()
+    main = counted.groupBy("h").agg(F.max(F.struct("count", "component")).alias("top")).select("h", F.when(F.col("top.count") > 1, F.col("top.component")).alias("main"))
+    return own.join(main, "h")
+
+
+def _remaining(common: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of the sets outside a list's main component with those of possible sizes
+    in other components."""
+    own = written(_with_components(common, links), "own")
+    # n + size of the other <= 7/3 of what both can share
+    room = F.floor(7 * (F.col("m") - F.col("place")) / 3) - F.col("n")
+    x = (
+        own.where("not component <=> main")
+        .withColumn("most", F.least(room, F.floor(F.col("n") * 4 / 3)))
+        .withColumn("least", F.ceil(F.col("n") * 3 / 4))
+        .where("most >= least")
+        .select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "least", "most", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("class"))
+    )
+    y = own.select("h", "class", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), room.alias("most_b"))
+    fits = (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("least"), F.col("most")) & (F.col("na") <= F.col("most_b"))
+    return x.join(y, ["h", "class"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _overlaps(ranked: DataFrame) -> DataFrame:
@@ -168,33 +241,25 @@ def _estimated(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(_near_in_size(F.col("na"), F.col("nb")) & _alike("sa", "sb")).select("a", "b").distinct()
 
 
-def _unled(left: DataFrame, lists: DataFrame, ranked: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of those that no leader took with their whole lists, but for pairs that
-    links have already brought together."""
-    met = connected_components(links)
-    part = (
-        ranked.where("family is not null")
-        .select("id", "n", "sketch")
-        .join(met, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    some = left.join(lists.groupBy("h").count().where("count > 1").select("h"), "h")
-    x = some.join(part, "id").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("component").alias("ca"))
-    y = lists.join(part, "id").select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("component").alias("cb"))
-    apart = (F.col("ca") != F.col("cb")) & _near_in_size(F.col("na"), F.col("nb"))
-    # sketches are sorted, so a pair leaves from the list of its first common hash
-    once = F.element_at(F.array_intersect("sa", "sb"), 1) == F.col("h")
-    return x.join(y, "h").where(apart & once & _alike("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _confirmed(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """Links (src, dst) among ``pairs`` (a, b) by the similarity of their full sets."""
-    spark = pairs.sparkSession
     pairs = written(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), source)
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return written(
+        pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_matching, "src long, dst long").distinct(), "confirmed"
+    )
+
+
+def _texts(ids: DataFrame, source: DataFrame) -> DataFrame:
+    """Texts (id, text) of ``ids``, written. A bitmap of two bytes an id at most, and of
+    8 MB at most, keeps most other texts out of the shuffle."""
+    spark = ids.sparkSession
+    ids = written(ids, "ids")
     count = ids.count()
     if not count:
-        return spark.createDataFrame([], "src long, dst long")
+        return spark.createDataFrame([], "id long, text string")
     bits = min(26, max(13, (16 * count).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
@@ -209,7 +274,7 @@ def _confirmed(pairs: DataFrame, source: DataFrame) -> DataFrame:
             hit = (wanted.value[p >> 6] >> (p & 63)) & 1 == 1
             yield batch.select([0, 1]).filter(pa.array(hit))
 
-    texts = written(
+    return written(
         source.where("doc_id is not null and text is not null")
         .select(F.col("doc_id").alias("id"), "text")
         .select("id", "text", place.alias("p"))
@@ -217,11 +282,17 @@ def _confirmed(pairs: DataFrame, source: DataFrame) -> DataFrame:
         .join(ids, "id", "left_semi"),
         "texts",
     )
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return written(
-        pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_matching, "src long, dst long").distinct(), "confirmed"
-    )
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        sets = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)])
+        values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
+        k = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(k), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "k", "n", "hs"]
+        )
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
