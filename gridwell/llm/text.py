@@ -54,7 +54,7 @@ def alnum_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_ALNUM).split()
 
 
-_hash = Memo(xxhash.xxh3_64_intdigest)
+_hash = Memo(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
