@@ -20,7 +20,8 @@
    has few or no partners left. Long lists are first compared with a leader for each
    size, the document with the largest common share; then, in each list, those that
    links have not brought into its largest component are compared with the list's
-   members of possible sizes in other components. No list is expanded into pairs,
+   members of possible sizes in other components; bitmaps of both sets' common
+   shingles bound from below what each lacks of the other. No list is expanded into pairs,
    and none is cut.
 5. The sketch of the union estimates each candidate's similarity; candidates far
    below the threshold go. The rest is confirmed on full sets, read from the texts.
@@ -50,8 +51,12 @@ INDEX = 24
 HOT = 32
 PASS = 0.45
 LEADER_ROUNDS = 2
+#: Leaders of a list's main component, for each size class.
+LEADERS = 8
 #: Places of the order that leaders are chosen in; the later comparison uses all.
 LEADER_PLACES = 4
+#: 64-bit words of the bitmap of a set's common shingles.
+WORDS = 16
 #: Size classes for each doubling of a set's size.
 CLASSES = 16
 
@@ -118,9 +123,12 @@ def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
     near = _estimated(_overlaps(ranked).union(_listed_pairs(rare)).distinct(), ranked)
     links = _confirmed(near, source)
     for _ in range(LEADER_ROUNDS):
-        others = _with_components(common, links).where(f"not component <=> main and place < {LEADER_PLACES}")
+        own = _with_components(common, links)
         top = F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("id")).alias("id")))
-        leaders = others.groupBy("h", "class").agg(top.alias("top")).select("h", "class", (-F.col("top.id")).alias("a"))
+        # some of the main component, from as many parts of it, and one of the others
+        part = F.when(F.expr("component <=> main"), F.pmod(F.xxhash64("id"), F.lit(LEADERS)))
+        leaders = own.groupBy("h", "class", part.alias("part")).agg(top.alias("top")).select("h", "class", (-F.col("top.id")).alias("a"))
+        others = own.where(f"not component <=> main and place < {LEADER_PLACES}")
         pairs = others.join(leaders, ["h", "class"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
         links = written(links.union(_confirmed(_estimated(pairs, ranked), source)), "links")
     return written(links.union(_confirmed(_estimated(_remaining(common, links), ranked), source)), "links")
@@ -147,14 +155,26 @@ def _family_lists(ranked: DataFrame, source: DataFrame) -> tuple[DataFrame, Data
             "id",
             "n",
             F.size("common").alias("m"),
+            F.array(*map(_bits, range(WORDS))).alias("bits"),
             F.slice("rare", F.lit(1), F.col("n").cast("int") - least + 1).alias("rare"),
             F.slice("common", F.lit(1), F.greatest(F.size("common") - least + 1, F.lit(0))).alias("common"),
         ),
         "placed",
     )
     rare = placed.select(F.explode("rare").alias("h"), "id", "n")
-    common = placed.select("id", "n", "m", _size_class(F.col("n")).alias("class"), F.posexplode("common").alias("place", "h"))
-    return rare, written(common.select("h", "id", "n", "m", "place", "class"), "common")
+    common = placed.select("id", "n", "m", "bits", _size_class(F.col("n")).alias("class"), F.posexplode("common").alias("place", "h"))
+    return rare, written(common.select("h", "id", "n", "m", "bits", "place", "class"), "common")
+
+
+def _bits(word: int) -> Column:
+    """A word of the bitmap of common shingles."""
+    own = F.filter("common", lambda h: F.pmod(h, F.lit(WORDS)) == word)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))))
+
+
+def _lacking(of: str, other: str) -> Column:
+    """At most as many as the common shingles of one that the other lacks."""
+    return sum((F.bit_count(F.col(of)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(WORDS)), F.lit(0))
 
 
 def _size_class(n: Column) -> Column:
@@ -177,16 +197,16 @@ def _listed_pairs(rare: DataFrame) -> DataFrame:
 def _with_components(common: DataFrame, links: DataFrame) -> DataFrame:
     """``common`` with each entry's component and ``main``, that of most of its list, null where all differ."""
     met = connected_components(links)
-    own = written(common.join(met, "id", "left").withColumn("component", F.coalesce("component", "id")), "own")
+    own = common.join(met, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counted = own.groupBy("h", "component").count()
     main = counted.groupBy("h").agg(F.max(F.struct("count", "component")).alias("top")).select("h", F.when(F.col("top.count") > 1, F.col("top.component")).alias("main"))
-    return own.join(main, "h")
+    return written(own.join(main, "h"), "own")
 
 
 def _remaining(common: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of the sets outside a list's main component with those of possible sizes
     in other components."""
-    own = written(_with_components(common, links), "own")
+    own = _with_components(common, links)
     # n + size of the other <= 7/3 of what both can share
     room = F.floor(7 * (F.col("m") - F.col("place")) / 3) - F.col("n")
     x = (
@@ -194,10 +214,12 @@ def _remaining(common: DataFrame, links: DataFrame) -> DataFrame:
         .withColumn("most", F.least(room, F.floor(F.col("n") * 4 / 3)))
         .withColumn("least", F.ceil(F.col("n") * 3 / 4))
         .where("most >= least")
-        .select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "least", "most", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("class"))
+        .select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("m").alias("ma"), F.col("bits").alias("bits_a"), "least", "most", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("class"))
     )
-    y = own.select("h", "class", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), room.alias("most_b"))
+    y = own.select("h", "class", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("m").alias("mb"), F.col("bits").alias("bits_b"), room.alias("most_b"))
     fits = (F.col("ca") != F.col("cb")) & F.col("nb").between(F.col("least"), F.col("most")) & (F.col("na") <= F.col("most_b"))
+    shared = F.ceil(3 * (F.col("na") + F.col("nb")) / 7)
+    fits &= (_lacking("bits_a", "bits_b") <= F.col("ma") - shared) & (_lacking("bits_b", "bits_a") <= F.col("mb") - shared)
     return x.join(y, ["h", "class"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -299,13 +321,14 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = Memo(shingle_hashes, 8)
     for batch in pieces(batches):
         a, b, x, y = (c.to_pylist() for c in batch.columns)
-        keep = [100 * _common(s := sets[p], t := sets[q]) >= 75 * (len(s) + len(t) - _common(s, t)) for p, q in zip(x, y, strict=True)]
+        keep = [_linked(sets[p], sets[q]) for p, q in zip(x, y, strict=True)]
         rows = [(i, j) for i, j, k in zip(a, b, keep, strict=True) if k]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["src", "dst"])
 
 
-def _common(s: np.ndarray, t: np.ndarray) -> int:
-    return len(np.intersect1d(s, t, assume_unique=True))
+def _linked(s: np.ndarray, t: np.ndarray) -> bool:
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= 75 * (len(s) + len(t) - common)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
