@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+BATCH_BYTES = 8 << 20
 _LOCAL_SHARED: list[str] = []
 
 
@@ -29,11 +30,13 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ship(spark: SparkSession | None = None) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and get
+    rows in Arrow batches of ``BATCH_BYTES`` at most."""
     paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         env = spark.sparkContext.environment
         own = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
         if ROOT not in own:
