@@ -106,6 +106,11 @@ _WORD = re.compile(f"[^{_SPACES}]+")
 _BYTE_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+# The byte-level alphabet, in which bytes of these ranges stand for
+# themselves and the others, in ascending order, for the characters from 256 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PLAIN))}
+
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
@@ -119,16 +124,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.lower = lower
         self.cut = _WORD if lower else _CHUNK
         self.split = _WORD_PIECE if lower else _BYTE_PIECE
-        self.piece = Memo(self._direct)
+        self.piece = Memo(self._merged)
         self.chunk = Memo(self._chunk)
 
     def _direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _merged(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _chunk(self, text: str) -> bytes:
         if len(text) > 200 or max(text) >= "ɐ" or "<|" in text:
             return self._direct(text)
