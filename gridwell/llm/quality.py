@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import _ALNUM, Memo, pieces, utf8
+from gridwell.llm.text import _ALNUM, Memo, lasting, pieces, utf8
 
 DIMENSIONS = 1 << 18
 #: Rated documents that the classifier is fitted to at most: those of the smallest hashes.
@@ -43,7 +43,7 @@ def _slots(word: bytes) -> tuple[int, int]:
     return tuple(_DENSE + xxhash.xxh3_64_intdigest(x) % (DIMENSIONS - _DENSE) for x in (bare, short))
 
 
-_place = Memo(_slots)
+_place = lasting(Memo(_slots))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:

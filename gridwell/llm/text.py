@@ -30,16 +30,35 @@ class Memo(dict):
 
     def __init__(self, make: Callable, most: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.used = make, most, False
 
     def __missing__(self, key):
         value = self.make(key)
         if len(self) >= self.most:
             self.clear()
         self[key] = value
+        self.used = True
         return value
 
 
+_lasting: list[Memo] = []
+
+
+def lasting(memo: Memo) -> Memo:
+    """``memo``, to be kept from task to task for as long as tasks fill it."""
+    _lasting.append(memo)
+    return memo
+
+
+def _free_idle() -> None:
+    """Empty the memos that the last task did not add to: a worker that goes on to
+    another operator does not hold this one's words as well."""
+    for memo in _lasting:
+        if not memo.used:
+            memo.clear()
+        memo.used = False
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -54,7 +73,7 @@ def alnum_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_ALNUM).split()
 
 
-_hash = Memo(xxhash.xxh3_64_intdigest, 200_000)
+_hash = lasting(Memo(xxhash.xxh3_64_intdigest, 200_000))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -93,6 +112,7 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: bounds what Python holds at once."""
+    _free_idle()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -128,8 +148,8 @@ class Encoder:
         self.lower = lower
         self.cut = _WORD if lower else _CHUNK
         self.split = _WORD_PIECE if lower else _BYTE_PIECE
-        self.piece = Memo(self._merged)
-        self.chunk = Memo(self._chunk)
+        self.piece = lasting(Memo(self._merged))
+        self.chunk = lasting(Memo(self._chunk))
 
     def _direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
