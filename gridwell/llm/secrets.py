@@ -7,6 +7,9 @@ is cut into scopes of neighbouring lines, the parts of a text are ordered by pla
 and an interval join within scopes (a sweep that keeps only parts still in reach)
 pairs random-looking words with access identifiers and endpoints. A candidate is
 reported only if a complementary part lies within reach; hosts and names alone never.
+A word inside an endpoint or identifier leaves it one for other words. With its own
+it makes a credential only in a URL: in the part before the host, or where a segment
+after the host is random-looking by itself; the host is then left out of the secret.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +45,7 @@ _NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
 _ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,})""", re.IGNORECASE | re.ASCII)
+_URL = re.compile(r"[a-z][a-z0-9+.-]*://(?:([^/?#]*)@)?([^/?#]*)", re.IGNORECASE | re.ASCII)
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -77,16 +82,54 @@ def _random(word: str) -> bool:
     return -sum((c := word.count(x) / n) * math.log2(c) for x in set(word)) >= ENTROPY_LEAST
 
 
+def _overlap(x: Span, y: Span) -> bool:
+    return x.start < y.end and y.start < x.end
+
+
+def _hosts(text: str, endpoints: list[Span]) -> dict[Span, tuple[int, int, int]]:
+    """For each URL where its user part, its host and what follows the host start."""
+    found = {p: _URL.match(text, p.start, p.end) for p in endpoints}
+    return {p: (m.start(2) if m[1] is None else m.start(1), m.start(2), m.end()) for p, m in found.items() if m}
+
+
+def _secret_parts(word: Span, url: tuple[int, int, int]) -> tuple[Span, Span]:
+    """What a word has of a URL's user part and of what follows its host."""
+    user, host, after = url
+    return Span(max(word.start, user), 3, min(word.end, host)), Span(max(word.start, after), 3, word.end)
+
+
+def _credential(text: str, word: Span, url: tuple[int, int, int]) -> bool:
+    """Whether a word inside a URL is a secret that its host is the endpoint of."""
+    before, behind = _secret_parts(word, url)
+    segments = text[behind.start : behind.end].split("/")
+    return before.start < before.end or any(len(s) >= WORD_LEAST and _random(s) for s in segments)
+
+
+def _without_host(text: str, word: Span, url: tuple[int, int, int]) -> Span:
+    """A word without what it has of scheme and host, if the rest is still random-looking."""
+    for cut in _secret_parts(word, url):
+        if cut.end - cut.start >= WORD_LEAST and _random(text[cut.start : cut.end]):
+            return cut
+    return word
+
+
 def linked(text: str, base: list[Span]) -> list[Span]:
     """Candidates with a complementary part in reach, and the identifiers that link to one."""
     words = [Span(m.start(), 3, m.end()) for m in _WORD.finditer(text) if _random(m[0])]
-    words = [w for w in words if not any(b.start < w.end and w.start < b.end for b in base)]
+    words = [w for w in words if not any(_overlap(b, w) for b in base)]
     if not words:
         return []
     parts = [s for s in base if s.kind == 1]
     parts += [Span(m.start(), 4, m.end()) for m in _IDENTIFIER.finditer(text)]
-    parts += [Span(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
-    parts = [p for p in parts if p.kind == 1 or not any(w.start < p.end and p.start < w.end for w in words)]
+    endpoints = [Span(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+    parts += endpoints
+    urls = _hosts(text, endpoints)
+    places = sorted(urls)
+    for i, w in enumerate(words):
+        # endpoints don't overlap, so the last one that starts before the word's end is the only one
+        at = bisect_left(places, Span(w.end, 0, 0)) - 1
+        if at >= 0 and _overlap(w, places[at]):
+            words[i] = _without_host(text, w, urls[places[at]])
     breaks = [m.start() for m in _SCOPE.finditer(text)]
     out: set[Span] = set()
     near: deque[Span] = deque()  # parts and words still in reach of what follows
@@ -99,7 +142,9 @@ def linked(text: str, base: list[Span]) -> list[Span]:
             near.popleft()
         for x in near:
             if x.end + REACH >= s.start and (x.kind == 3) != (s.kind == 3):
-                out |= {y for y in (x, s) if y.kind in (3, 4)}
+                word, part = (x, s) if x.kind == 3 else (s, x)
+                if not _overlap(word, part) or (part in urls and _credential(text, word, urls[part])):
+                    out |= {y for y in (x, s) if y.kind in (3, 4)}
         if s.kind != 3 or not near or near[-1] != s:
             near.append(s)
     return sorted(out)

@@ -101,3 +101,27 @@ def test_notice_with_a_gap_is_chained(spark):
     words = [w.encode() for w in ["x"] * 7 + notice[:12] + ["inserted", "words"] + notice[12:] + ["y"]]
     found = [c for c in licenses.covers(words, licenses.automaton()) if c[1] >= licenses.COVER_LEAST]
     assert ("bsd", 1.0, 7, 7 + len(notice) + 2) in found
+
+
+KEY = "Ab3dEf6hIj9kLm2nOp5q"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f"postgres://svc:{KEY}@db.example.com/x", "postgres://svc:<secret>@db.example.com/x"),
+        (f"postgres://{KEY}@db.example.com/x", "postgres://<secret>@db.example.com/x"),
+        (f"https://hooks.example.com/services/{KEY}", "https://hooks.example.com<secret>"),
+        (f"https://hooks.example.com/v1.0?k.{KEY}", "https://hooks.example.com/v1.0?k.<secret>"),
+        (f"{WEAK} https://cdn.example.com/{KEY}.png", "<secret> https://cdn.example.com<secret>.png"),
+        ("https://www.example.com/Some/Path/To/Part2", "https://www.example.com/Some/Path/To/Part2"),
+        (f"user: {KEY}", f"user: {KEY}"),
+        (f"user: {KEY} {WEAK}", "<identifier> <secret>"),
+        (f"http://localhost/{KEY}", "http://localhost<secret>"),
+        ("http://Localhost7/some/plain/path", "http://Localhost7/some/plain/path"),
+        (f"https://{KEY}.example.com/", f"https://{KEY}.example.com/"),
+        (f"https://{KEY}.example.com/ {WEAK}", f"https://{KEY}.example.com/ <secret>"),
+    ],
+)
+def test_secrets_inside_their_complements(text, want):
+    assert secrets.redacted(text) == want
