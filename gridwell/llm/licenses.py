@@ -4,14 +4,14 @@ The automaton accepts every run of words of every template. A file is streamed
 through it word by word; the state after each word is the longest run of template
 words that ends there. Long maximal matches are chained, per template, into the best
 collinear cover, and a template that is covered well enough is reported with the
-span of its chain.
+span of its chain, once for each of its occurrences that don't overlap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,50 @@ def _chain(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     return top
 
 
+def _chains(found: list[tuple[int, int, int]], words: int) -> list[tuple[int, int, int]]:
+    """Chains, from left to right and apart, that each cover enough of a template of ``words``.
+
+    A chain is the first to cover enough. It then grows by what continues it, until the
+    gap is too long or the template starts again.
+    """
+    out: list[tuple[int, int, int]] = []
+    best: list[tuple[int, int, int, int]] = []
+    free = 0
+    whole: tuple[int, int, int, int] | None = None
+    for start, group in groupby(sorted(found), key=lambda m: m[0]):
+        group = list(group)
+        if whole:
+            covered, first, end, t = whole
+            more = [(place + length - max(t, place), place, length) for _, place, length in group if place + length > t and place >= t - max(0, end - start)]
+            if more and start <= end + GAP_MOST:
+                extra, place, length = max(more)
+                whole = covered + extra, first, start + length, place + length
+                continue
+            again = any(place <= (1 - COVER_LEAST) * words for _, place, _ in group)
+            if not again and start <= end + GAP_MOST:
+                continue
+            out.append(whole[:3])
+            free, whole, best = end, None, []
+        if start < free:
+            continue
+        for _, place, length in group:
+            covered, first = length, start
+            for c, s, e, t in reversed(best):
+                if e + GAP_MOST < start:
+                    continue
+                extra = length - max(0, e - start, t - place)
+                if extra > 0 and place + length > t and c + extra > covered:
+                    covered, first = c + extra, s
+            best.append((covered, first, start + length, place + length))
+        best = [b for b in best if b[2] + GAP_MOST >= start]
+        top = max(best, key=lambda b: b[0])
+        if top[0] / words >= COVER_LEAST:
+            whole = top
+    if whole:
+        out.append(whole[:3])
+    return out
+
+
 _shared: list[Automaton] = []
 
 
@@ -141,7 +185,11 @@ def automaton() -> Automaton:
 
 
 def covers(words: list[bytes], auto: Automaton) -> list[tuple[str, float, int, int]]:
-    """Covered templates: label, part covered, first and one past the last word."""
+    """Covered templates: label, part covered, first and one past the last word.
+
+    One that is covered well enough is listed for each chain that covers it so, others
+    once, with their best chain.
+    """
     codes = np.fromiter(map(auto.vocabulary.get, words, repeat(0)), np.int64, len(words))
     known = np.flatnonzero(np.diff(np.concatenate([[0], (codes > 0).astype(np.int8), [0]])))
     runs = known.reshape(-1, 2)
@@ -154,8 +202,11 @@ def covers(words: list[bytes], auto: Automaton) -> list[tuple[str, float, int, i
     out = []
     for t, found in parts.items():
         label, template = auto.templates[t]
-        words_covered, first, last = _chain(list(found))
-        out.append((label, min(1.0, words_covered / len(template)), first, last))
+        chains = [_chain(list(found))]
+        if chains[0][0] / len(template) >= COVER_LEAST:
+            several = _chains(list(found), len(template))
+            chains = several if len(several) > 1 else chains
+        out += [(label, min(1.0, covered / len(template)), first, last) for covered, first, last in chains]
     return out
 
 
@@ -179,7 +230,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base_labels, labels, score, spans.
 
     ``score`` is the largest part of a template that is covered; ``spans`` has label,
-    first and one past the last word of the covered templates. Reads doc_id and text; a
+    first and one past the last word of each occurrence of a covered template. Reads doc_id and text; a
     null or empty text has no words, no labels and a score of 0; repeated rows are
     scanned alike; an empty table gives an empty result.
     """

@@ -125,3 +125,26 @@ KEY = "Ab3dEf6hIj9kLm2nOp5q"
 )
 def test_secrets_inside_their_complements(text, want):
     assert secrets.redacted(text) == want
+
+
+@pytest.mark.parametrize("label", ["bsd", "gpl", "isc", "cc-by"])
+@pytest.mark.parametrize("between", [0, 1, 15, 300])
+def test_every_occurrence_of_a_notice_has_a_span(label, between):
+    notice = dict(licenses.NOTICES)[label].split()
+    cut = len(notice) // 10
+    copies = [notice, [*notice[:5], "inserted", *notice[5:]], notice[: len(notice) - cut], notice[cut:], notice]
+    words, want = [], []
+    for copy in copies:
+        want.append((len(words), len(words) + len(copy)))
+        words += [*copy, *["x"] * between]
+    found = licenses.covers([w.encode() for w in words], licenses.automaton())
+    assert [c[2:] for c in found if c[0] == label and c[1] >= licenses.COVER_LEAST] == want
+
+
+def test_occurrences_in_the_scan(spark):
+    phrase = "under the MIT license; "
+    notice = dict(licenses.NOTICES)["bsd"] + ". "
+    n = len(notice.split())
+    got = licenses.scan(spark.createDataFrame([(1, notice * 3), (2, phrase * 3)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: ",".join(f"bsd:{i * n}:{i * n + n}" for i in range(3)), 2: "mit:0:4,mit:4:8,mit:8:12"}
+    assert all(r["score"] == 1 for r in got)
