@@ -2,22 +2,30 @@
 
 The last two words' vectors, each through a matrix of its place, add up to a
 prediction; its product with a word's vector, plus the word's bias, is the word's
-score. The ``CONTEXTS`` most frequent words have context vectors of their own (all
-others share one), the ``TARGETS`` most frequent words target vectors (all others
-share one, within which they are shared out by their counts). So there is a bounded
-number of contexts, and the normaliser of each is found once, by batched matrix
-products over all targets; every log-probability is exactly normalised.
+score. The ``TARGETS`` most frequent words have target vectors of their own; all others
+share one, within which a second model tells them apart. Context vectors of their own
+have the most frequent words, ``CONTEXTS`` at least and else as many as keep the pairs
+of them to one for ``TOKENS_A_PAIR`` tokens; the others share one here. The normaliser
+of each pair is found once, by batched matrix products over all targets.
+
+The second model covers every word that has no target, however rare. Words are dealt
+by their hashes to the leaves of a binary tree, whose number grows with the distinct
+words. Each inner node has a vector and a bias, by which the context tells the way to
+go; words of a leaf are shared out by their counts. Its contexts are the last two
+words, each by a vector of its own leaf. It is trained by its likelihood, which a
+tree gives without a normaliser. Every log-probability is exactly normalised.
 
 What is learned covers all training documents: words are counted over all of them,
 and each partition trains on all of its own from common starting values. The
 partitions' parameters are averaged in a tree, weighted by their tokens.
 
 Only the ``HEAD`` most frequent words are sent to executors. The rest of a document's
-words are joined with the table of counts.
+words have their leaves by their hashes and are joined with the table of counts.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwell.llm.text import Memo, pieces, space_words
@@ -39,16 +47,25 @@ WIDTH = 24
 PASSES = 2
 BATCH = 512
 NOISE = 64
+TOKENS_A_PAIR = 100
+#: Distinct words for each leaf of the tree, at least; its vectors' width, its batches
+#: and its passes.
+WORDS_A_LEAF = 64
+LEAF_WIDTH = 16
+LEAF_BATCH = 1024
+LEAF_PASSES = 1
 #: Noise samples that a token counts for.
 RATIO = 25.0
 RATE = 0.05
 FAN_IN = 16
+BLOCK = 1 << 20
 COUNTED_AT_ONCE = 300_000
 TOKENS_AT_ONCE = 1 << 22
 SMOOTH = 0.1
 END = b""
 
 _OTHER, _START = CONTEXTS, CONTEXTS + 1
+#: States of the least model; further words' follow.
 _STATES = CONTEXTS + 2
 
 
@@ -96,6 +113,20 @@ class Vocabulary:
     counts: np.ndarray
     tokens: int
     distinct: int
+    #: For each leaf the weight of its words that have no target, an unseen one included.
+    masses: np.ndarray
+
+    @property
+    def leaves(self) -> int:
+        return len(self.masses)
+
+    @property
+    def states(self) -> int:
+        return max(_STATES, min(math.isqrt(self.tokens // TOKENS_A_PAIR), len(self.hashes) + 2))
+
+    def leaf(self) -> np.ndarray:
+        """The leaf of each code of ``memo``."""
+        return np.concatenate([self.hashes & (self.leaves - 1), np.arange(self.leaves)])
 
     @property
     def targets(self) -> int:
@@ -116,29 +147,50 @@ class Vocabulary:
         return np.append(self.counts[: self.targets] + SMOOTH, self.rest) / self.total
 
     def memo(self) -> Memo:
-        """Word -> place in the head, or the head's size for the others."""
+        """Word -> place in the head, or the head's size plus their leaf for the others."""
         place = {int(h): i for i, h in enumerate(self.hashes)}
-        return Memo(lambda w: place.get(_hash(w), len(place)))
+        head, last = len(place), self.leaves - 1
+
+        def code(word: bytes) -> int:
+            h = _hash(word)
+            found = place.get(h)
+            return head + (h & last) if found is None else found
+
+        return Memo(code)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    return Vocabulary(head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), int(tokens), int(distinct))
+    hashes, own = head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)
+    leaves = 1 << max(1, (distinct // WORDS_A_LEAF).bit_length())
+    dealt = counts.groupBy(F.col("h").bitwiseAND(F.lit(leaves - 1)).alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
+    weight, words = np.zeros(leaves, np.int64), np.ones(leaves, np.int64)
+    weight[dealt["leaf"]] += dealt["c"].to_numpy(np.int64)
+    words[dealt["leaf"]] += dealt["n"].to_numpy(np.int64)
+    first = hashes[:TARGETS] & (leaves - 1)
+    np.subtract.at(weight, first, own[:TARGETS])
+    np.subtract.at(words, first, 1)
+    return Vocabulary(hashes, own, int(tokens), int(distinct), weight + SMOOTH * words)
 
 
 @dataclass
 class Parameters:
-    """Context vectors, the two places' matrices, target vectors and biases."""
+    """Context vectors, the two places' matrices, target vectors and biases; of the tree
+    the two places' context vectors, nodes' vectors and biases."""
 
     context: np.ndarray
     first: np.ndarray
     second: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    leaf_one: np.ndarray
+    leaf_two: np.ndarray
+    node: np.ndarray
+    node_bias: np.ndarray
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.first, self.second, self.target, self.bias]
+        return [self.context, self.first, self.second, self.target, self.bias, self.leaf_one, self.leaf_two, self.node, self.node_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -156,14 +208,45 @@ def initial(words: Vocabulary, seed: int = 7) -> Parameters:
     rng = np.random.default_rng(seed)
     eye = np.eye(WIDTH, dtype=np.float32)
     return Parameters(
-        rng.normal(0, 0.3, (_STATES, WIDTH)).astype(np.float32),
+        rng.normal(0, 0.3, (words.states, WIDTH)).astype(np.float32),
         eye.copy(),
         0.5 * eye,
         rng.normal(0, 0.05, (words.targets + 1, WIDTH)).astype(np.float32),
         np.log(words.unigram()).astype(np.float32),
+        np.zeros((words.leaves + 1, LEAF_WIDTH), np.float32),
+        np.zeros((words.leaves + 1, LEAF_WIDTH), np.float32),
+        rng.normal(0, 0.3, (words.leaves, LEAF_WIDTH)).astype(np.float32),
+        _node_biases(words.masses),
     )
 
 
+def _node_biases(masses: np.ndarray) -> np.ndarray:
+    """Biases that give each leaf its share; node i has the children 2 i and 2 i + 1, node 0 isn't used."""
+    out = np.zeros(len(masses), np.float32)
+    while len(masses) > 1:
+        left, right = masses[::2], masses[1::2]
+        out[len(left) : 2 * len(left)] = np.log(right / left)
+        masses = left + right
+    return out
+
+
+def _path(leaf: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each level the inner node above each leaf, and 1 or -1 for right or left."""
+    depth = leaves.bit_length() - 1
+    down = np.arange(depth, 0, -1)[:, None]
+    whole = leaf + leaves
+    return whole >> down, (2 * ((whole >> (down - 1)) & 1) - 1).astype(np.float32)
+
+
+def leaf_scores(p: Parameters, one: np.ndarray, two: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the leaves' probabilities after contexts' leaves, among words without a target."""
+    nodes, way = _path(leaf, len(p.node))
+    z = np.einsum("dnk,nk->dn", p.node[nodes], p.leaf_one[one] + p.leaf_two[two]) + p.node_bias[nodes]
+    z *= -way
+    # log(1 + exp(z)) by the single-precision functions, which are the fast ones
+    return -(np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))).sum(0, dtype=np.float64)
+
+
 def _coded(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Head places of all tokens of all texts, end tokens included, and the texts' sizes."""
     words: list[bytes] = []
@@ -176,22 +259,28 @@ def _coded(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]
     return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), np.array(sizes, np.int64)
 
 
-def _contexts(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(codes: np.ndarray, sizes: np.ndarray, states: int = _STATES) -> tuple[np.ndarray, np.ndarray]:
     """Context states one and two places before each token."""
-    state = np.minimum(codes, _OTHER)
-    one = np.concatenate([[_START], state[:-1]])
-    two = np.concatenate([[_START, _START], state[:-2]])[: len(codes)]
+    state = np.where(codes < CONTEXTS, codes, np.where(codes + 2 < states, codes + 2, _OTHER))
+    return _before(state, sizes, _START)
+
+
+def _before(state: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values one and two places before, ``start`` where the text has none."""
+    one = np.concatenate([[start], state[:-1]])
+    two = np.concatenate([[start, start], state[:-2]])[: len(state)]
     first = np.cumsum(sizes) - sizes
-    one[first] = _START
-    two[first] = _START
+    one[first] = start
+    two[first] = start
     second = first + 1
-    two[second[sizes > 1]] = _START
+    two[second[sizes > 1]] = start
     return one, two
 
 
 def _scattered(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows with the same index; there are fewer than 2**16 (16 bits sort fastest)."""
-    index = index.astype(np.uint16)
+    """Sums of rows with the same index (16 bits sort fastest)."""
+    if index.max() < 1 << 16:
+        index = index.astype(np.uint16)
     order = np.argsort(index, kind="stable")
     sorted_ = index[order]
     start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
@@ -241,6 +330,29 @@ class Trainer:
         self._apply(2, slice(None), d2)
 
 
+    def leaf_step(self, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, count: np.ndarray) -> None:
+        """A step for distinct (contexts' leaves, leaf) triples that occur ``count`` times."""
+        p = self.p
+        # by leaf, so that the nodes of all levels are in order
+        order = np.argsort(leaf)
+        one, two, count = one[order], two[order], count[order]
+        nodes, way = _path(leaf[order], len(p.node))
+        h, q = p.leaf_one[one] + p.leaf_two[two], p.node[nodes]
+        z = np.einsum("dnk,nk->dn", q, h) + p.node_bias[nodes]
+        g = count * way / (1 + np.exp(np.clip(way * z, -30, 30)))
+        dh = np.einsum("dn,dnk->nk", g, q)
+        slope = np.empty((*nodes.shape, LEAF_WIDTH + 1), np.float32)
+        np.multiply(g[:, :, None], h, out=slope[:, :, :-1])
+        slope[:, :, -1] = g
+        flat = nodes.ravel()
+        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        rows, dq = flat[start], np.add.reduceat(slope.reshape(-1, LEAF_WIDTH + 1), start, axis=0)
+        self._apply(7, rows, dq[:, :-1])
+        self._apply(8, rows, dq[:, -1])
+        self._apply(5, *_scattered(one, dh))
+        self._apply(6, *_scattered(two, dh))
+
+
 def fit(docs: DataFrame, words: Vocabulary) -> Parameters:
     """Train on all training documents, each partition on its own, and average."""
     spark = docs.sparkSession
@@ -255,12 +367,15 @@ def fit(docs: DataFrame, words: Vocabulary) -> Parameters:
         words, start = shared.value
         part = TaskContext.get().partitionId()
         memo, trainer, last = words.memo(), Trainer(start, words.unigram(), part), words.targets
+        leaf = words.leaf()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in pieces(batches):
             codes, sizes = _coded(batch.column(0).to_pylist(), memo)
             if len(codes):
-                held.append((*_contexts(codes, sizes), np.minimum(codes, last)))
+                own = leaf[codes]
+                parts = *_contexts(codes, sizes, words.states), np.minimum(codes, last), *_before(own, sizes, words.leaves), own
+                held.append(tuple(x.astype(np.int32) for x in parts))
                 size += len(codes)
             if size >= TOKENS_AT_ONCE:
                 _epoch(trainer, held)
@@ -268,50 +383,84 @@ def fit(docs: DataFrame, words: Vocabulary) -> Parameters:
         if size:
             _epoch(trainer, held)
         if trainer.tokens:
-            yield _weighted(part, trainer.tokens, trainer.p.flat())
+            flat = trainer.p.flat()
+            for block, at in enumerate(range(0, len(flat), BLOCK)):
+                yield _weighted(part, block, trainer.tokens, flat[at : at + BLOCK])
 
     texts = docs.where(training(F.col("doc_id"))).select(F.col("text").cast("string"))
-    schema = "part int, tokens double, flat binary"
+    schema = "part int, block int, tokens double, flat binary"
     trained = written(texts.mapInArrow(run, schema), "parameters")
     count = trained.agg(F.max("part")).first()[0] + 1
-    while count > FAN_IN:
-        trained = trained.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInArrow(_average, schema)
-        count = -(-count // FAN_IN)
-    rows = trained.collect()
-    total = sum(r["tokens"] for r in rows)
-    return start.like(sum(r["tokens"] / total * np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in rows))
+    while count:
+        trained = trained.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part", "block").applyInArrow(_average, schema)
+        count = -(-count // FAN_IN) if count > FAN_IN else 0
+    return start.like(np.concatenate([np.frombuffer(r["flat"], np.float32) for r in trained.orderBy("block").collect()]))
 
 
 def _epoch(trainer: Trainer, held: list[tuple[np.ndarray, ...]]) -> None:
     """``PASSES`` over some tokens, equal (context, target) triples as one, in random order."""
-    one, two, target = (np.concatenate(x) for x in zip(*held, strict=True))
-    triples, count = np.unique((one * _STATES + two) << 16 | target, return_counts=True)
-    trainer.tokens += int(count.sum())
-    order = np.concatenate([trainer.rng.permutation(len(triples)) for _ in range(PASSES)])
-    for at in range(0, len(order), BATCH):
-        i = order[at : at + BATCH]
-        one, two = np.divmod(triples[i] >> 16, _STATES)
-        trainer.step(one, two, triples[i] & 0xFFFF, count[i].astype(np.float32))
+    states, last, leaves = len(trainer.p.context), len(trainer.p.bias) - 1, len(trainer.p.node)
+    trainer.tokens += sum(len(x[2]) for x in held)
+    whole = np.concatenate([_triples(*x[:3], states, last + 1) for x in held])
+    rest = np.concatenate([_triples(*x[3:], leaves + 1, leaves)[x[2] == last] for x in held])
+    held.clear()
+    _steps(trainer, trainer.step, whole, states, last + 1, PASSES, BATCH)
+    del whole
+    _steps(trainer, trainer.leaf_step, rest, leaves + 1, leaves, LEAF_PASSES, LEAF_BATCH)
+
+
+def _triples(one: np.ndarray, two: np.ndarray, target: np.ndarray, states: int, targets: int) -> np.ndarray:
+    return (one.astype(np.int64) * states + two) * targets + target
+
 
+def _steps(trainer: Trainer, step, triples: np.ndarray, states: int, targets: int, passes: int, batch: int) -> None:
+    triples, count = np.unique(triples, return_counts=True)
+    order = np.concatenate([trainer.rng.permutation(len(triples)) for _ in range(passes)])
+    for at in range(0, len(order), batch):
+        i = order[at : at + batch]
+        pair, target = np.divmod(triples[i], targets)
+        one, two = np.divmod(pair, states)
+        step(one, two, target, count[i].astype(np.float32))
 
-def _weighted(part: int, tokens: float, flat: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(tokens)]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["part", "tokens", "flat"])
+
+def _weighted(part: int, block: int, tokens: float, flat: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([float(tokens)]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "block", "tokens", "flat"])
 
 
 def _average(table: pa.Table) -> pa.Table:
     tokens = np.array(table["tokens"].to_pylist())
     flat = sum(t / tokens.sum() * np.frombuffer(x, np.float32).astype(np.float64) for t, x in zip(tokens, table["flat"].to_pylist(), strict=True))
-    return pa.Table.from_batches([_weighted(table["part"][0].as_py(), tokens.sum(), flat)])
+    return pa.Table.from_batches([_weighted(table["part"][0].as_py(), table["block"][0].as_py(), tokens.sum(), flat)])
 
 
-def normalisers(p: Parameters) -> np.ndarray:
-    """Natural logarithm of the sum over all targets, for each pair of context states."""
+def normalisers(p: Parameters, rows: range | None = None) -> np.ndarray:
+    """Natural logarithm of the sum over all targets, for each pair of context states (of ``rows`` and all)."""
     one, two = p.context @ p.first, p.context @ p.second
-    out = np.empty((_STATES, _STATES), np.float64)
-    for i in range(_STATES):
-        s = (one[i] + two) @ p.target.T + p.bias
-        most = s.max(1, keepdims=True)
-        out[i] = (most + np.log(np.exp(s - most).sum(1, keepdims=True, dtype=np.float64)))[:, 0]
+    rows = range(len(one)) if rows is None else rows
+    out = np.empty((len(rows), len(two)), np.float64)
+    for k, i in enumerate(rows):
+        for at in range(0, len(two), _STATES):
+            s = (one[i] + two[at : at + _STATES]) @ p.target.T + p.bias
+            most = s.max(1, keepdims=True)
+            out[k, at : at + _STATES] = (most + np.log(np.exp(s - most).sum(1, keepdims=True, dtype=np.float64)))[:, 0]
+    return out
+
+
+def _all_normalisers(spark: SparkSession, p: Parameters) -> np.ndarray:
+    """``normalisers`` of all rows, found by the executors."""
+    shared = spark.sparkContext.broadcast(p)
+    states = len(p.context)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                found = normalisers(shared.value, range(i, i + 1)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["i", "flat"])
+
+    out = np.empty((states, states), np.float32)
+    for r in spark.range(0, states, 1, -(-states // 32)).mapInArrow(run, "i long, flat binary").toLocalIterator(prefetchPartitions=True):
+        out[r["i"]] = np.frombuffer(r["flat"], np.float32)
     return out
 
 
@@ -324,20 +473,29 @@ def _scored(shared):
         memo, last, head = words.memo(), words.targets, len(words.hashes)
         one_of, two_of = p.context @ p.first, p.context @ p.second
         base = np.append(np.log10((words.counts + SMOOTH) / words.total), 0.0)
-        # what a word adds to the rest's probability, if it has no target; unknown ones are added by the join
-        share = np.append(np.log10((words.counts + SMOOTH) / words.rest), 0.0)
-        share[:last] = 0.0
+        # what a word adds to its leaf's probability, if it has no target; unknown ones are added by the join
+        leaf = words.leaf()
+        share = np.append(np.log10(words.counts + SMOOTH), 0.0)
+        less = np.log10(words.masses)
         for batch in pieces(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             codes, sizes = _coded(texts, memo)
-            one, two = _contexts(codes, sizes)
+            one, two = _contexts(codes, sizes, words.states)
+            own = leaf[codes]
+            leaf_one, leaf_two = _before(own, sizes, words.leaves)
             target = np.minimum(codes, last)
             score = np.empty(len(codes))
             for at in range(0, len(codes), 1 << 16):
                 i = slice(at, at + (1 << 16))
                 h = one_of[one[i]] + two_of[two[i]]
                 score[i] = np.einsum("ij,ij->i", h, p.target[target[i]]) + p.bias[target[i]] - norm[one[i], two[i]]
-            score = score / np.log(10) + share[codes]
+            rest = np.flatnonzero(target == last)
+            for at in range(0, len(rest), LEAF_BATCH):
+                i = rest[at : at + LEAF_BATCH]
+                score[i] += leaf_scores(p, leaf_one[i], leaf_two[i], own[i])
+            score /= np.log(10)
+            codes = np.minimum(codes, head)
+            score[rest] += share[codes[rest]] - less[own[rest]]
             first = np.cumsum(sizes) - sizes
             known = codes < head
             tail_h, tail_n = [], []
@@ -382,7 +540,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(docs), "counts")
     words = vocabulary(counts)
     p = fit(docs, words)
-    shared = spark.sparkContext.broadcast((words, p, normalisers(p)))
+    shared = spark.sparkContext.broadcast((words, p, _all_normalisers(spark, p)))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<long>"
     heads = written(docs.mapInArrow(_scored(shared), schema), "scores")
     tail = heads.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
@@ -390,7 +548,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     unseen = tail.join(counts, "h", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"),
         F.sum(F.col("n") * F.log10((c + SMOOTH) / words.total)).alias("base_more"),
-        F.sum(F.col("n") * F.log10((c + SMOOTH) / words.rest)).alias("score_more"),
+        F.sum(F.col("n") * F.log10(c + SMOOTH)).alias("score_more"),
     )
     whole = heads.drop("tail_h", "tail_n").join(unseen, "row", "left")
     plus = lambda x, y: F.col(x) + F.coalesce(y, F.lit(0))

@@ -126,3 +126,43 @@ def test_classifier_on_odd_rows(spark, odd, none):
     empty = quality.fit(none, labels)
     assert quality.score(odd, empty).where("kept").count() == odd.count()
     assert quality.select(odd, empty).columns == odd.columns
+
+
+def test_rare_words_are_learned_from_their_contexts(spark, monkeypatch):
+    """Words without targets follow words without states: order within pairs tells texts apart."""
+    monkeypatch.setattr(lm, "WORDS_A_LEAF", 1)
+    filler = " ".join(f"f{k}" for k in range(lm.TARGETS + 10))
+    ids = [i for i in range(400) if not lm.held_out(i)]
+    held = [i for i in range(400, 500) if lm.held_out(i)][:2]
+    pairs = lambda shift, at=0: " ".join(f"c{(at + k) % 20} t{(at + k + shift) % 20}" for k in range(20))
+    some = [*((i, filler) for i in ids[:200]), *((i, pairs(0, i)) for i in ids[200:]), (held[0], pairs(0)), (held[1], pairs(7))]
+    got = {r["doc_id"]: r for r in scored(spark, some)[1]}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 1
+
+
+def test_words_without_targets_are_normalised(spark, small):
+    df, _ = small
+    counts = lm.word_counts(df)
+    words = lm.vocabulary(counts)
+    p = lm.fit(df, words)
+    every = np.arange(words.leaves)
+    assert words.distinct > words.targets and words.leaves > 2
+    for one, two in ((0, 0), (3, words.leaves), (words.leaves, words.leaves)):
+        total = np.exp(lm.leaf_scores(p, np.full(words.leaves, one), np.full(words.leaves, two), every)).sum()
+        assert total == pytest.approx(1, abs=1e-4)
+    assert np.abs(p.leaf_one).max() > 0
+    weight = np.full(words.leaves, lm.SMOOTH)
+    targets = set(words.hashes[: words.targets].tolist())
+    for r in counts.collect():
+        if r["h"] not in targets:
+            weight[r["h"] & (words.leaves - 1)] += r["c"] + lm.SMOOTH
+    np.testing.assert_allclose(weight, words.masses)
+
+
+def test_states_grow_with_the_tokens(spark, small):
+    hashes = np.arange(lm.HEAD)
+    size = lambda n: lm.Vocabulary(hashes, hashes, n, len(hashes), np.ones(2)).states
+    assert size(10**6) == lm._STATES and size(10**8) == 1000 and size(4 * 10**8) == 2000
+    one, two = lm._contexts(np.array([3, 255, 256, 997, 998]), np.array([5]), 1000)
+    assert one.tolist() == [lm._START, 3, 255, 258, 999] and two.tolist() == [lm._START, lm._START, 3, 255, 258]
