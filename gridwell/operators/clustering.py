@@ -97,26 +97,62 @@ def optics(points: DataFrame, eps: float, min_points: int, max_points_per_partit
 
     ``gap`` is the distance to the previous point of the order. Without a partition size
     there is one order over all points, which one task makes: OPTICS is sequential. With
-    one, each partition has its own order of its own points, with neighbours from others
-    left out.
+    one, each partition has its own order, made with copies of all points within eps of
+    it, of which only its own points are kept: core distances are those of the whole, and
+    reachabilities and gaps may be from a copy. :func:`optics_clusters` merges the
+    clusters of such orders.
     """
     if max_points_per_partition is None:
-        homes = points.select(F.lit(0).alias("pid"), "id", "x", "y")
-    else:
-        partitions, side = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
-        homes = replicate(points, partitions, eps, side).where("home").select("pid", "id", "x", "y")
+        return _ordered(points.select(F.lit(0).alias("pid"), "id", "x", "y", F.lit(True).alias("home")), eps, min_points).drop("home")
+    own = _grown_order(points, eps, min_points, max_points_per_partition).where("home").drop("home")
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("pos")).cast("long") - 1
+    return own.select("pid", "id", place.alias("pos"), "reach", "core_dist", "gap")
 
+
+def _grown_order(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int) -> DataFrame:
+    """The order of each partition and the copies of all points within eps of it."""
+    partitions, side = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
+    return _ordered(replicate(points, partitions, eps, side), eps, min_points)
+
+
+def _ordered(copies: DataFrame, eps: float, min_points: int) -> DataFrame:
     def kernel(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return optics_order(group, eps, min_points).assign(pid=key[0])
+        found = optics_order(group, eps, min_points)
+        return found.assign(pid=key[0], home=group.sort_values("id")["home"].to_numpy())
 
-    schema = "pid int, id long, pos long, reach double, core_dist double, x double, y double"
-    ordered = homes.groupBy("pid").applyInPandas(kernel, schema)
-    ordered = ordered.select("pid", "id", "pos", "x", "y", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("reach", "core_dist")))
+    schema = "pid int, id long, pos long, reach double, core_dist double, x double, y double, home boolean"
+    ordered = copies.groupBy("pid").applyInPandas(kernel, schema)
+    ordered = ordered.select("pid", "id", "pos", "x", "y", "home", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("reach", "core_dist")))
     w = Window.partitionBy("pid").orderBy("pos")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     return ordered.withColumn("gap", F.sqrt(dx * dx + dy * dy)).drop("x", "y")
 
 
+def optics_clusters(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int, ratio: float | None = None, at: float | None = None) -> DataFrame:
+    """(id, flag, cluster_id): clusters of the partitions' orders, merged.
+
+    They are cut by ``ratio`` if it is given, else by the threshold ``at`` (eps). All
+    copies of a core point (by the threshold, if that cuts) are in one cluster; of its
+    copies' clusters any other point is in the one of the smallest name. By the threshold
+    the clusters of core points are those of the global order.
+    """
+    ordered = written(_grown_order(points, eps, min_points, max_points_per_partition), "order")
+    at = eps if at is None else at
+    cut = eps_clusters(ordered, at) if ratio is None else ratio_clusters(ordered, ratio)
+    core = F.col("core_dist").isNotNull() if ratio is not None else F.coalesce(F.col("core_dist") <= F.lit(float(at)), F.lit(False))
+    placed = cut.select("pid", "id", "cluster_id").join(ordered.select("pid", "id", "home", core.alias("core")), ["pid", "id"])
+    name = F.when(F.col("cluster_id") != 0, F.shiftleft(F.col("pid").cast("long"), 32) + F.col("cluster_id"))
+    known = written(placed.groupBy("id").agg(F.max(F.col("home") & F.col("core")).alias("core"), F.collect_set(name).alias("clusters")), "known")
+    edges = known.where("core and size(clusters) > 1").select(F.array_min("clusters").alias("src"), F.explode("clusters").alias("dst"))
+    whole = connected_components(edges).withColumnRenamed("id", "name")
+    named = known.select("id", "core", F.explode("clusters").alias("name")).join(whole, "name", "left")
+    found = written(named.groupBy("id", "core").agg(F.min(F.coalesce("component", "name")).alias("component")), "components")
+    # a ratio can cut off points of which none is a core point
+    first = F.coalesce(F.min(F.when(F.col("core"), F.col("id"))), F.min("id"))
+    least = found.groupBy("component").agg(first.alias("first"))
+    return _labeled(points.select("id"), known.where("core").select("id"), found.join(least, "component").select("id", F.col("first").alias("component")))
+
+
 def _cut(ordered: DataFrame, noise, cut) -> DataFrame:
     w = Window.partitionBy("pid").orderBy("pos")
     marked = ordered.withColumn("noise", noise).withColumn("step", F.coalesce(F.when(~F.col("noise"), cut(w).cast("int")), F.lit(0)))

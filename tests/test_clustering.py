@@ -129,3 +129,29 @@ def test_grid_join_is_an_equi_join(spark):
     df = in_memory(spark, [(1, 0.0, 0.0)])
     plan = neighbor_pairs(df, df, 0.5)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("size", [12, 40])
+def test_partitioned_optics_against_the_global_form(spark, size):
+    from gridwell.operators.clustering import optics_clusters
+
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(300)] + [(1000 + i, 3 + i * 0.03, 0.0) for i in range(80)]
+    df = in_memory(spark, points)
+    whole = {r["id"]: r for r in optics(df, 0.12, 4).collect()}
+    parts = optics(df, 0.12, 4, size).collect()
+    assert len(parts) == len(points) and len({r["pid"] for r in parts}) > 3
+    assert {r["id"]: r["core_dist"] for r in parts} == {i: r["core_dist"] for i, r in whole.items()}
+    for pid in {r["pid"] for r in parts}:
+        own = [r["pos"] for r in parts if r["pid"] == pid]
+        assert sorted(own) == list(range(len(own)))
+    for at in (0.12, 0.08):
+        want = brute(points, at, 4)
+        got = {r["id"]: (r["flag"], r["cluster_id"]) for r in optics_clusters(df, 0.12, 4, size, at=at).collect()}
+        assert set(got) == set(want)
+        cores = {i for i in want if want[i][0] == "CORE"}
+        assert {i for i in got if got[i][0] == "CORE"} == cores
+        assert all(got[i] == want[i] for i in cores)
+        assert all(want[i][0] == "BORDER" for i in got if got[i][0] == "BORDER")
+    cut = {r["id"]: r["cluster_id"] for r in optics_clusters(df, 0.12, 4, size, ratio=0.01).collect()}
+    assert len(cut) == len(points) and len({cut[1000 + i] for i in range(80)}) == 1
