@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import encoder, pieces
+from gridwell.llm.text import encoder, pieces_by_size
 from gridwell.session import written
 
 CAPACITY = 2048
@@ -36,10 +36,10 @@ def _tokenised(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, True)
         end = int(end_id).to_bytes(4, "little")
-        for batch in pieces(batches):
+        for batch in pieces_by_size(batches, 1):
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text) + end
+            for i, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                raw = own.tobytes() + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     doc.append(i)

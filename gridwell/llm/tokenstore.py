@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import encoder, pieces
+from gridwell.llm.text import encoder, pieces, pieces_by_size
 from gridwell.session import scratch_path
 
 MAGIC = b"TIDBLK01"
@@ -91,10 +91,10 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
             chosen.append(r["doc_id"])
             total += r["n"]
     texts = source.where("text is not null").where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
-    data = _dictionary([x for r in texts.collect() if (x := _stored(enc.encode(r["text"]), width))])
+    data = _dictionary([_stored(ids, width) for ids in enc.encode([r["text"] for r in texts.collect()]) if len(ids)])
     digest = hashlib.sha256(data).digest()
     shared = spark.sparkContext.broadcast(data)
-    end = int(end_id).to_bytes(4, "little")
+    end = np.uint32(end_id)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -104,14 +104,14 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(shared.value), write_checksum=False)
         start = number = 0
         entries, frames, held = [], [], 0
-        for batch in pieces(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text) + end
-                frame = packer.compress(_stored(raw, width))
+        for batch in pieces_by_size(batches, 1):
+            for doc, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                ids = np.append(own, end)
+                frame = packer.compress(_stored(ids, width))
                 # a null id is stored as the smallest long, which sorts first as nulls do
-                entries.append((-(1 << 63) if doc is None else doc, start, len(raw) // 4, held, len(frame)))
+                entries.append((-(1 << 63) if doc is None else doc, start, len(ids), held, len(frame)))
                 frames.append(frame)
-                start += len(raw) // 4
+                start += len(ids)
                 held += len(frame)
                 if held >= BLOCK_BYTES:
                     yield _row(part, number, start, _block(digest, width, entries, frames))
@@ -132,8 +132,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
     return TokenFiles(path)
 
 
-def _stored(raw: bytes, width: int) -> bytes:
-    return np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+def _stored(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
 
 
 def _row(part: int, number: int, ids: int, block: bytes) -> pa.RecordBatch:
