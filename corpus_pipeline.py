@@ -6,12 +6,12 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwell.llm import decontam, neardup, packing, quality, secrets
 from gridwell.llm.queries import vocabulary_path
-from gridwell.session import scratch_path, ship, table
+from gridwell.session import scratch_path, ship, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,15 +21,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id. Of rows that repeat a
-    doc_id that of the smallest text hash stays; rows with a null doc_id all stay."""
+    """One document of each group: that of the smallest doc_id.
+
+    Where a doc_id repeats or is null, each row is a document of its own; a null doc_id
+    comes last. Rows without words are in no group and all stay.
+    """
     ship(spark)
-    found = neardup.near_duplicates(docs)
-    kept = found.where("doc_id is not null and kept").groupBy("doc_id").count()
-    unique = docs.join(kept.where("count = 1"), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = docs.join(kept.where("count > 1"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return unique.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    rows = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(own["text"]).alias("text")))
+    named = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", F.col(own["doc_id"]).alias("id")), "row")
+    first = F.min(F.struct(F.isnull("id").alias("last"), "id", "row"))["row"]
+    kept = named.groupBy("component_id").agg(first.alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
