@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import Memo, mix, pieces, shingle_hashes
+from gridwell.llm.text import HASHES, Memo, mix, pieces, shingle_hashes
 from gridwell.operators.components import connected_components
 from gridwell.session import written
 
@@ -307,7 +307,7 @@ def _texts(ids: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, memos=(HASHES,)):
         sets = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
         ends = np.cumsum([0, *map(len, sets)])
         values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
@@ -318,8 +318,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = Memo(shingle_hashes, 8)
-    for batch in pieces(batches):
+    sets = Memo(shingle_hashes, 8 << 20)
+    for batch in pieces(batches, memos=(HASHES,)):
         a, b, x, y = (c.to_pylist() for c in batch.columns)
         keep = [_linked(sets[p], sets[q]) for p, q in zip(x, y, strict=True)]
         rows = [(i, j) for i, j, k in zip(a, b, keep, strict=True) if k]
@@ -332,7 +332,7 @@ def _linked(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 512):
+    for batch in pieces(batches, 512, (HASHES,)):
         n, k1, k2, flat, ends = [], [], [], [], [0]
         for text in batch.column(1).to_pylist():
             s = shingle_hashes(text)

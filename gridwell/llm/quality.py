@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import _ALNUM, Memo, lasting, pieces, utf8
+from gridwell.llm.text import _ALNUM, Memo, hold, lasting, pieces, utf8
 
 DIMENSIONS = 1 << 18
 #: Rated documents that the classifier is fitted to at most: those of the smallest hashes.
@@ -43,7 +44,7 @@ def _slots(word: bytes) -> tuple[int, int]:
     return tuple(_DENSE + xxhash.xxh3_64_intdigest(x) % (DIMENSIONS - _DENSE) for x in (bare, short))
 
 
-_place = lasting(Memo(_slots))
+_place = lasting(Memo(_slots, each=164))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,7 @@ class Model:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, memos=(_place,)):
         found = [features(t) for t in batch.column(1).to_pylist()]
         at = pa.array([a.tobytes() for a, _ in found], pa.binary())
         value = pa.array([v.tobytes() for _, v in found], pa.binary())
@@ -154,7 +155,7 @@ def score(docs: DataFrame, model: Model, keep_least: float = KEEP_LEAST) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, memos=(_place,)):
             tails = np.array([shared.value.tails(*features(t)) for t in batch.column(1).to_pylist()])
             if len(tails):
                 columns = [batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_least)]
@@ -168,5 +169,10 @@ def score(docs: DataFrame, model: Model, keep_least: float = KEEP_LEAST) -> Data
 def select(docs: DataFrame, model: Model, keep_least: float = KEEP_LEAST) -> DataFrame:
     """The rows of ``docs`` whose tail probability reaches ``keep_least``, columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    good = F.pandas_udf(lambda s: s.map(lambda t: bool(shared.value.tails(*features(t))[-1] >= keep_least)), "boolean")
+
+    def reached(texts: pd.Series) -> pd.Series:
+        hold(_place)
+        return texts.map(lambda t: bool(shared.value.tails(*features(t))[-1] >= keep_least))
+
+    good = F.pandas_udf(reached, "boolean")
     return docs.where(good(F.col("text").cast("string")))

@@ -1,8 +1,8 @@
 """Words, shingles and token ids of whole texts, with bounded memos.
 
-The memos live in the Python worker and speed up repeated words; they hold at
-most a fixed number of entries and start anew when full, so that results never
-depend on them.
+The memos live in the Python worker and speed up repeated words. Each holds a bounded
+number of bytes and drops its older half when it is full, so that results never
+depend on them; a task empties those of other operators.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-MEMO_ENTRIES = 600_000
+#: Bytes that a memo holds, about.
+MEMO_BYTES = 32 << 20
 ROWS_PER_PIECE = 64
 #: Bytes of text that are encoded at once, if a single text isn't longer.
 ENCODED_AT_ONCE = 8 << 20
@@ -28,37 +30,47 @@ _ALNUM = bytes(
 
 
 class Memo(dict):
-    """A dict that fills itself from ``make`` and starts anew when it is full."""
+    """A dict that fills itself from ``make``; beyond ``most`` bytes it drops what was
+    not used of late. ``each`` is what an entry holds besides its key and value."""
 
-    def __init__(self, make: Callable, most: int = MEMO_ENTRIES):
+    def __init__(self, make: Callable, most: int = MEMO_BYTES, each: int = 100):
         super().__init__()
-        self.make, self.most, self.used = make, most, False
+        self.make, self.most, self.each = make, most, each
+        self.older: dict = {}
+        self.held = 0
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.most:
+        value = self.older.pop(key) if key in self.older else self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if 2 * self.held >= self.most:
+            self.older = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
-        self.used = True
-        return value
+        self.held += getsizeof(key) + getsizeof(value) + self.each
+
+    def empty(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
 
 
 _lasting: list[Memo] = []
 
 
 def lasting(memo: Memo) -> Memo:
-    """``memo``, to be kept from task to task for as long as tasks fill it."""
+    """``memo``, to be kept from task to task for as long as tasks of its operator follow."""
     _lasting.append(memo)
     return memo
 
 
-def _free_idle() -> None:
-    """Empty the memos that the last task did not add to: a worker that goes on to
-    another operator does not hold this one's words as well."""
+def hold(*memos: Memo) -> None:
+    """Empty all lasting memos but these, which the present task uses."""
     for memo in _lasting:
-        if not memo.used:
-            memo.clear()
-        memo.used = False
+        if not any(memo is m for m in memos):
+            memo.empty()
 
 
 def utf8(text: str | None) -> bytes:
@@ -75,11 +87,12 @@ def alnum_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_ALNUM).split()
 
 
-_hash = lasting(Memo(xxhash.xxh3_64_intdigest, 200_000))
+#: Hashes of words, which shingles are made of.
+HASHES = lasting(Memo(xxhash.xxh3_64_intdigest, 32 << 20))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,9 +125,10 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(acc)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``: bounds what Python holds at once."""
-    _free_idle()
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE, memos: tuple[Memo, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: bounds what Python holds at once.
+    ``memos`` are those that the task uses."""
+    hold(*memos)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -122,7 +136,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE) -> Ite
 
 def pieces_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = ENCODED_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of a text column, or of one row."""
-    _free_idle()
+    hold()
     for batch in batches:
         if not batch.num_rows:
             continue
