@@ -281,6 +281,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of any item occurs, columns unchanged."""
-    found = search(docs, items)
-    return found.where(F.col("match.hits").isNull()).select(*docs.columns)
+    """The rows of ``docs`` in which no window of any item occurs, columns unchanged, whatever their names."""
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    found = search(docs.toDF(*names), items).where(F.col("match.hits").isNull())
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -22,11 +22,12 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import pieces
+from gridwell.llm.text import hold, pieces
 
 # The patterns of the strong kinds, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -200,13 +201,19 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets replaced in ``text``, other columns and rows unchanged.
 
     ``n_chars``, if there is such a column, becomes the new length of changed texts.
+    Other columns may have any names.
     """
-    clean = F.pandas_udf(lambda s: s.map(lambda t: redacted(t) if t else t), "string")
-    out = docs.withColumn("text", clean(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        shown = docs.withColumn("__text", clean(F.col("text")))
-        changed = ~F.col("text").eqNullSafe(F.col("__text"))
-        size = F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast(kind)
-        out = shown.select(*(F.col("__text").alias("text") if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
-    return out
+
+    def cleaned(texts: pd.Series) -> pd.Series:
+        hold()
+        return texts.map(lambda t: redacted(t) if t else t)
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names, strict=True))
+    text = F.col(own["text"])
+    shown = docs.toDF(*names).withColumn("clean", F.pandas_udf(cleaned, "string")(text.cast("string")))
+    new = {"text": F.col("clean")}
+    if "n_chars" in own:
+        size = F.when(~text.eqNullSafe(F.col("clean")), F.length("clean")).otherwise(F.col(own["n_chars"]))
+        new["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return shown.select(*(new.get(c, F.col(n)).alias(c) for c, n in own.items()))
