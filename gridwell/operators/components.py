@@ -2,56 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwell.operators.local import least_labels
 from gridwell.session import drop_written, written
 
+#: Edges that one task contracts at once.
+EDGES_AT_ONCE = 1 << 20
+
+_EDGE = "u long, v long"
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``(id, component)`` for every vertex that has an edge.
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", edges_at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """``(id, component)`` for every vertex that has an edge, written.
 
     ``component`` is the smallest id that can be reached. Self-loops, repeated
-    edges and nulls add nothing. Large-star and small-star steps alternate until
-    the edge set is a set of stars. Each step aggregates minima map-side and joins
-    them back on the vertex, which adaptive execution splits for hot vertices; no
-    adjacency list is ever built. Every round is written to the shared folder.
+    edges and nulls add nothing; ids are longs. Edges are dealt to tasks, at most
+    ``edges_at_once`` to each, and each task contracts its own to stars. Where that
+    takes several tasks, a large-star and a small-star step follow, and all is repeated
+    until the edge set is a set of stars. The steps take minima map-side and join
+    them back on the vertex from written tables, so that adaptive execution can split
+    the edges of a hot vertex; no adjacency list is ever built.
     """
-    now = written(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-        .distinct(),
-        "edges",
-    )
-    seen = _signature(now)
-    while seen[0]:
-        after = written(_small_star(_large_star(now)), "edges")
-        sign = _signature(after)
+    pairs = edges.select(F.col(src).cast("long").alias("s"), F.col(dst).cast("long").alias("d")).where("s is not null and d is not null and s != d")
+    now = written(pairs.select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct(), "edges")
+    while True:
+        parts = -(-now.count() // edges_at_once)
+        if parts > 1 and _settled(now):
+            break
+        dealt = now.coalesce(1) if parts <= 1 else now.repartition(parts, "u", "v")
+        contracted = written(dealt.mapInArrow(_stars, _EDGE), "edges")
         drop_written(now)
-        now = after
-        if sign == seen:
+        now = contracted
+        if parts <= 1:
             break
-        seen = sign
+        now = _step(_step(now, _large_star), _small_star)
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Count and order-free hash of an edge set."""
-    h = F.xxhash64("u", "v")
-    row = edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-    return tuple(row)
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task's edges, each as a star around its smallest vertex."""
+    held = [b.to_pandas().to_numpy(np.int64) for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, index = np.unique(np.concatenate(held), return_inverse=True)
+    i, j = index.reshape(-1, 2).T
+    label = least_labels(len(ids), np.concatenate([i, j]), np.concatenate([j, i]))
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    for at in range(0, len(own), 1 << 16):
+        some = own[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], ["u", "v"])
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no vertex has two smaller neighbours, or smaller and larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
+def _step(edges: DataFrame, star) -> DataFrame:
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"), "least")
+    after = written(star(edges, least).distinct(), "edges")
+    drop_written(least)
+    drop_written(edges)
+    return after
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest of its neighbourhood."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return edges.join(least, edges["v"] == least["x"], "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Link a vertex and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = edges.join(least, edges["u"] == least["x"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select(F.col("x").alias("u"), F.col("m").alias("v")))

@@ -37,7 +37,7 @@ def neighbor_blocks(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[
             at = end
 
 
-def _least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest vertex reachable from each, by hooking and pointer jumping."""
     label = np.arange(n)
     while True:
@@ -72,7 +72,7 @@ def local_clusters(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataF
         rim = ~core[i] & core[j]
         borders.append(np.stack([i[rim], j[rim]]))
     i, j = np.concatenate(links, 1)
-    label = _least_labels(n, np.concatenate([i, j]), np.concatenate([j, i]))
+    label = least_labels(n, np.concatenate([i, j]), np.concatenate([j, i]))
     near: list[set[int]] = [{int(ids[label[k]])} if core[k] else set() for k in range(n)]
     for a, b in np.concatenate(borders, 1).T:
         near[a].add(int(ids[label[b]]))

@@ -105,9 +105,12 @@ def test_first_split_is_the_best(spark):
     assert tuple(QUERIES["best_split"](spark, sf).first()) == first_split(cells)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+def test_components(spark, at_once):
+    """In one task, and by steps between several; with a hub, a chain and odd rows."""
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(500, 500), (None, 3)]
+    edges += [(1000, 2000 + i) for i in range(100)] + [(3000 + i, 3001 + i) for i in range(60)] + [(-7, 3001)]
     parent = {}
 
     def find(x):
@@ -119,8 +122,9 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {v: find(v) for v in list(parent)}
+    found = connected_components(spark.createDataFrame(edges, "src long, dst long"), edges_at_once=at_once)
+    got = [(r["id"], r["component"]) for r in found.collect()]
+    assert sorted(got) == sorted((v, find(v)) for v in list(parent))
 
 
 def test_grid_join_is_an_equi_join(spark):
