@@ -130,8 +130,8 @@ def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
         leaders = own.groupBy("h", "class", part.alias("part")).agg(top.alias("top")).select("h", "class", (-F.col("top.id")).alias("a"))
         others = own.where(f"not component <=> main and place < {LEADER_PLACES}")
         pairs = others.join(leaders, ["h", "class"]).where("id != a").select("a", F.col("id").alias("b")).distinct()
-        links = written(links.union(_confirmed(_estimated(pairs, ranked), source)), "links")
-    return written(links.union(_confirmed(_estimated(_remaining(common, links), ranked), source)), "links")
+        links = links.union(_confirmed(_estimated(pairs, ranked), source))
+    return links.union(_confirmed(_estimated(_remaining(common, links), ranked), source))
 
 
 def _family_lists(ranked: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
