@@ -8,6 +8,7 @@ those probabilities, and the tail probability that of the highest grade.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +37,18 @@ NORM = 10.0
 _DENSE = 6
 
 
+_FORM = bytes(65 if 0x41 <= c <= 0x5A else 97 if c >= 0x80 or 0x61 <= c <= 0x7A else 48 if 0x30 <= c <= 0x39 else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
+def _slot(x: bytes) -> int:
+    return _DENSE + xxhash.xxh3_64_intdigest(x) % (DIMENSIONS - _DENSE)
+
+
 def _slots(word: bytes) -> tuple[int, int]:
-    """Hashed places of a word without case and punctuation, and of its form."""
-    bare = word.translate(_ALNUM).strip()
-    form = b"\x00" + bytes(65 if 0x41 <= c <= 0x5A else 97 if c >= 0x80 or 0x61 <= c <= 0x7A else 48 if 0x30 <= c <= 0x39 else c for c in word)
-    short = bytes(c for c, d in zip(form, form[1:] + b"\x01", strict=True) if c != d)
-    return tuple(_DENSE + xxhash.xxh3_64_intdigest(x) % (DIMENSIONS - _DENSE) for x in (bare, short))
+    """Hashed places of a word without case and punctuation, and of its form, in which
+    letters and digits are alike and a run is one."""
+    return _slot(word.translate(_ALNUM).strip()), _slot(_RUN.sub(rb"\1", b"\x00" + word.translate(_FORM)))
 
 
 _place = lasting(Memo(_slots, each=164))
