@@ -1,33 +1,32 @@
 """Log-bilinear language model, trained with noise-contrastive estimation in numpy.
 
-The last two words' vectors, each through a matrix of its place, add up to a
-prediction; its product with a word's vector, plus the word's bias, is the word's
-score. The ``TARGETS`` most frequent words have target vectors of their own; all others
-share one, within which a second model tells them apart. Context vectors of their own
-have the most frequent words, ``CONTEXTS`` at least and else as many as keep the pairs
-of them to one for ``TOKENS_A_PAIR`` tokens; the others share one here. The normaliser
-of each pair is found once, by batched matrix products over all targets.
-
-The second model covers every word that has no target, however rare. Words are dealt
-by their hashes to the leaves of a binary tree, whose number grows with the distinct
-words. Each inner node has a vector and a bias, by which the context tells the way to
-go; words of a leaf are shared out by their counts. Its contexts are the last two
-words, each by a vector of its own leaf. It is trained by its likelihood, which a
-tree gives without a normaliser. Every log-probability is exactly normalised.
-
-What is learned covers all training documents: words are counted over all of them,
-and each partition trains on all of its own from common starting values. The
-partitions' parameters are averaged in a tree, weighted by their tokens.
-
-Only the ``HEAD`` most frequent words are sent to executors. The rest of a document's
-words have their leaves by their hashes and are joined with the table of counts.
+The vector of the last word and that of the state of the words before, each through a
+matrix of its place, add up to a prediction; its product with a word's vector, plus the
+word's bias, is the word's score. The ``TARGETS`` most frequent words have vectors of
+their own. All others share those of buckets, whose number grows with the distinct
+words, and are told apart within one by their counts; a word's bucket follows from its
+class and hash. So every word is both a context and a target. The normaliser of each
+pair of contexts is found once, by batched matrix products over all targets, and every
+log-probability is exactly normalised.
+
+Classes are groups of the ``TELLING`` most frequent words that share documents, found
+from the number of documents with both words of each pair, over all training documents.
+The state of a place says which class the last ``NEAR`` words speak for, and whether few
+or many of them do. A less frequent word's class is the one whose states it stands in
+most often; words beyond the ``HEAD`` most frequent have a class of their own.
+
+What is learned covers all training documents. They are dealt by hashes to as many
+shards as their tokens need; in each of ``ROUNDS`` rounds every shard trains from common
+parameters on its own share, and the results are averaged in a tree, weighted by tokens.
+Neither the classes nor the parameters depend on how the input is partitioned.
+
+Only the head is sent to executors. The rest of a document's words are joined with the
+table of counts.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,42 +36,47 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import Memo, pieces, space_words
+from gridwell.llm.text import ROWS_PER_PIECE, distinct_space_words, pieces, pieces_by_size
 from gridwell.session import written
 
 HEAD = 1 << 18
-CONTEXTS = 256
-TARGETS = 8191
+TARGETS = 4095
 WIDTH = 24
-PASSES = 2
-BATCH = 512
+ROUNDS = 2
+PASSES = 1
+BATCH = 256
 NOISE = 64
-TOKENS_A_PAIR = 100
-#: Distinct words for each leaf of the tree, at least; its vectors' width, its batches
-#: and its passes.
-WORDS_A_LEAF = 64
-LEAF_WIDTH = 16
-LEAF_BATCH = 1024
-LEAF_PASSES = 1
+#: Frequent words that tell classes, number of classes, words back that count, and
+#: telling words among them from which on they are many.
+TELLING = 256
+CLASSES = 15
+NEAR = 64
+MANY = 4
+STATES = 1 + 2 * CLASSES
+#: Distinct words for each bucket, at least.
+WORDS_A_BUCKET = 512
 #: Noise samples that a token counts for.
 RATIO = 25.0
 RATE = 0.05
 FAN_IN = 16
 BLOCK = 1 << 20
-COUNTED_AT_ONCE = 300_000
-TOKENS_AT_ONCE = 1 << 22
+COUNTED_AT_ONCE = 1 << 20
+TOKENS_A_SHARD = 1 << 21
+TOKENS_AT_ONCE = 1 << 16
 SMOOTH = 0.1
 END = b""
 
-_OTHER, _START = CONTEXTS, CONTEXTS + 1
-#: States of the least model; further words' follow.
-_STATES = CONTEXTS + 2
+_FLAT = "part int, block int, tokens double, flat binary"
 
 
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def training(doc_id: Column) -> Column:
     """Whether a document is learned from: by the CRC-32 of its id as text; null is not."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) != 0, F.lit(False))
@@ -86,23 +90,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): hash and count of every training token, over all training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in pieces(batches):
-            for text in batch.column(0).to_pylist():
-                counts.update(space_words(text))
-                counts[END] += 1
-            if len(counts) >= COUNTED_AT_ONCE:
-                yield _counted(counts)
-                counts.clear()
-        if counts:
-            yield _counted(counts)
+        held, size = [], 0
+        for batch in pieces_by_size(batches, 0):
+            words, codes, sizes = distinct_space_words(batch.column(0))
+            n = np.bincount(codes, minlength=len(words)).astype(np.int64)
+            held.append((np.append(_hashes(words), _hash(END)), np.append(n, len(sizes))))
+            size += len(words) + 1
+            if size >= COUNTED_AT_ONCE:
+                yield _counted(held)
+                held, size = [], 0
+        if held:
+            yield _counted(held)
 
     texts = docs.where(training(F.col("doc_id"))).select(F.col("text").cast("string"))
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["h", "c"])
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    h, index = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    c = np.bincount(index, np.concatenate([n for _, n in held])).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
 
 
 @dataclass
@@ -113,84 +120,226 @@ class Vocabulary:
     counts: np.ndarray
     tokens: int
     distinct: int
-    #: For each leaf the weight of its words that have no target, an unseen one included.
-    masses: np.ndarray
-
-    @property
-    def leaves(self) -> int:
-        return len(self.masses)
-
-    @property
-    def states(self) -> int:
-        return max(_STATES, min(math.isqrt(self.tokens // TOKENS_A_PAIR), len(self.hashes) + 2))
-
-    def leaf(self) -> np.ndarray:
-        """The leaf of each code of ``memo``."""
-        return np.concatenate([self.hashes & (self.leaves - 1), np.arange(self.leaves)])
+    #: Buckets of each class.
+    buckets: int
+    #: For each class's buckets the counts and numbers of the words beyond the head.
+    tail: np.ndarray
+    #: For each word of the head its class; of targets it is not used.
+    classes: np.ndarray | None = None
+    #: For each telling word what it says for each class, in 1024ths, and 1.
+    says: np.ndarray | None = None
 
     @property
     def targets(self) -> int:
         return min(TARGETS, len(self.hashes))
 
     @property
-    def rest(self) -> float:
-        """Weight of all words that have no target of their own, the unseen one included."""
-        own = self.counts[: self.targets]
-        return self.tokens - int(own.sum()) + SMOOTH * (self.distinct - len(own) + 1)
+    def size(self) -> int:
+        """Targets and buckets."""
+        return self.targets + (CLASSES + 1) * self.buckets
 
     @property
     def total(self) -> float:
         return self.tokens + SMOOTH * (self.distinct + 1)
 
-    def unigram(self) -> np.ndarray:
-        """Probabilities of the targets and, last, of the rest."""
-        return np.append(self.counts[: self.targets] + SMOOTH, self.rest) / self.total
+    def index(self) -> np.ndarray:
+        """The target or bucket of each of ``codes``."""
+        t = self.targets
+        own = t + self.classes[t:] * self.buckets + (self.hashes[t:] & (self.buckets - 1))
+        return np.concatenate([np.arange(t), own, t + CLASSES * self.buckets + np.arange(self.buckets)])
+
+    def masses(self) -> np.ndarray:
+        """For each target and bucket the weight of its words, in a bucket an unseen one included."""
+        index = self.index()[: len(self.hashes)]
+        out = np.bincount(index, self.counts + SMOOTH, self.size).astype(float)
+        out[self.targets :] += SMOOTH
+        out[self.size - self.buckets :] += self.tail[0] + SMOOTH * self.tail[1]
+        return out
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words in the head, or the head's size plus the bucket of their hash."""
+        head = len(self.hashes)
+        out = head + (hashes & (self.buckets - 1))
+        if head:
+            order = np.argsort(self.hashes)
+            at = order[np.minimum(np.searchsorted(self.hashes, hashes, sorter=order), head - 1)]
+            found = self.hashes[at] == hashes
+            out[found] = at[found]
+        return out.astype(np.int32)
 
-    def memo(self) -> Memo:
-        """Word -> place in the head, or the head's size plus their leaf for the others."""
-        place = {int(h): i for i, h in enumerate(self.hashes)}
-        head, last = len(place), self.leaves - 1
 
-        def code(word: bytes) -> int:
-            h = _hash(word)
-            found = place.get(h)
-            return head + (h & last) if found is None else found
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The words of the ``HEAD`` highest counts; of a count that not all fit in none."""
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # there are at most as many different counts as the root of twice the tokens
+    by_count = counts.groupBy("c").count().toPandas().sort_values("c", ascending=False)
+    fits = np.cumsum(by_count["count"].to_numpy(np.int64)) <= HEAD
+    least = int(by_count["c"].to_numpy(np.int64)[fits].min()) if fits.any() else 1 << 62
+    head = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    buckets = 1 << max(0, (distinct // (WORDS_A_BUCKET * (CLASSES + 1))).bit_length())
+    rest = counts.where(F.col("c") < least).groupBy(F.col("h").bitwiseAND(F.lit(buckets - 1)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
+    tail = np.zeros((2, buckets))
+    tail[:, rest["b"].to_numpy(np.int64)] = rest["c"].to_numpy(float), rest["n"].to_numpy(float)
+    return Vocabulary(head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), int(tokens), int(distinct), buckets, tail)
+
+
+def _coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """Each document's codes (little-endian 32-bit) and its words beyond the head, and
+    for each partition the numbers of training documents with two telling words."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-        return Memo(code)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        known, head = shared.value, len(shared.value.hashes)
+        part = TaskContext.get().partitionId()
+        row = part << 40
+        end = known.codes(_hashes([END]))
+        both = np.zeros((TELLING, TELLING), np.float64)
+        for batch in pieces_by_size(batches, 1):
+            words, place, sizes = distinct_space_words(batch.column(1))
+            hashes = np.append(_hashes(words), _hash(END))
+            codes = np.append(known.codes(hashes[:-1]), end)
+            # the end token follows each text
+            whole = np.full(len(place) + len(sizes), len(words), np.int32)
+            last = np.cumsum(sizes + 1) - 1
+            own = np.ones(len(whole), bool)
+            own[last] = False
+            whole[own] = place
+            for a in range(0, batch.num_rows, ROWS_PER_PIECE):
+                ids = batch.column(0)[a : a + ROWS_PER_PIECE].to_pylist()
+                seen = np.zeros((len(ids), TELLING), np.float32)
+                rows: list[tuple] = []
+                for k, i in enumerate(ids):
+                    z = whole[last[a + k] - sizes[a + k] : last[a + k] + 1]
+                    c = codes[z]
+                    tail, n = np.unique(hashes[z[c >= head]], return_counts=True)
+                    held = held_out(i)
+                    if not held:
+                        seen[k, c[c < TELLING]] = 1
+                    raw = c.tobytes()
+                    rows.append((row, i, held, len(c), zlib.crc32(raw), raw, tail, n.astype(np.int64), None))
+                    row += 1
+                both += seen.T @ seen
+                yield _rows(rows)
+        yield _rows([(-1 - part, None, None, 0, 0, None, [], [], both.tobytes())])
+
+    return docs.mapInArrow(run, _CODED)
+
+
+_CODED = "row long, doc_id long, held_out boolean, n_tokens long, crc long, codes binary, tail_h array<long>, tail_n array<long>, both binary"
+_CODED_ARROW = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("codes", pa.binary())]
+    + [("tail_h", pa.list_(pa.int64())), ("tail_n", pa.list_(pa.int64())), ("both", pa.binary())]
+)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CODED_ARROW, strict=True)], schema=_CODED_ARROW)
+
+
+def classes_of(both: np.ndarray) -> np.ndarray:
+    """What each telling word says for each class, from the numbers of documents with
+    both words of each pair.
+
+    The rows of the leading eigenvectors of their cosines are grouped around centres,
+    the first of which is the most frequent word's and each further one the farthest
+    from all before; a word speaks for a class as much as its documents have its words.
+    """
+    each = np.diag(both)
+    n = int((each > 0).sum())
+    if not n:
+        return np.zeros((TELLING, CLASSES))
+    used = np.flatnonzero(each > 0)
+    pairs = both[np.ix_(used, used)]
+    cosine = pairs / np.sqrt(np.outer(each[used], each[used]))
+    value, vector = np.linalg.eigh(cosine)
+    top = vector[:, np.argsort(-value)[:CLASSES]]
+    top /= np.maximum(np.linalg.norm(top, axis=1, keepdims=True), 1e-12)
+    chosen = [int(each[used].argmax())]
+    while len(chosen) < min(CLASSES, n):
+        near = (top @ top[chosen].T).max(1)
+        near[chosen] = np.inf
+        chosen.append(int(near.argmin()))
+    centres = top[chosen]
+    for _ in range(20):
+        group = (top @ centres.T).argmax(1)
+        for k in range(len(centres)):
+            if (group == k).any():
+                mean = top[group == k].mean(0)
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-12)
+    alone = pairs - np.diag(each[used])
+    weight = np.stack([alone[:, group == k].sum(1) for k in range(CLASSES)], 1) + 1.0
+    share = weight / weight.sum(0)
+    says = np.zeros((TELLING, CLASSES))
+    says[used] = np.log(share) - np.log(share.mean(1, keepdims=True))
+    says[:, len(centres) :] = -8
+    return np.clip(says, -8, 8)
+
+
+def states(codes: np.ndarray, sizes: np.ndarray, says: np.ndarray) -> np.ndarray:
+    """For each token of texts the state of those before it in its text: 0 without a
+    telling word among the last ``NEAR``, else by their class and whether they are many."""
+    out = np.zeros(len(codes), np.int32)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    for a in range(0, len(codes), TOKENS_AT_ONCE):
+        b, low = min(a + TOKENS_AT_ONCE, len(codes)), max(0, a - NEAR)
+        run = np.zeros((b - low + 1, CLASSES + 1), np.int32)
+        np.cumsum(says[np.minimum(codes[low:b], TELLING)], axis=0, out=run[1:])
+        at = np.arange(a, b)
+        found = run[at - low] - run[np.maximum(start[a:b], at - NEAR) - low]
+        many = found[:, -1]
+        out[a:b] = np.where(many > 0, 1 + 2 * found[:, :-1].argmax(1) + (many >= MANY), 0)
+    return out
+
+
+def _says(classes: np.ndarray) -> np.ndarray:
+    """``classes_of`` in 1024ths, with a column of ones, and a row of zeros for all other words."""
+    own = np.concatenate([np.rint(1024 * classes), np.ones((TELLING, 1))], 1)
+    return np.concatenate([own, np.zeros((1, CLASSES + 1))]).astype(np.int32)
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    hashes, own = head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64)
-    leaves = 1 << max(1, (distinct // WORDS_A_LEAF).bit_length())
-    dealt = counts.groupBy(F.col("h").bitwiseAND(F.lit(leaves - 1)).alias("leaf")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
-    weight, words = np.zeros(leaves, np.int64), np.ones(leaves, np.int64)
-    weight[dealt["leaf"]] += dealt["c"].to_numpy(np.int64)
-    words[dealt["leaf"]] += dealt["n"].to_numpy(np.int64)
-    first = hashes[:TARGETS] & (leaves - 1)
-    np.subtract.at(weight, first, own[:TARGETS])
-    np.subtract.at(words, first, 1)
-    return Vocabulary(hashes, own, int(tokens), int(distinct), weight + SMOOTH * words)
+
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with all their codes and their numbers of tokens."""
+    for batch in pieces(batches):
+        raw = batch.column(column).to_pylist()
+        yield batch, np.frombuffer(b"".join(raw), "<i4"), np.array([len(r) // 4 for r in raw], np.int64)
+
+
+def _classified(coded: DataFrame, words: Vocabulary) -> np.ndarray:
+    """For each word of the head the class that it stands in most often, over all training documents."""
+    shared = coded.sparkSession.sparkContext.broadcast(words.says)
+    first, head = words.targets, len(words.hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, codes, sizes in _batches(batches, 0):
+            state = states(codes, sizes, shared.value)
+            own = (state > 0) & (codes >= first) & (codes < head)
+            key, n = np.unique(codes[own].astype(np.int64) * CLASSES + (state[own] - 1) // 2, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    counts = coded.where("not held_out").select("codes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    key = F.col("key")
+    best = counts.groupBy(F.floor(key / CLASSES).alias("code")).agg(F.max(F.struct("n", (-F.pmod(key, F.lit(CLASSES))).alias("k"))).alias("top"))
+    found = best.select("code", (-F.col("top.k")).alias("k")).toPandas()
+    out = np.full(head, CLASSES, np.int64)
+    out[found["code"].to_numpy(np.int64)] = found["k"].to_numpy(np.int64)
+    return out
 
 
 @dataclass
 class Parameters:
-    """Context vectors, the two places' matrices, target vectors and biases; of the tree
-    the two places' context vectors, nodes' vectors and biases."""
+    """Words' and states' context vectors, the two places' matrices, target vectors and biases."""
 
-    context: np.ndarray
+    word: np.ndarray
+    state: np.ndarray
     first: np.ndarray
     second: np.ndarray
     target: np.ndarray
     bias: np.ndarray
-    leaf_one: np.ndarray
-    leaf_two: np.ndarray
-    node: np.ndarray
-    node_bias: np.ndarray
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.first, self.second, self.target, self.bias, self.leaf_one, self.leaf_two, self.node, self.node_bias]
+        return [self.word, self.state, self.first, self.second, self.target, self.bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -207,76 +356,24 @@ def initial(words: Vocabulary, seed: int = 7) -> Parameters:
     """Small random vectors, and biases that make the model the unigram model."""
     rng = np.random.default_rng(seed)
     eye = np.eye(WIDTH, dtype=np.float32)
+    masses = words.masses()
     return Parameters(
-        rng.normal(0, 0.3, (words.states, WIDTH)).astype(np.float32),
+        rng.normal(0, 0.3, (words.size + 1, WIDTH)).astype(np.float32),
+        rng.normal(0, 0.3, (STATES, WIDTH)).astype(np.float32),
+        eye.copy(),
         eye.copy(),
-        0.5 * eye,
-        rng.normal(0, 0.05, (words.targets + 1, WIDTH)).astype(np.float32),
-        np.log(words.unigram()).astype(np.float32),
-        np.zeros((words.leaves + 1, LEAF_WIDTH), np.float32),
-        np.zeros((words.leaves + 1, LEAF_WIDTH), np.float32),
-        rng.normal(0, 0.3, (words.leaves, LEAF_WIDTH)).astype(np.float32),
-        _node_biases(words.masses),
+        rng.normal(0, 0.05, (words.size, WIDTH)).astype(np.float32),
+        np.log(masses / masses.sum()).astype(np.float32),
     )
 
 
-def _node_biases(masses: np.ndarray) -> np.ndarray:
-    """Biases that give each leaf its share; node i has the children 2 i and 2 i + 1, node 0 isn't used."""
-    out = np.zeros(len(masses), np.float32)
-    while len(masses) > 1:
-        left, right = masses[::2], masses[1::2]
-        out[len(left) : 2 * len(left)] = np.log(right / left)
-        masses = left + right
+def _before(index: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """The value one place before, ``start`` where the text has none."""
+    out = np.concatenate([[start], index[:-1]])
+    out[np.cumsum(sizes) - sizes] = start
     return out
 
 
-def _path(leaf: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each level the inner node above each leaf, and 1 or -1 for right or left."""
-    depth = leaves.bit_length() - 1
-    down = np.arange(depth, 0, -1)[:, None]
-    whole = leaf + leaves
-    return whole >> down, (2 * ((whole >> (down - 1)) & 1) - 1).astype(np.float32)
-
-
-def leaf_scores(p: Parameters, one: np.ndarray, two: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the leaves' probabilities after contexts' leaves, among words without a target."""
-    nodes, way = _path(leaf, len(p.node))
-    z = np.einsum("dnk,nk->dn", p.node[nodes], p.leaf_one[one] + p.leaf_two[two]) + p.node_bias[nodes]
-    z *= -way
-    # log(1 + exp(z)) by the single-precision functions, which are the fast ones
-    return -(np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))).sum(0, dtype=np.float64)
-
-
-def _coded(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Head places of all tokens of all texts, end tokens included, and the texts' sizes."""
-    words: list[bytes] = []
-    sizes = []
-    for text in texts:
-        own = space_words(text)
-        words += own
-        words.append(END)
-        sizes.append(len(own) + 1)
-    return np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), np.array(sizes, np.int64)
-
-
-def _contexts(codes: np.ndarray, sizes: np.ndarray, states: int = _STATES) -> tuple[np.ndarray, np.ndarray]:
-    """Context states one and two places before each token."""
-    state = np.where(codes < CONTEXTS, codes, np.where(codes + 2 < states, codes + 2, _OTHER))
-    return _before(state, sizes, _START)
-
-
-def _before(state: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values one and two places before, ``start`` where the text has none."""
-    one = np.concatenate([[start], state[:-1]])
-    two = np.concatenate([[start, start], state[:-2]])[: len(state)]
-    first = np.cumsum(sizes) - sizes
-    one[first] = start
-    two[first] = start
-    second = first + 1
-    two[second[sizes > 1]] = start
-    return one, two
-
-
 def _scattered(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of rows with the same index (16 bits sort fastest)."""
     if index.max() < 1 << 16:
@@ -288,16 +385,15 @@ def _scattered(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad steps."""
+    """Noise-contrastive estimation with AdaGrad steps; ``seen`` are the sums of squares so far."""
 
-    def __init__(self, start: Parameters, noise: np.ndarray, seed: int):
+    def __init__(self, start: Parameters, noise: np.ndarray, seed: int, seen: Parameters | None = None):
         self.p = start.like(start.flat())
         self.log_noise = np.log(RATIO * noise).astype(np.float32)
         self.cumulative = np.cumsum(noise)
         self.cumulative[-1] = 1.0
-        self.seen = [np.full_like(x, 1e-3) for x in self.p.parts()]
+        self.seen = [np.full_like(x, 1e-3) for x in self.p.parts()] if seen is None else start.like(seen.flat()).parts()
         self.rng = np.random.default_rng(seed)
-        self.tokens = 0
 
     def _apply(self, k: int, rows, gradient: np.ndarray) -> None:
         part, seen = self.p.parts()[k], self.seen[k]
@@ -305,9 +401,9 @@ class Trainer:
         part[rows] += RATE * gradient / np.sqrt(seen[rows])
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, count: np.ndarray) -> None:
-        """A step for distinct (context, target) triples that occur ``count`` times."""
+        """A step for distinct (word before, state, target) triples that occur ``count`` times."""
         p, n = self.p, len(target)
-        x1, x2 = p.context[one], p.context[two]
+        x1, x2 = p.word[one], p.state[two]
         h = x1 @ p.first + x2 @ p.second
         noise = np.searchsorted(self.cumulative, self.rng.random(NOISE))
         q, qn = p.target[target], p.target[noise]
@@ -321,106 +417,65 @@ class Trainer:
         slope[:n, :-1], slope[:n, -1] = gt[:, None] * h, gt
         slope[n:, :-1], slope[n:, -1] = gn.T @ h, gn.sum(0)
         rows, dq = _scattered(np.concatenate([target, noise]), slope)
-        crows, dc = _scattered(np.concatenate([one, two]), np.concatenate([dh @ p.first.T, dh @ p.second.T]))
+        words, dw = _scattered(one, dh @ p.first.T)
+        found, ds = _scattered(two, dh @ p.second.T)
         d1, d2 = x1.T @ dh, x2.T @ dh
-        self._apply(3, rows, dq[:, :-1])
-        self._apply(4, rows, dq[:, -1])
-        self._apply(0, crows, dc)
-        self._apply(1, slice(None), d1)
-        self._apply(2, slice(None), d2)
-
-
-    def leaf_step(self, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, count: np.ndarray) -> None:
-        """A step for distinct (contexts' leaves, leaf) triples that occur ``count`` times."""
-        p = self.p
-        # by leaf, so that the nodes of all levels are in order
-        order = np.argsort(leaf)
-        one, two, count = one[order], two[order], count[order]
-        nodes, way = _path(leaf[order], len(p.node))
-        h, q = p.leaf_one[one] + p.leaf_two[two], p.node[nodes]
-        z = np.einsum("dnk,nk->dn", q, h) + p.node_bias[nodes]
-        g = count * way / (1 + np.exp(np.clip(way * z, -30, 30)))
-        dh = np.einsum("dn,dnk->nk", g, q)
-        slope = np.empty((*nodes.shape, LEAF_WIDTH + 1), np.float32)
-        np.multiply(g[:, :, None], h, out=slope[:, :, :-1])
-        slope[:, :, -1] = g
-        flat = nodes.ravel()
-        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        rows, dq = flat[start], np.add.reduceat(slope.reshape(-1, LEAF_WIDTH + 1), start, axis=0)
-        self._apply(7, rows, dq[:, :-1])
-        self._apply(8, rows, dq[:, -1])
-        self._apply(5, *_scattered(one, dh))
-        self._apply(6, *_scattered(two, dh))
-
-
-def fit(docs: DataFrame, words: Vocabulary) -> Parameters:
-    """Train on all training documents, each partition on its own, and average."""
-    spark = docs.sparkSession
-    start = initial(words)
+        self._apply(4, rows, dq[:, :-1])
+        self._apply(5, rows, dq[:, -1])
+        self._apply(0, words, dw)
+        self._apply(1, found, ds)
+        self._apply(2, slice(None), d1)
+        self._apply(3, slice(None), d2)
+
+
+def fit(coded: DataFrame, words: Vocabulary) -> Parameters:
+    """Train on all training documents, in shards and rounds, and average."""
+    spark = coded.sparkSession
+    p, seen = initial(words), None
     if not words.tokens:
-        return start
-    shared = spark.sparkContext.broadcast((words, start))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, start = shared.value
-        part = TaskContext.get().partitionId()
-        memo, trainer, last = words.memo(), Trainer(start, words.unigram(), part), words.targets
-        leaf = words.leaf()
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for batch in pieces(batches):
-            codes, sizes = _coded(batch.column(0).to_pylist(), memo)
-            if len(codes):
-                own = leaf[codes]
-                parts = *_contexts(codes, sizes, words.states), np.minimum(codes, last), *_before(own, sizes, words.leaves), own
-                held.append(tuple(x.astype(np.int32) for x in parts))
-                size += len(codes)
-            if size >= TOKENS_AT_ONCE:
-                _epoch(trainer, held)
-                held, size = [], 0
-        if size:
-            _epoch(trainer, held)
-        if trainer.tokens:
-            flat = trainer.p.flat()
-            for block, at in enumerate(range(0, len(flat), BLOCK)):
-                yield _weighted(part, block, trainer.tokens, flat[at : at + BLOCK])
-
-    texts = docs.where(training(F.col("doc_id"))).select(F.col("text").cast("string"))
-    schema = "part int, block int, tokens double, flat binary"
-    trained = written(texts.mapInArrow(run, schema), "parameters")
-    count = trained.agg(F.max("part")).first()[0] + 1
-    while count:
-        trained = trained.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part", "block").applyInArrow(_average, schema)
-        count = -(-count // FAN_IN) if count > FAN_IN else 0
-    return start.like(np.concatenate([np.frombuffer(r["flat"], np.float32) for r in trained.orderBy("block").collect()]))
-
-
-def _epoch(trainer: Trainer, held: list[tuple[np.ndarray, ...]]) -> None:
-    """``PASSES`` over some tokens, equal (context, target) triples as one, in random order."""
-    states, last, leaves = len(trainer.p.context), len(trainer.p.bias) - 1, len(trainer.p.node)
-    trainer.tokens += sum(len(x[2]) for x in held)
-    whole = np.concatenate([_triples(*x[:3], states, last + 1) for x in held])
-    rest = np.concatenate([_triples(*x[3:], leaves + 1, leaves)[x[2] == last] for x in held])
-    held.clear()
-    _steps(trainer, trainer.step, whole, states, last + 1, PASSES, BATCH)
-    del whole
-    _steps(trainer, trainer.leaf_step, rest, leaves + 1, leaves, LEAF_PASSES, LEAF_BATCH)
-
-
-def _triples(one: np.ndarray, two: np.ndarray, target: np.ndarray, states: int, targets: int) -> np.ndarray:
-    return (one.astype(np.int64) * states + two) * targets + target
-
+        return p
+    noise = words.masses()
+    noise = noise / noise.sum()
+    shards = -(-words.tokens // (TOKENS_A_SHARD * ROUNDS))
+    spread = F.xxhash64("doc_id", "crc")
+    train = coded.where("not held_out").select(
+        F.pmod(spread, F.lit(ROUNDS)).cast("int").alias("turn"), F.pmod(F.shiftright(spread, 8), F.lit(shards)).cast("int").alias("shard"), "doc_id", "crc", "codes"
+    )
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((words.index(), words.says, noise, p, seen))
+
+        own = train.where(F.col("turn") == turn).drop("turn")
+        trained = _averaged(written(own.groupBy("shard").applyInArrow(_shard(shared, turn), _FLAT), "parameters"), shards)
+        if len(trained):
+            size = len(p.flat())
+            p, seen = p.like(trained[:size]), p.like(trained[size:])
+    return p
+
+
+def _shard(shared, turn: int):
+    """Trains on the documents of a shard, in the order of their ids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        index, says, noise, p, seen = shared.value
+        table = table.sort_by([("doc_id", "ascending"), ("crc", "ascending")])
+        shard = table["shard"][0].as_py()
+        raw = table["codes"].to_pylist()
+        codes, sizes = np.frombuffer(b"".join(raw), "<i4"), np.array([len(r) // 4 for r in raw], np.int64)
+        trainer = Trainer(p, noise, 1000 * turn + shard, seen)
+        size = len(p.bias)
+        own = index[codes]
+        triples = (_before(own, sizes, size) * STATES + states(codes, sizes, says)) * size + own
+        triples, count = np.unique(triples, return_counts=True)
+        order = np.concatenate([trainer.rng.permutation(len(triples)) for _ in range(PASSES)])
+        for at in range(0, len(order), BATCH):
+            i = order[at : at + BATCH]
+            pair, target = np.divmod(triples[i], size)
+            one, two = np.divmod(pair, STATES)
+            trainer.step(one, two, target, count[i].astype(np.float32))
+        flat = np.concatenate([trainer.p.flat(), *(x.ravel() for x in trainer.seen)])
+        return pa.Table.from_batches([_weighted(shard, k, len(codes), flat[at : at + BLOCK]) for k, at in enumerate(range(0, len(flat), BLOCK))])
 
-def _steps(trainer: Trainer, step, triples: np.ndarray, states: int, targets: int, passes: int, batch: int) -> None:
-    triples, count = np.unique(triples, return_counts=True)
-    order = np.concatenate([trainer.rng.permutation(len(triples)) for _ in range(passes)])
-    for at in range(0, len(order), batch):
-        i = order[at : at + batch]
-        pair, target = np.divmod(triples[i], targets)
-        one, two = np.divmod(pair, states)
-        step(one, two, target, count[i].astype(np.float32))
+    return run
 
 
 def _weighted(part: int, block: int, tokens: float, flat: np.ndarray) -> pa.RecordBatch:
@@ -429,102 +484,111 @@ def _weighted(part: int, block: int, tokens: float, flat: np.ndarray) -> pa.Reco
 
 
 def _average(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")
     tokens = np.array(table["tokens"].to_pylist())
     flat = sum(t / tokens.sum() * np.frombuffer(x, np.float32).astype(np.float64) for t, x in zip(tokens, table["flat"].to_pylist(), strict=True))
     return pa.Table.from_batches([_weighted(table["part"][0].as_py(), table["block"][0].as_py(), tokens.sum(), flat)])
 
 
+def _averaged(parts: DataFrame, count: int) -> np.ndarray:
+    """The weighted mean of ``count`` parts' vectors, by a tree."""
+    while count:
+        grouped = parts.withColumn("group", (F.col("part") / FAN_IN).cast("int"))
+        parts = grouped.groupBy("group", "block").applyInArrow(lambda key, t: _average(t.drop_columns("group")), _FLAT)
+        parts = parts.withColumn("part", (F.col("part") / FAN_IN).cast("int"))
+        count = -(-count // FAN_IN) if count > FAN_IN else 0
+    return np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["flat"], np.float32) for r in parts.orderBy("block").collect())])
+
+
 def normalisers(p: Parameters, rows: range | None = None) -> np.ndarray:
-    """Natural logarithm of the sum over all targets, for each pair of context states (of ``rows`` and all)."""
-    one, two = p.context @ p.first, p.context @ p.second
-    rows = range(len(one)) if rows is None else rows
-    out = np.empty((len(rows), len(two)), np.float64)
+    """Natural logarithm of the sum over all targets, for each state (of ``rows``) and word before."""
+    one, two = p.word @ p.first, p.state @ p.second
+    rows = range(len(two)) if rows is None else rows
+    out = np.empty((len(rows), len(one)), np.float32)
     for k, i in enumerate(rows):
-        for at in range(0, len(two), _STATES):
-            s = (one[i] + two[at : at + _STATES]) @ p.target.T + p.bias
+        for at in range(0, len(one), 256):
+            s = (one[at : at + 256] + two[i]) @ p.target.T + p.bias
             most = s.max(1, keepdims=True)
-            out[k, at : at + _STATES] = (most + np.log(np.exp(s - most).sum(1, keepdims=True, dtype=np.float64)))[:, 0]
+            np.exp(s - most, out=s)
+            out[k, at : at + 256] = (most + np.log(s.sum(1, keepdims=True, dtype=np.float64)))[:, 0]
     return out
 
 
 def _all_normalisers(spark: SparkSession, p: Parameters) -> np.ndarray:
-    """``normalisers`` of all rows, found by the executors."""
+    """``normalisers`` of all states, found by the executors."""
     shared = spark.sparkContext.broadcast(p)
-    states = len(p.context)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                found = normalisers(shared.value, range(i, i + 1)).astype(np.float32)
+                found = normalisers(shared.value, range(i, i + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["i", "flat"])
 
-    out = np.empty((states, states), np.float32)
-    for r in spark.range(0, states, 1, -(-states // 32)).mapInArrow(run, "i long, flat binary").toLocalIterator(prefetchPartitions=True):
+    out = np.empty((STATES, len(p.word)), np.float32)
+    for r in spark.range(0, STATES, 1, STATES).mapInArrow(run, "i long, flat binary").collect():
         out[r["i"]] = np.frombuffer(r["flat"], np.float32)
     return out
 
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         words, p, norm = shared.value
-        row = TaskContext.get().partitionId() << 40
-        memo, last, head = words.memo(), words.targets, len(words.hashes)
-        one_of, two_of = p.context @ p.first, p.context @ p.second
+        head, targets, index = len(words.hashes), words.targets, words.index()
+        one_of, two_of = p.word @ p.first, p.state @ p.second
         base = np.append(np.log10((words.counts + SMOOTH) / words.total), 0.0)
-        # what a word adds to its leaf's probability, if it has no target; unknown ones are added by the join
-        leaf = words.leaf()
+        # what a word adds to its bucket's probability; the join adds what words beyond the head do
         share = np.append(np.log10(words.counts + SMOOTH), 0.0)
-        less = np.log10(words.masses)
-        for batch in pieces(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            codes, sizes = _coded(texts, memo)
-            one, two = _contexts(codes, sizes, words.states)
-            own = leaf[codes]
-            leaf_one, leaf_two = _before(own, sizes, words.leaves)
-            target = np.minimum(codes, last)
+        share[:targets] = 0
+        less = np.log10(words.masses())
+        less[:targets] = 0
+        for batch, codes, sizes in _batches(batches, 4):
+            own, two = index[codes], states(codes, sizes, words.says)
+            one = _before(own, sizes, len(p.bias))
             score = np.empty(len(codes))
-            for at in range(0, len(codes), 1 << 16):
-                i = slice(at, at + (1 << 16))
+            for at in range(0, len(codes), TOKENS_AT_ONCE):
+                i = slice(at, at + TOKENS_AT_ONCE)
                 h = one_of[one[i]] + two_of[two[i]]
-                score[i] = np.einsum("ij,ij->i", h, p.target[target[i]]) + p.bias[target[i]] - norm[one[i], two[i]]
-            rest = np.flatnonzero(target == last)
-            for at in range(0, len(rest), LEAF_BATCH):
-                i = rest[at : at + LEAF_BATCH]
-                score[i] += leaf_scores(p, leaf_one[i], leaf_two[i], own[i])
-            score /= np.log(10)
+                score[i] = np.einsum("ij,ij->i", h, p.target[own[i]]) + p.bias[own[i]] - norm[two[i], one[i]]
             codes = np.minimum(codes, head)
-            score[rest] += share[codes[rest]] - less[own[rest]]
+            score = score / np.log(10) + share[codes] - less[own]
             first = np.cumsum(sizes) - sizes
-            known = codes < head
-            tail_h, tail_n = [], []
-            for a, n, text in zip(first, sizes, texts, strict=True):
-                tail: Counter[int] = Counter()
-                if not known[a : a + n].all():
-                    own = [*space_words(text), END]
-                    tail.update(_hash(own[k]) for k in np.flatnonzero(~known[a : a + n]))
-                tail_h.append(list(tail))
-                tail_n.append(list(tail.values()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(row, row + len(ids)), pa.int64()),
-                    batch.column(0),
-                    pa.array([held_out(i) for i in ids], pa.bool_()),
-                    pa.array(sizes),
-                    pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                    pa.array(np.add.reduceat(base[codes], first)),
-                    pa.array(np.add.reduceat(score, first)),
-                    pa.array(tail_h, pa.list_(pa.int64())),
-                    pa.array(tail_n, pa.list_(pa.int64())),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail_h", "tail_n"],
-            )
-            row += len(ids)
+            sums = [np.add.reduceat(x, first) for x in ((codes < head).astype(np.int64), base[codes], score)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *map(pa.array, sums), *batch.columns[5:]], _SCORED)
 
     return run
 
 
+_SCORED = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail_h", "tail_n"]
+
+
+def learned(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, Parameters]:
+    """Counts of all training tokens, all documents' codes, the words and the model."""
+    counts = written(word_counts(docs), "counts")
+    words = vocabulary(counts)
+    every = written(_coded(docs, words), "codes")
+    words.says = _says(classes_of(_summed(every.where("both is not null").select("both"))))
+    coded = every.where("both is null").drop("both")
+    words.classes = _classified(coded, words)
+    return counts, coded, words, fit(coded, words)
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sum of all partitions' numbers of documents, by a tree."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TELLING * TELLING)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["flat"])
+
+    once = parts.mapInArrow(add, "flat binary")
+    total = np.zeros(TELLING * TELLING)
+    for r in once.coalesce(FAN_IN).mapInArrow(add, "flat binary").collect():
+        total += np.frombuffer(r["flat"], np.float64)
+    return total.reshape(TELLING, TELLING)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
@@ -537,12 +601,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = written(word_counts(docs), "counts")
-    words = vocabulary(counts)
-    p = fit(docs, words)
+    counts, coded, words, p = learned(docs)
     shared = spark.sparkContext.broadcast((words, p, _all_normalisers(spark, p)))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<long>"
-    heads = written(docs.mapInArrow(_scored(shared), schema), "scores")
+    heads = coded.select("row", "doc_id", "held_out", "n_tokens", "codes", "tail_h", "tail_n").mapInArrow(_scored(shared), schema)
+    heads = written(heads, "scores")
     tail = heads.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
     c = F.coalesce("c", F.lit(0))
     unseen = tail.join(counts, "h", "left").groupBy("row").agg(

@@ -82,6 +82,19 @@ def space_words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
+def distinct_space_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of :func:`space_words` of all texts, the number of each word
+    among them, and the texts' sizes."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, ends = words.flatten(), words.offsets.to_numpy().astype(np.int64)
+    empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
+    if empty.any():
+        flat = flat.filter(pa.array(~empty))
+        ends = np.append(0, np.cumsum(~empty))[ends]
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters."""
     return utf8(text).translate(_ALNUM).split()

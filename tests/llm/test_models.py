@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridwell.llm import lm, quality
@@ -53,28 +54,55 @@ def test_odd_rows(spark, odd, none):
 def test_model_beats_its_base_on_held_out_texts(small):
     out = [r for r in small[1] if r["held_out"]]
     n = sum(r["n_tokens"] for r in out)
-    assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 0.01
+    assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 0.1
 
 
-def test_probabilities_are_normalised(spark, small):
-    df, _ = small
-    words = lm.vocabulary(lm.word_counts(df))
-    p = lm.fit(df, words)
-    norm = lm.normalisers(p)
-    one, two = p.context @ p.first, p.context @ p.second
-    for i, j in ((0, 0), (3, 100), (lm._START, lm._START), (lm._OTHER, 5)):
-        s = (one[i] + two[j]) @ p.target.T + p.bias
-        assert np.exp(s - norm[i, j]).sum() == pytest.approx(1, abs=1e-4)
-    own = words.counts[words.targets :]
-    rest = ((own + lm.SMOOTH).sum() + (words.tokens - words.counts.sum()) + lm.SMOOTH * (words.distinct - len(words.hashes) + 1)) / words.rest
-    assert rest == pytest.approx(1)
+def test_scores_do_not_depend_on_partitions(spark, small, texts):
+    df, got = small
+    again = {r["doc_id"]: r["score"] for r in lm.score_documents(df.repartition(7)).collect()}
+    assert len(again) == len(got)
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], rel=1e-6) for r in got)
+
+
+@pytest.fixture(scope="module")
+def model(spark, small):
+    return lm.learned(small[0])
 
 
-def test_gradient_agrees_with_differences(spark, small):
-    df, _ = small
-    words = lm.vocabulary(lm.word_counts(df))
-    noise = words.unigram()
-    t = lm.Trainer(lm.initial(words), noise, 1)
+def test_probabilities_are_normalised(model, texts):
+    counts, _, words, p = model
+    norm = lm.normalisers(p)
+    one, two = p.word @ p.first, p.state @ p.second
+    for i, j in ((0, 0), (3, 10), (words.size, 0), (words.size - 1, lm.STATES - 1)):
+        s = (one[i] + two[j]) @ p.target.T + p.bias
+        assert np.exp(s - norm[j, i]).sum() == pytest.approx(1, abs=1e-4)
+    # every word is in one target or bucket, whose weights are those of its words and an unseen one
+    code = lambda w: int(words.codes(lm._hashes([w]))[0])
+    learnt = Counter(w for i, t in texts.items() if not lm.held_out(i) for w in [*space_words(t), b""])
+    weight = np.zeros(words.size)
+    weight[words.targets :] = lm.SMOOTH
+    index = words.index()
+    for w, c in learnt.items():
+        weight[index[code(w)]] += c + lm.SMOOTH
+    np.testing.assert_allclose(weight, words.masses())
+    assert words.distinct == len(learnt) > words.targets and counts.count() == len(learnt)
+
+
+def test_tail_beyond_the_head_is_in_the_masses(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    words = lm.vocabulary(lm.word_counts(small[0]))
+    assert 0 < len(words.hashes) <= 3000 and words.counts.min() > 0
+    words.classes = np.zeros(len(words.hashes), np.int64)
+    rest = words.distinct - len(words.hashes)
+    assert words.tail[1].sum() == rest > 0 and words.tail[0].sum() == words.tokens - words.counts.sum()
+    buckets = words.size - words.targets
+    assert words.masses().sum() == pytest.approx(words.tokens + lm.SMOOTH * (words.distinct + buckets))
+
+
+def test_gradient_agrees_with_differences(model):
+    words, p = model[2], model[3]
+    noise = words.masses() / words.masses().sum()
+    t = lm.Trainer(p, noise, 1)
     one, two, target = np.array([1, 2, 3, 1]), np.array([4, 4, 5, 1]), np.array([0, 7, 7, 2])
     seen = {}
     t._apply = lambda k, rows, g: seen.update({k: (rows, g)})
@@ -84,12 +112,12 @@ def test_gradient_agrees_with_differences(spark, small):
 
     def value():
         p = t.p
-        h = p.context[one].astype(float) @ p.first + p.context[two].astype(float) @ p.second
+        h = p.word[one].astype(float) @ p.first + p.state[two].astype(float) @ p.second
         s = (h * p.target[target]).sum(1) + p.bias[target] - t.log_noise[target]
         sn = h @ p.target[noise_ids].T + (p.bias - t.log_noise)[noise_ids]
         return (count * (-np.log1p(np.exp(-s)) - lm.RATIO / lm.NOISE * np.log1p(np.exp(sn)).sum(1))).sum()
 
-    for k, at in ((0, (1, 3)), (1, (2, 5)), (2, (0, 0)), (3, (7, 4)), (4, (7,))):
+    for k, at in ((0, (1, 3)), (1, (4, 2)), (2, (2, 5)), (3, (0, 0)), (4, (7, 4)), (5, (7,))):
         part = t.p.parts()[k]
         kept, step = part[at], 1e-2
         part[at] = kept + step
@@ -99,7 +127,35 @@ def test_gradient_agrees_with_differences(spark, small):
         part[at] = kept
         rows, g = seen[k]
         mine = g[at] if isinstance(rows, slice) else g[(int(np.flatnonzero(rows == at[0])[0]), *at[1:])]
-        assert mine == pytest.approx((up - down) / (2 * step), rel=0.05, abs=1e-4)
+        assert mine == pytest.approx((up - down) / (2 * step), rel=0.05, abs=2e-3)
+
+
+def test_states_against_a_loop(monkeypatch):
+    monkeypatch.setattr(lm, "TOKENS_AT_ONCE", 50)
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 300, 2, 64, 65, 1, 120])
+    codes = rng.integers(0, 3 * lm.TELLING, sizes.sum())
+    says = lm._says(rng.normal(0, 3, (lm.TELLING, lm.CLASSES)))
+    got, at = lm.states(codes, sizes, says), 0
+    for n in sizes:
+        for k in range(n):
+            near = [c for c in codes[at + max(0, k - lm.NEAR) : at + k] if c < lm.TELLING]
+            total = says[near].sum(0)
+            assert got[at + k] == (1 + 2 * int(total[:-1].argmax()) + (len(near) >= lm.MANY) if near else 0)
+        at += n
+
+
+def test_classes_tell_groups_of_words_apart():
+    both = np.zeros((lm.TELLING, lm.TELLING))
+    for k in range(4):
+        both[k * 10 : k * 10 + 10, k * 10 : k * 10 + 10] = 30 + 5 * k
+        np.fill_diagonal(both[k * 10 : k * 10 + 10, k * 10 : k * 10 + 10], 60)
+    both[40, :41] = both[:41, 40] = 50
+    both[40, 40] = 200
+    says = lm.classes_of(both)
+    kinds = [says[k * 10 : k * 10 + 10].sum(0).argmax() for k in range(4)]
+    assert len(set(kinds)) == 4
+    assert not lm.classes_of(np.zeros_like(both)).any()
 
 
 def test_ordinal_classifier_on_held_out_ratings(spark):
@@ -129,8 +185,8 @@ def test_classifier_on_odd_rows(spark, odd, none):
 
 
 def test_rare_words_are_learned_from_their_contexts(spark, monkeypatch):
-    """Words without targets follow words without states: order within pairs tells texts apart."""
-    monkeypatch.setattr(lm, "WORDS_A_LEAF", 1)
+    """Words without targets follow words without targets: order within pairs tells texts apart."""
+    monkeypatch.setattr(lm, "WORDS_A_BUCKET", 1)
     filler = " ".join(f"f{k}" for k in range(lm.TARGETS + 10))
     ids = [i for i in range(400) if not lm.held_out(i)]
     held = [i for i in range(400, 500) if lm.held_out(i)][:2]
@@ -141,28 +197,18 @@ def test_rare_words_are_learned_from_their_contexts(spark, monkeypatch):
     assert got[held[0]]["score"] > got[held[1]]["score"] + 1
 
 
-def test_words_without_targets_are_normalised(spark, small):
-    df, _ = small
-    counts = lm.word_counts(df)
-    words = lm.vocabulary(counts)
-    p = lm.fit(df, words)
-    every = np.arange(words.leaves)
-    assert words.distinct > words.targets and words.leaves > 2
-    for one, two in ((0, 0), (3, words.leaves), (words.leaves, words.leaves)):
-        total = np.exp(lm.leaf_scores(p, np.full(words.leaves, one), np.full(words.leaves, two), every)).sum()
-        assert total == pytest.approx(1, abs=1e-4)
-    assert np.abs(p.leaf_one).max() > 0
-    weight = np.full(words.leaves, lm.SMOOTH)
-    targets = set(words.hashes[: words.targets].tolist())
-    for r in counts.collect():
-        if r["h"] not in targets:
-            weight[r["h"] & (words.leaves - 1)] += r["c"] + lm.SMOOTH
-    np.testing.assert_allclose(weight, words.masses)
-
-
-def test_states_grow_with_the_tokens(spark, small):
-    hashes = np.arange(lm.HEAD)
-    size = lambda n: lm.Vocabulary(hashes, hashes, n, len(hashes), np.ones(2)).states
-    assert size(10**6) == lm._STATES and size(10**8) == 1000 and size(4 * 10**8) == 2000
-    one, two = lm._contexts(np.array([3, 255, 256, 997, 998]), np.array([5]), 1000)
-    assert one.tolist() == [lm._START, 3, 255, 258, 999] and two.tolist() == [lm._START, lm._START, 3, 255, 258]
+def test_buckets_grow_with_the_words(spark):
+    def size(n):
+        counts = spark.range(n).selectExpr("xxhash64(id) as h", "cast(1 + id % 50 as long) as c")
+        return lm.vocabulary(counts).buckets
+
+    assert size(1000) == 1 and size(100_000) == 16 and size(400_000) == 64
+
+
+def test_distinct_words_are_the_words(odd):
+    from gridwell.llm.text import distinct_space_words
+
+    texts = [r["text"] for r in odd.collect()] + [" a\tB\x0bc\x1cd\x85e\xa0F\u2003g \n", "ÀÉ İx", "\x00 A\x00"]
+    words, codes, sizes = distinct_space_words(pa.array(texts, pa.string()))
+    at = np.cumsum(sizes)
+    assert [[words[c] for c in codes[b - n : b]] for n, b in zip(sizes, at, strict=True)] == [space_words(t) for t in texts]
