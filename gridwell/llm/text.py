@@ -138,6 +138,11 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(acc)
 
 
+def _give_back() -> None:
+    """Return what Arrow no longer uses to the system; its pool would keep it."""
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE, memos: tuple[Memo, ...] = ()) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``: bounds what Python holds at once.
     ``memos`` are those that the task uses."""
@@ -145,6 +150,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE, memos:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        _give_back()
 
 
 def pieces_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = ENCODED_AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -159,6 +165,7 @@ def pieces_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = E
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+            _give_back()
 
 
 # Unicode white space.
