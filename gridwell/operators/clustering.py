@@ -29,6 +29,7 @@ class ClusterModel:
     min_points: int
     labeled: DataFrame
     partitions: DataFrame | None = None
+    points: DataFrame | None = None
 
     def predict(self, queries: DataFrame, points: DataFrame) -> DataFrame:
         """(id, cluster_id): the cluster of the nearest core point within eps, else 0."""
@@ -41,13 +42,26 @@ class ClusterModel:
 
 def _labeled(ids: DataFrame, core: DataFrame, component: DataFrame) -> DataFrame:
     """Flags and numbered clusters from core ids and components (id, component)."""
-    names = component.select("component").distinct()
-    numbered = names.withColumn("cluster_id", F.row_number().over(Window.orderBy("component")).cast("long"))
+    numbered = _numbered(component.select("component").distinct())
     joined = ids.join(component, "id", "left").join(numbered, "component", "left").join(core.withColumn("core", F.lit(True)), "id", "left")
     cluster = F.coalesce("cluster_id", F.lit(0).cast("long"))
     return joined.select("id", flag(F.coalesce("core", F.lit(False)), cluster).alias("flag"), cluster.alias("cluster_id"))
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """(component, cluster_id): numbers from 1 in the order of the names, counted by ranges."""
+    ranged = written(names.repartitionByRange("component").withColumn("range", F.spark_partition_id()), "names")
+    counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    before, rows = 0, []
+    for part in sorted(counts):
+        rows.append((part, before))
+        before += counts[part]
+    # one row for each range
+    offsets = F.broadcast(ranged.sparkSession.createDataFrame(rows, "range int, before long"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("component"))
+    return ranged.withColumn("own", own).join(offsets, "range").select("component", (F.col("own") + F.col("before")).cast("long").alias("cluster_id"))
+
+
 def dbscan_declarative(points: DataFrame, eps: float, min_points: int) -> ClusterModel:
     """DBSCAN as joins and aggregates alone: every neighbour pair becomes a row."""
     pairs = written(neighbor_pairs(points, points, eps).select("i", "j"), "pairs")
@@ -69,27 +83,54 @@ def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partit
     (``merge="core"``); ``merge="any_shared"`` also joins clusters that share a border
     point. Border points join the cluster of the smallest name next to any copy.
     """
-    spark = points.sparkSession
-    partitions, side = plan_partitions(spark, points, eps, max_points_per_partition)
-    copies = replicate(points, partitions, eps, side)
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        return local_clusters(group, eps, min_points)
-
-    local = written(copies.groupBy("pid").applyInPandas(kernel, "id long, home boolean, core boolean, clusters array<long>"), "local")
-    known = written(
-        local.groupBy("id").agg(
-            F.max(F.col("home") & F.col("core")).alias("core"),
-            F.array_distinct(F.flatten(F.collect_list("clusters"))).alias("clusters"),
-        ),
-        "known",
-    )
+    partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
+    local = written(local_labels(replicate(points, partitions, eps), eps, min_points), "local")
+    known = written(copies_merged(local), "known")
+    whole = global_cluster_map(local, cluster_adjacencies(known, merge))
+    return ClusterModel(eps, min_points, relabel_union(points.select("id"), known, whole), partitions.boxes, points)
+
+
+def local_labels(copies: DataFrame, eps: float, min_points: int) -> DataFrame:
+    """Clusters of each partition's copies apart: pid, id, home, core (here), and the names
+    of the local clusters that a copy is in or next to. A local cluster has the name of
+    its smallest core point."""
+
+    def kernel(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return local_clusters(group, eps, min_points).assign(pid=key[0])
+
+    return copies.groupBy("pid").applyInPandas(kernel, "pid int, id long, home boolean, core boolean, clusters array<long>")
+
+
+def local_cluster_ids(local: DataFrame) -> DataFrame:
+    """(pid, cluster): the local clusters of each partition."""
+    return local.where("core").select("pid", F.explode("clusters").alias("cluster")).distinct()
+
+
+def copies_merged(local: DataFrame) -> DataFrame:
+    """(id, core, clusters): whether a point is a core point at home, and all copies' clusters.
+    A point has a copy in four partitions at most."""
+    return local.groupBy("id").agg(F.max(F.col("home") & F.col("core")).alias("core"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("clusters")))).alias("clusters"))
+
+
+def cluster_adjacencies(known: DataFrame, merge: str = "core") -> DataFrame:
+    """(src, dst): local clusters that are one because they share a core point, or with
+    ``merge="any_shared"`` any point; src is the smallest of those that share it."""
     shared = known if merge == "any_shared" else known.where("core")
-    edges = shared.where(F.size("clusters") > 1).select(F.array_min("clusters").alias("src"), F.explode("clusters").alias("dst"))
-    whole = connected_components(edges)
-    named = known.select("id", F.explode("clusters").alias("name")).join(whole.withColumnRenamed("id", "name"), "name", "left")
-    component = named.groupBy("id").agg(F.min(F.coalesce("component", "name")).alias("component"))
-    return ClusterModel(eps, min_points, _labeled(points.select("id"), known.where("core").select("id"), component), partitions)
+    pairs = shared.where(F.size("clusters") > 1).select(F.array_min("clusters").alias("src"), F.explode("clusters").alias("dst"))
+    return pairs.where("src != dst").distinct()
+
+
+def global_cluster_map(local: DataFrame, adjacencies: DataFrame) -> DataFrame:
+    """(cluster, component): the smallest name that each local cluster's is linked to."""
+    whole = connected_components(adjacencies).withColumnRenamed("id", "cluster")
+    names = local_cluster_ids(local).select("cluster").distinct()
+    return names.join(whole, "cluster", "left").select("cluster", F.coalesce("component", "cluster").alias("component"))
+
+
+def relabel_union(ids: DataFrame, known: DataFrame, whole: DataFrame) -> DataFrame:
+    """(id, flag, cluster_id): every point once, with the smallest of its clusters' components."""
+    named = known.select("id", F.explode("clusters").alias("cluster")).join(whole, "cluster")
+    return _labeled(ids, known.where("core").select("id"), named.groupBy("id").agg(F.min("component").alias("component")))
 
 
 def optics(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int | None = None) -> DataFrame:
@@ -111,8 +152,8 @@ def optics(points: DataFrame, eps: float, min_points: int, max_points_per_partit
 
 def _grown_order(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int) -> DataFrame:
     """The order of each partition and the copies of all points within eps of it."""
-    partitions, side = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
-    return _ordered(replicate(points, partitions, eps, side), eps, min_points)
+    partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
+    return _ordered(replicate(points, partitions, eps), eps, min_points)
 
 
 def _ordered(copies: DataFrame, eps: float, min_points: int) -> DataFrame:

@@ -64,23 +64,56 @@ def local_clusters(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataF
     for i, _, _ in neighbor_blocks(x, y, eps):
         count += np.bincount(i, minlength=n)
     core = count >= min_points
-    links: list[np.ndarray] = []
-    borders: list[np.ndarray] = []
+    label = np.arange(n)
+    for i, j, _ in neighbor_blocks(x, y, eps):
+        # links within what is joined already add nothing
+        a, b = label[i], label[j]
+        new = core[i] & core[j] & (a != b)
+        if new.any():
+            label = least_labels(n, np.concatenate([a[new], b[new]]), np.concatenate([b[new], a[new]]))[label]
+    named = ids[label]
+    rims = [np.zeros((2, 0), np.int64)]
     for i, j, _ in neighbor_blocks(x, y, eps):
-        both = core[i] & core[j] & (i < j)
-        links.append(np.stack([i[both], j[both]]))
         rim = ~core[i] & core[j]
-        borders.append(np.stack([i[rim], j[rim]]))
-    i, j = np.concatenate(links, 1)
-    label = least_labels(n, np.concatenate([i, j]), np.concatenate([j, i]))
-    near: list[set[int]] = [{int(ids[label[k]])} if core[k] else set() for k in range(n)]
-    for a, b in np.concatenate(borders, 1).T:
-        near[a].add(int(ids[label[b]]))
-    return pd.DataFrame({"id": ids, "home": group["home"], "core": core, "clusters": [sorted(s) for s in near]})
+        rims.append(np.unique(np.stack([i[rim], named[j[rim]]]), axis=1))
+    at, name = np.unique(np.concatenate([*rims, np.stack([np.flatnonzero(core), named[core]])], 1), axis=1)
+    near = np.split(name, np.searchsorted(at, np.arange(1, n))) if n else []
+    return pd.DataFrame({"id": ids, "home": group["home"], "core": core, "clusters": near})
+
+
+class _Near:
+    """The neighbours of one point at a time, by cells of slightly more than eps."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, eps: float):
+        side = eps * (1 + 1e-9)
+        cx, cy = np.floor(x / side).astype(np.int64), np.floor(y / side).astype(np.int64)
+        cx, cy = cx - cx.min(), cy - cy.min()
+        self.wide = int(cy.max()) + 3
+        key = cx * self.wide + cy + 1
+        self.order = np.argsort(key, kind="stable")
+        keys = key[self.order]
+        self.x, self.y, self.eps2 = x[self.order], y[self.order], eps * eps
+        self.own = x, y
+        self.runs = [(np.searchsorted(keys, key + d * self.wide - 1, "left"), np.searchsorted(keys, key + d * self.wide + 1, "right")) for d in (-1, 0, 1)]
+
+    def __call__(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the points within eps of the one at ``p``, itself included."""
+        at, far = [], []
+        px, py = self.own[0][p], self.own[1][p]
+        for low, high in self.runs:
+            a, b = low[p], high[p]
+            if a < b:
+                dx, dy = px - self.x[a:b], py - self.y[a:b]
+                d2 = dx * dx + dy * dy
+                ok = d2 <= self.eps2
+                at.append(self.order[a:b][ok])
+                far.append(d2[ok])
+        return np.concatenate(at), np.sqrt(np.concatenate(far))
 
 
 def optics_order(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataFrame:
-    """Order, reachability and core distance of a partition's points.
+    """Order, reachability and core distance of a partition's points. Neighbours are
+    looked up point by point; no list of all pairs is held.
 
     Next comes the unprocessed point of the least (reachability, id); without a finite
     one the unprocessed point of the smallest id starts anew.
@@ -88,14 +121,8 @@ def optics_order(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataFra
     group = group.sort_values("id", ignore_index=True)
     x, y, ids = group["x"].to_numpy(), group["y"].to_numpy(), group["id"].to_numpy()
     n = len(group)
-    parts = list(neighbor_blocks(x, y, eps))
-    i, j, d2 = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((j, d2, i))
-    i, j, d = i[order], j[order], np.sqrt(d2[order])
-    start = np.searchsorted(i, np.arange(n + 1))
+    near = _Near(x, y, eps)
     core = np.full(n, np.inf)
-    enough = np.diff(start) >= min_points
-    core[enough] = d[start[:-1][enough] + min_points - 1]
     reach, done, position = np.full(n, np.inf), np.zeros(n, bool), np.zeros(n, np.int64)
     heap: list[tuple[float, int]] = []
     seed = 0
@@ -109,9 +136,10 @@ def optics_order(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataFra
                 seed += 1
             p = seed
         done[p], position[p] = True, step
-        if np.isfinite(core[p]):
-            q = j[start[p] : start[p + 1]]
-            new = np.maximum(core[p], d[start[p] : start[p + 1]])
+        q, d = near(p)
+        if len(q) >= min_points:
+            core[p] = np.partition(d, min_points - 1)[min_points - 1]
+            new = np.maximum(core[p], d)
             better = ~done[q] & (new < reach[q])
             reach[q[better]] = new[better]
             for r, k in zip(new[better], q[better], strict=True):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwell.functions import cell, dist2
 
-_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
 def with_cells(points: DataFrame, side: float) -> DataFrame:
@@ -28,7 +28,7 @@ def neighbor_pairs(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     side = eps * (1 + 1e-9)
     a = with_cells(left.select(F.col("id").alias("i"), "x", "y"), side)
     b = with_cells(right.select(F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumnsRenamed({"bx": "x", "by": "y"}), side)
-    near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in _AROUND)))
+    near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in AROUND)))
     b = b.withColumn("c", near).select("j", F.col("x").alias("bx"), F.col("y").alias("by"), "c.cx", "c.cy")
     d2 = dist2(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
     return a.join(b, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= F.lit(eps * eps)).select("i", "j", "d2")

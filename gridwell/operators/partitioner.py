@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwell.operators.neighbors import histogram
+from gridwell.operators.neighbors import AROUND, histogram, with_cells
+from gridwell.session import written
 
-#: Cells that are planned with at most; a finer histogram is made coarser.
-MOST_CELLS = 1 << 20
+#: Cells that the driver plans with at most.
+MOST_CELLS = 1 << 18
+
+_CELL = "cx long, cy long, pid int"
+_BOX = "pid int, cx long, cy long, cx2 long, cy2 long, n long"
 
 
 @dataclass(frozen=True)
@@ -27,86 +33,131 @@ class Box:
 
 
 class Counts:
-    """Points of a histogram within boxes of its cells."""
+    """The occupied cells of a box and their points."""
 
     def __init__(self, cx: np.ndarray, cy: np.ndarray, n: np.ndarray):
-        self.cx, self.cy, self.n = cx, cy, n
+        self.at, self.n = (cx, cy), n
 
-    def profile(self, box: Box, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    def profile(self, low: int, high: int, axis: int) -> tuple[np.ndarray, np.ndarray]:
         """Split positions along an axis, and the points before each."""
-        inside = (self.cx >= box.x) & (self.cx < box.x2) & (self.cy >= box.y) & (self.cy < box.y2)
-        at = (self.cx, self.cy)[axis][inside]
-        low, high = ((box.x, box.x2), (box.y, box.y2))[axis]
-        places, index = np.unique(at, return_inverse=True)
-        before = np.cumsum(np.bincount(index, self.n[inside], len(places))).astype(np.int64)
+        places, index = np.unique(self.at[axis], return_inverse=True)
+        before = np.cumsum(np.bincount(index, self.n, len(places))).astype(np.int64)
         # between occupied places the count does not change: the first position suffices
         position = places + 1
         ok = (position > low) & (position < high)
         return position[ok], before[ok]
 
+    def halves(self, axis: int, position: int) -> tuple[Counts, Counts]:
+        first = self.at[axis] < position
+        return tuple(Counts(self.at[0][part], self.at[1][part], self.n[part]) for part in (first, ~first))
+
 
 def candidates(counts: Counts, box: Box) -> list[tuple[int, int, int, int]]:
     """(cost, axis, position, points before) of every useful split."""
     out = []
-    for axis in (0, 1):
-        position, before = counts.profile(box, axis)
-        out += [(abs(box.n // 2 - int(b)), axis, int(p), int(b)) for p, b in zip(position, before, strict=True)]
+    for axis, (low, high) in enumerate(((box.x, box.x2), (box.y, box.y2))):
+        position, before = counts.profile(low, high, axis)
+        out += zip(np.abs(box.n // 2 - before).tolist(), [axis] * len(before), position.tolist(), before.tolist(), strict=True)
     return out
 
 
-def plan(cells: list[tuple[int, int, int]], max_points: int) -> list[Box]:
-    """Disjoint boxes that hold every cell, each of at most ``max_points`` or one cell.
-
-    The cheapest split halves the points best; ties go to x, then the lower position.
-    Boxes without points are left out.
-    """
-    if not cells:
-        return []
-    cx, cy, n = (np.array(c, np.int64) for c in zip(*cells, strict=True))
-    counts = Counts(cx, cy, n)
-    todo = deque([Box(int(cx.min()), int(cy.min()), int(cx.max()) + 1, int(cy.max()) + 1, int(n.sum()))])
-    done = []
+def _bisected(counts: Counts, box: Box, max_points: int) -> Iterator[tuple[Box, Counts]]:
+    todo = deque([(box, counts)])
     while todo:
-        box = todo.popleft()
+        box, counts = todo.popleft()
         splits = candidates(counts, box) if box.n > max_points else []
         if not splits:
-            done.append(box)
+            yield box, counts
             continue
         _, axis, at, before = min(splits)
         if axis == 0:
-            halves = Box(box.x, box.y, at, box.y2, before), Box(at, box.y, box.x2, box.y2, box.n - before)
+            boxes = Box(box.x, box.y, at, box.y2, before), Box(at, box.y, box.x2, box.y2, box.n - before)
         else:
-            halves = Box(box.x, box.y, box.x2, at, before), Box(box.x, at, box.x2, box.y2, box.n - before)
-        todo.extend(h for h in halves if h.n)
-    return sorted(done, key=lambda b: (b.x, b.y))
+            boxes = Box(box.x, box.y, box.x2, at, before), Box(box.x, at, box.x2, box.y2, box.n - before)
+        todo.extend((b, c) for b, c in zip(boxes, counts.halves(axis, at), strict=True) if b.n)
 
 
-def plan_partitions(spark: SparkSession, points: DataFrame, eps: float, max_points: int) -> tuple[DataFrame, float]:
-    """Partitions (pid, cx, cy, cx2, cy2, n) over cells of a side, and that side.
+def plan(cells: list[tuple[int, int, int]], max_points: int, box: Box | None = None) -> list[tuple[Box, Counts]]:
+    """Disjoint boxes that hold every cell, each of at most ``max_points`` or one cell,
+    and their occupied cells; all within ``box``, if one is given.
 
-    The side is 2 * eps, doubled until there are at most ``MOST_CELLS`` cells, so that
-    what the driver plans with is bounded.
+    The cheapest split halves the points best; ties go to x, then the lower position.
+    Boxes without points are left out.
     """
-    side = 2 * eps
-    cells = histogram(points, side)
-    while cells.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        side *= 2
-        cells = histogram(points, side)
-    boxes = plan([tuple(r) for r in cells.collect()], max_points)
-    rows = [(i, b.x, b.y, b.x2, b.y2, b.n) for i, b in enumerate(boxes)]
-    return spark.createDataFrame(rows, "pid int, cx long, cy long, cx2 long, cy2 long, n long"), side
+    if not len(cells):
+        return []
+    cx, cy, n = np.array(cells, np.int64).T
+    box = box or Box(int(cx.min()), int(cy.min()), int(cx.max()) + 1, int(cy.max()) + 1, int(n.sum()))
+    return sorted(_bisected(Counts(cx, cy, n), box, max_points), key=lambda found: (found[0].x, found[0].y))
+
+
+@dataclass(frozen=True)
+class Partitions:
+    """Boxes (pid, cx, cy, cx2, cy2, n) of cells of a side, and each occupied cell's pid (cx, cy, pid)."""
+
+    boxes: DataFrame
+    cells: DataFrame
+    side: float
 
 
-def replicate(points: DataFrame, partitions: DataFrame, eps: float, side: float) -> DataFrame:
-    """Each point in its home and in every partition within eps: pid, id, x, y, home.
+def plan_partitions(spark: SparkSession, points: DataFrame, eps: float, max_points: int, most_cells: int = MOST_CELLS) -> Partitions:
+    """Partitions over cells of side 2 * eps, each of at most ``max_points`` or one cell.
 
-    The partitions are bounded by the plan and broadcast.
+    The driver plans with at most ``most_cells`` cells: if there are more, with blocks
+    of 2^k by 2^k cells. Blocks that hold too many points are then bisected by
+    executors, each block by one task, which sees at most 4^k cells.
     """
-    p, reach = F.broadcast(partitions.drop("n")), eps * (1 + 1e-9)
-    m = F.lit(float(side))
-    low = lambda c: F.col(c) * m - F.lit(reach)
-    high = lambda c: F.col(c) * m + F.lit(reach)
-    inside = F.col("x").between(low("cx"), high("cx2")) & F.col("y").between(low("cy"), high("cy2"))
-    px, py = F.floor(F.col("x") / m), F.floor(F.col("y") / m)
-    home = (px >= F.col("cx")) & (px < F.col("cx2")) & (py >= F.col("cy")) & (py < F.col("cy2"))
-    return points.select("id", "x", "y").join(p, inside).select("pid", "id", "x", "y", home.alias("home"))
+    side = 2 * eps
+    fine = written(histogram(points, side), "cells")
+    k, coarse = 0, fine
+    while coarse.limit(most_cells + 1).count() > most_cells:
+        k += 1
+        coarse = fine.groupBy(F.shiftright("cx", k).alias("cx"), F.shiftright("cy", k).alias("cy")).agg(F.sum("n").alias("n"))
+    found = plan(coarse.toPandas().to_numpy(np.int64), max_points)
+    whole = [(b, c) for b, c in found if not k or b.n <= max_points]
+    boxes = spark.createDataFrame(pd.DataFrame([(i, b.x << k, b.y << k, b.x2 << k, b.y2 << k, b.n) for i, (b, _) in enumerate(whole)], columns=["pid", "cx", "cy", "cx2", "cy2", "n"]), _BOX)
+    of_block = spark.createDataFrame(pd.DataFrame({"bx": np.concatenate([np.zeros(0, np.int64), *(c.at[0] for _, c in whole)]), "by": np.concatenate([np.zeros(0, np.int64), *(c.at[1] for _, c in whole)]), "pid": np.repeat(np.arange(len(whole)), [len(c.n) for _, c in whole])}), "bx long, by long, pid int")
+    block = fine.withColumn("bx", F.shiftright("cx", k)).withColumn("by", F.shiftright("cy", k))
+    # the blocks are at most most_cells
+    cells = block.join(F.broadcast(of_block), ["bx", "by"]).select("cx", "cy", "pid")
+    over = [(int(c.at[0][0]), int(c.at[1][0])) for b, c in found if k and b.n > max_points]
+    if over:
+        refined = written(_refined(block, spark.createDataFrame(over, "bx long, by long"), k, max_points), "refined")
+        first = refined.groupBy("bx", "by").agg(F.max("part").alias("part")).orderBy("bx", "by").toPandas()
+        first["pid"] = len(whole) + np.cumsum(first["part"] + 1) - (first["part"] + 1)
+        named = refined.join(F.broadcast(spark.createDataFrame(first[["bx", "by", "pid"]], "bx long, by long, pid int")), ["bx", "by"]).withColumn("pid", F.col("pid") + F.col("part"))
+        boxes = boxes.union(named.select("pid", "x", "y", "x2", "y2", "total").distinct())
+        cells = cells.union(named.select("cx", "cy", "pid"))
+    return Partitions(boxes, written(cells, "cells"), side)
+
+
+def _refined(block: DataFrame, over: DataFrame, k: int, max_points: int) -> DataFrame:
+    """The cells of overfull blocks, with the part of the block that each is in."""
+
+    def split(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        bx, by = int(key[0]), int(key[1])
+        box = Box(bx << k, by << k, (bx + 1) << k, (by + 1) << k, int(group["n"].sum()))
+        rows = [(bx, by, i, x, y, b.x, b.y, b.x2, b.y2, b.n) for i, (b, c) in enumerate(plan(group[["cx", "cy", "n"]].to_numpy(np.int64), max_points, box)) for x, y in zip(*c.at, strict=True)]
+        return pd.DataFrame(rows, columns=["bx", "by", "part", "cx", "cy", "x", "y", "x2", "y2", "total"])
+
+    schema = "bx long, by long, part int, cx long, cy long, x long, y long, x2 long, y2 long, total long"
+    return block.join(F.broadcast(over), ["bx", "by"]).groupBy("bx", "by").applyInPandas(split, schema)
+
+
+def replicate(points: DataFrame, partitions: Partitions, eps: float) -> DataFrame:
+    """Each point in its home and in every partition of which an occupied cell lies
+    within eps of it along both axes: pid, id, x, y, home.
+
+    An equi-join on cells: a point meets the nine cells around it, those out of reach
+    are dropped before the join.
+    """
+    m, reach = F.lit(float(partitions.side)), F.lit(eps * (1 + 1e-9))
+
+    def near(at: str, value: str, step: int):
+        c = F.col(at) + step
+        return F.col(value).between(c * m - reach, (c + 1) * m + reach)
+
+    around = [F.when(near("cx", "x", i) & near("cy", "y", j), F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(i == j == 0).alias("home"))) for i, j in AROUND]
+    asked = with_cells(points.select("id", "x", "y"), partitions.side).select("id", "x", "y", F.explode(F.array_compact(F.array(*around))).alias("c"))
+    met = asked.select("id", "x", "y", "c.*").join(partitions.cells, ["cx", "cy"])
+    return met.groupBy("pid", "id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max("home").alias("home"))

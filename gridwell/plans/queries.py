@@ -11,9 +11,10 @@ from gridwell import functions as G
 from gridwell.operators import clustering as C
 from gridwell.operators import neighbors as N
 from gridwell.operators.components import connected_components
-from gridwell.operators.partitioner import Box, Counts, candidates, plan_partitions, replicate
-from gridwell.session import ship
+from gridwell.operators.partitioner import Box, Counts, Partitions, candidates, plan_partitions, replicate
+from gridwell.session import ship, written
 from gridwell.sources import points
+from gridwell.sources.sink import labelled_points, labelled_text
 
 EPS, MIN_POINTS = 0.03, 5
 SIDE = 2 * EPS
@@ -72,6 +73,79 @@ o AS (
 f AS (SELECT *, CASE WHEN cdist IS NOT NULL THEN 'CORE' WHEN reach IS NOT NULL THEN 'BORDER' ELSE 'NOISE' END AS flag FROM o)
 """
 
+MOST = 150
+_INSIDE = "h.cx >= b.x AND h.cx < b.x2 AND h.cy >= b.y AND h.cy < b.y2"
+# the partitions, as boxes of cells, by repeated bisection; then their occupied cells and all copies of points
+_PARTS = f"""
+WITH RECURSIVE {_HIST},
+box(x, y, x2, y2, n) AS (
+  SELECT min(cx), min(cy), max(cx) + 1, max(cy) + 1, CAST(sum(n) AS BIGINT) FROM h
+  UNION ALL
+  SELECT * FROM (
+    WITH m AS (
+      SELECT b.*, 0 AS axis, h.cx + 1 AS position, sum(h.n) AS k FROM box b JOIN h ON {_INSIDE} WHERE b.n > {MOST} GROUP BY ALL
+      UNION ALL SELECT b.*, 1, h.cy + 1, sum(h.n) FROM box b JOIN h ON {_INSIDE} WHERE b.n > {MOST} GROUP BY ALL
+    ),
+    s AS (SELECT *, CAST(sum(k) OVER (PARTITION BY x, y, x2, y2, axis ORDER BY position) AS BIGINT) AS n_before FROM m),
+    c AS (
+      SELECT *, row_number() OVER (PARTITION BY x, y, x2, y2 ORDER BY abs(n // 2 - n_before), axis, position) AS best
+      FROM s WHERE position < CASE axis WHEN 0 THEN x2 ELSE y2 END
+    ),
+    t AS (
+      SELECT x, y, CASE axis WHEN 0 THEN position ELSE x2 END AS x2, CASE axis WHEN 1 THEN position ELSE y2 END AS y2, n_before AS n FROM c WHERE best = 1
+      UNION ALL SELECT CASE axis WHEN 0 THEN position ELSE x END, CASE axis WHEN 1 THEN position ELSE y END, x2, y2, n - n_before FROM c WHERE best = 1
+    )
+    SELECT * FROM t WHERE n > 0
+  )
+),
+leaf AS (
+  SELECT b.* FROM box b WHERE n <= {MOST} OR NOT EXISTS (SELECT 1 FROM h WHERE {_INSIDE} AND (h.cx + 1 < b.x2 OR h.cy + 1 < b.y2))
+),
+part AS (SELECT CAST(row_number() OVER (ORDER BY x, y) - 1 AS INTEGER) AS pid, * FROM leaf),
+cell AS (SELECT b.pid, h.cx, h.cy FROM part b JOIN h ON {_INSIDE}),
+copy AS (
+  SELECT c.pid, p.id, any_value(p.x) AS x, any_value(p.y) AS y, bool_or(floor(p.x / CAST({SIDE} AS DOUBLE)) = c.cx AND floor(p.y / CAST({SIDE} AS DOUBLE)) = c.cy) AS home
+  FROM pts p JOIN cell c ON p.x BETWEEN c.cx * CAST({SIDE} AS DOUBLE) - CAST({EPS * (1 + 1e-9)!r} AS DOUBLE) AND (c.cx + 1) * CAST({SIDE} AS DOUBLE) + CAST({EPS * (1 + 1e-9)!r} AS DOUBLE)
+    AND p.y BETWEEN c.cy * CAST({SIDE} AS DOUBLE) - CAST({EPS * (1 + 1e-9)!r} AS DOUBLE) AND (c.cy + 1) * CAST({SIDE} AS DOUBLE) + CAST({EPS * (1 + 1e-9)!r} AS DOUBLE)
+  GROUP BY c.pid, p.id
+)
+"""
+
+
+def _merged(any_shared: bool) -> str:
+    """The clusters of each partition's copies, the links between them, and what they make."""
+    return f"""{_PARTS},
+nb AS MATERIALIZED (SELECT a.pid, a.id AS i, b.id AS j FROM copy a JOIN copy b ON a.pid = b.pid AND {_D} <= {_E}*{_E}),
+core AS MATERIALIZED (SELECT pid, i AS id FROM nb GROUP BY pid, i HAVING count(*) >= {MIN_POINTS}),
+e AS MATERIALIZED (SELECT nb.* FROM nb JOIN core a ON nb.pid = a.pid AND nb.i = a.id JOIN core b ON nb.pid = b.pid AND nb.j = b.id),
+lc(pid, id, cluster) USING KEY (pid, id) AS (
+  SELECT pid, id, id FROM core UNION
+  SELECT e.pid, e.j, min(lc.cluster) FROM lc JOIN e ON lc.pid = e.pid AND lc.id = e.i JOIN recurring.lc r ON r.pid = e.pid AND r.id = e.j
+  WHERE lc.cluster < r.cluster GROUP BY e.pid, e.j
+),
+own AS MATERIALIZED (SELECT pid, id, min(cluster) AS cluster FROM lc GROUP BY pid, id),
+next_to AS MATERIALIZED (SELECT DISTINCT nb.i AS id, own.cluster FROM nb JOIN own ON nb.pid = own.pid AND nb.j = own.id
+  WHERE NOT EXISTS (SELECT 1 FROM core WHERE core.pid = nb.pid AND core.id = nb.i) UNION SELECT id, cluster FROM own),
+at_home AS MATERIALIZED (SELECT core.id FROM core JOIN copy USING (pid, id) WHERE copy.home),
+adjacent AS MATERIALIZED (
+  SELECT DISTINCT a.src, b.cluster AS dst FROM (SELECT id, min(cluster) AS src FROM next_to GROUP BY id) a JOIN next_to b USING (id)
+  WHERE a.src <> b.cluster {"" if any_shared else "AND a.id IN (SELECT id FROM at_home)"}
+),
+link AS MATERIALIZED (SELECT src, dst FROM adjacent UNION SELECT dst, src FROM adjacent),
+gm(cluster, component) USING KEY (cluster) AS (
+  SELECT DISTINCT cluster, cluster FROM own UNION
+  SELECT link.dst, min(gm.component) FROM gm JOIN link ON gm.cluster = link.src JOIN recurring.gm r ON r.cluster = link.dst WHERE gm.component < r.component GROUP BY link.dst
+),
+whole AS MATERIALIZED (SELECT cluster, min(component) AS component FROM gm GROUP BY cluster),
+named AS MATERIALIZED (SELECT id, min(component) AS component FROM next_to JOIN whole USING (cluster) GROUP BY id),
+numbered AS (SELECT component, row_number() OVER (ORDER BY component) AS cluster_id FROM (SELECT DISTINCT component FROM named)),
+lab AS (
+  SELECT p.id, CASE WHEN p.id IN (SELECT id FROM at_home) THEN 'CORE' WHEN n.id IS NOT NULL THEN 'BORDER' ELSE 'NOISE' END AS flag,
+    CAST(coalesce(k.cluster_id, 0) AS BIGINT) AS cluster_id
+  FROM pts p LEFT JOIN named n ON n.id = p.id LEFT JOIN numbered k ON k.component = n.component
+)
+"""
+
 
 def micro(c: Column, name: str) -> Column:
     """Millionths, as a long: the same whatever the last bits are."""
@@ -182,17 +256,55 @@ def best_split(spark, sf):
     return _candidates(spark, sf).orderBy("cost", "axis", "position").limit(1)
 
 
-@query(f"WITH pts AS ({_EMB}) SELECT count(*) AS n, CAST(0 AS BIGINT) AS over FROM pts")
+def _plan(spark: SparkSession, sf: str) -> Partitions:
+    return plan_partitions(spark, emb(spark, sf), EPS, MOST)
+
+
+@query(_PARTS + "SELECT pid, x AS cx, y AS cy, x2 AS cx2, y2 AS cy2, n FROM part")
 def even_split_partitions(spark, sf):
-    parts, _ = plan_partitions(spark, emb(spark, sf), EPS, 100)
-    one = (F.col("cx2") - F.col("cx") == 1) & (F.col("cy2") - F.col("cy") == 1)
-    return parts.agg(F.sum("n").alias("n"), F.sum(((F.col("n") > 100) & ~one).cast("long")).alias("over"))
+    return _plan(spark, sf).boxes
+
 
+@query(_PARTS + "SELECT pid, cx, cy FROM cell")
+def partition_cells(spark, sf):
+    return _plan(spark, sf).cells.select("pid", "cx", "cy")
 
-@query(f"WITH pts AS ({_EMB}) SELECT id, CAST(1 AS BIGINT) AS homes FROM pts")
+
+@query(_PARTS + "SELECT pid, id, home FROM copy")
 def replicate_outer(spark, sf):
-    parts, side = plan_partitions(spark, emb(spark, sf), EPS, 100)
-    return replicate(emb(spark, sf), parts, EPS, side).groupBy("id").agg(F.sum(F.col("home").cast("long")).alias("homes"))
+    return replicate(emb(spark, sf), _plan(spark, sf), EPS).select("pid", "id", "home")
+
+
+def _local(spark: SparkSession, sf: str) -> DataFrame:
+    return written(C.local_labels(replicate(emb(spark, sf), _plan(spark, sf), EPS), EPS, MIN_POINTS), "local")
+
+
+@query(_merged(False) + "SELECT DISTINCT pid, cluster FROM own")
+def local_cluster_ids(spark, sf):
+    return C.local_cluster_ids(_local(spark, sf))
+
+
+@query(_merged(False) + "SELECT src, dst FROM adjacent")
+def cluster_adjacencies(spark, sf):
+    return C.cluster_adjacencies(C.copies_merged(_local(spark, sf)))
+
+
+@query(_merged(False) + "SELECT cluster, component FROM whole")
+def global_cluster_map(spark, sf):
+    local = _local(spark, sf)
+    return C.global_cluster_map(local, C.cluster_adjacencies(C.copies_merged(local)))
+
+
+@query(_merged(False) + "SELECT id, flag, cluster_id FROM lab")
+def relabel_union(spark, sf):
+    local = _local(spark, sf)
+    known = C.copies_merged(local)
+    return C.relabel_union(emb(spark, sf).select("id"), known, C.global_cluster_map(local, C.cluster_adjacencies(known)))
+
+
+@query(_merged(True) + "SELECT id, flag, cluster_id FROM lab")
+def dbscan_any_shared(spark, sf):
+    return C.dbscan(emb(spark, sf), EPS, MIN_POINTS, MOST, merge="any_shared").labeled
 
 
 @query(f"""WITH pts AS ({_EMB}), {_BOXES} SELECT pid, id FROM pts p JOIN b ON p.x BETWEEN b.x AND b.x2 AND p.y BETWEEN b.y AND b.y2
@@ -260,7 +372,7 @@ def graph_reachable(spark, sf):
 
 
 def _partitioned(spark: SparkSession, sf: str) -> C.ClusterModel:
-    return C.dbscan(emb(spark, sf), EPS, MIN_POINTS, max_points_per_partition=20_000)
+    return C.dbscan(emb(spark, sf), EPS, MIN_POINTS, MOST)
 
 
 @query(_DB + "SELECT id, flag, cluster_id FROM lab")
@@ -270,7 +382,43 @@ def dbscan_labels(spark, sf):
 
 @query(_DB + "SELECT id, flag, cluster_id FROM lab")
 def dbscan_partitioned(spark, sf):
-    return C.dbscan(emb(spark, sf), EPS, MIN_POINTS, max_points_per_partition=150).labeled
+    return _partitioned(spark, sf).labeled
+
+
+@query(_DB + "SELECT id, cluster_id FROM lab WHERE flag = 'CORE'")
+def optics_partitioned(spark, sf):
+    """Clusters of core points from the orders of partitions, cut at eps and merged."""
+    return C.optics_clusters(emb(spark, sf), EPS, MIN_POINTS, MOST).where("flag = 'CORE'").select("id", "cluster_id")
+
+
+@query(f"""WITH {_NB}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM nb)
+SELECT pts.id, CAST(floor(sqrt(d2) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS core_dist FROM pts LEFT JOIN r ON r.i = pts.id AND k = {MIN_POINTS}""")
+def optics_partitioned_core_distances(spark, sf):
+    """Core distances from the orders of partitions: those of the whole."""
+    return C.optics(emb(spark, sf), EPS, MIN_POINTS, MOST).select("id", micro(F.col("core_dist"), "core_dist"))
+
+
+_EVENTS = "WITH RECURSIVE pts AS (SELECT event_id AS id, epoch_us(ts) / CAST(3.6e9 AS DOUBLE) AS x, value AS y, 0 AS label FROM events)"
+
+
+@query(_EVENTS + _DB.split("SELECT vec_id", 1)[1].split("FROM embeddings)", 1)[1].replace(_E, "CAST(2 AS DOUBLE)") + "SELECT id, flag, cluster_id FROM lab")
+def dbscan_events(spark, sf):
+    """Events by hour and value: 1,000,000 x sf points."""
+    return C.dbscan(points(spark, sf, "events2d"), 2.0, MIN_POINTS, 2_000).labeled
+
+
+@query("WITH pts AS (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS x, c_acctbal / CAST(1000 AS DOUBLE) AS y FROM customer), "
+    "h AS (SELECT CAST(floor(x / CAST(0.6 AS DOUBLE)) AS BIGINT) AS cx, CAST(floor(y / CAST(0.6 AS DOUBLE)) AS BIGINT) AS cy, count(*) AS n FROM pts GROUP BY ALL) SELECT * FROM h")
+def customer_histogram(spark, sf):
+    return N.histogram(points(spark, sf, "cust2d"), 0.6)
+
+
+@query(_DB + "SELECT id, format('({}, {}) {} {}', CAST(floor(p.x * 1000) AS BIGINT), CAST(floor(p.y * 1000) AS BIGINT), flag, cluster_id) AS line FROM lab JOIN pts p USING (id)")
+def labelled_lines(spark, sf):
+    """Labelled points as text, coordinates in thousandths."""
+    found = labelled_points(_partitioned(spark, sf))
+    whole = found.withColumns({c: F.floor(F.col(c) * 1000).cast("long") for c in ("x", "y")})
+    return whole.select("id", labelled_text().alias("line"))
 
 
 @query(_DB + "SELECT cluster_id, count(*) AS n FROM lab GROUP BY cluster_id")

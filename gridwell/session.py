@@ -52,12 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``. Only where that is unset (a local session)
-    a temporary folder of this machine stands in for it.
+    It is ``spark.checkpoint.dir``. Where that is unset, a temporary folder of this
+    machine stands in for it in a local session; on a cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL_SHARED:
         _LOCAL_SHARED.append(tempfile.mkdtemp(prefix="gridwell-"))
     return "file://" + _LOCAL_SHARED[0]
