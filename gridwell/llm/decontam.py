@@ -94,8 +94,7 @@ class Tests:
             mid = (lo + hi) // 2
             q = self.order[mid]
             n = min(len(words), len(self.words) - q)
-            differ = np.flatnonzero(self.words[q : q + n] != words[:n])
-            same = int(differ[0]) if len(differ) else n
+            same = _alike(self.words[q : q + n], words[:n])
             if same > best:
                 best, place = same, q
             if same == len(words):
@@ -107,6 +106,17 @@ class Tests:
         return best, int(self.owner[place])
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two runs of one length start with in common, found in doubling blocks."""
+    at, size = 0, 16
+    while at < len(a):
+        differ = a[at : at + size] != b[at : at + size]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, size = at + size, 2 * size
+    return len(a)
+
+
 def _keys(words: np.ndarray, starts: np.ndarray, window: int, lengths: np.ndarray | None = None) -> np.ndarray:
     """Byte strings that order suffixes by their first ``window`` words."""
     padded = np.append(words, np.zeros(window, np.uint32))
@@ -197,16 +207,51 @@ def _search(tests, text_at: int, width: int, names: list[str]):
                 named = {block.names[o] for o in owners} - {None}
                 state[2][i] = sorted(named.union(state[2][i] or ()))
                 text = shard.words[first : first + n]
-                for s in np.unique(starts):
-                    length, owner = block.longest(text[s:])
-                    if length > (state[3][i] or 0):
-                        state[3][i], state[4][i], state[5][i] = length, int(s), block.names[owner]
+                length, start, owner = _longest(block, text, np.unique(starts), _run_ends(hit), state[3][i] or 0)
+                if owner is not None:
+                    state[3][i], state[4][i], state[5][i] = length, start, block.names[owner]
             types = [pa.int64(), pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(s, t) for s, t in zip(state, types, strict=True))], names)
 
     return run
 
 
+def _longest(block: Tests, text: np.ndarray, starts: np.ndarray, end: np.ndarray, best: int) -> tuple[int, int, int | None]:
+    """The first of the longest matches from ``starts`` that is longer than ``best``: length,
+    start and item, none if there is no such match. Matches lie within runs of hit words."""
+    found = best, 0, None
+    k = 0
+    while k < len(starts):
+        s = int(starts[k])
+        stop = int(end[s])
+        if stop - s <= found[0]:
+            k = int(np.searchsorted(starts, stop))
+            continue
+        length, owner = block.longest(text[s:stop])
+        if length > found[0]:
+            found = length, s, owner
+        # a longer match from a later place takes in the word that ended this one: the
+        # first such place is searched for, since what starts later occurs all the more
+        reach = s + length + 1
+        low, high = s + 1, min(reach, stop)
+        if reach > stop:
+            low = stop
+        while low < high:
+            mid = (low + high) // 2
+            if block.longest(text[mid:reach])[0] == reach - mid:
+                high = mid
+            else:
+                low = mid + 1
+        k = int(np.searchsorted(starts, max(low, s + 1)))
+    return found
+
+
+def _run_ends(hit: np.ndarray) -> np.ndarray:
+    """For each hit word where its run of hit words ends."""
+    stops = np.append(np.flatnonzero(~hit), len(hit))
+    return stops[np.searchsorted(stops, np.arange(len(hit)))]
+
+
 def _blocks(items: DataFrame, most: int) -> Iterator[Tests]:
     """Test items in blocks of at most ``most`` words, or of one longer item."""
     held, size = [], 0

@@ -219,8 +219,11 @@ def phrases(words: list[bytes]) -> list[tuple[int, str]]:
     found = []
     for label, phrase, _ in _PHRASES:
         at = line.find(phrase)
+        number = seen = 0
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
+            # spaces before a place are words before it; each stretch is counted once
+            number, seen = number + line.count(b" ", seen, at), at
+            found.append((number, label))
             at = line.find(phrase, at + 1)
     return found
 

@@ -36,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 KINDS = ["assign", "access", "hex", "secret", "identifier", "endpoint"]
 
-#: Code points between linked parts at most; a blank line ends a scope.
+#: Code points between linked parts at most, by default; a blank line ends a scope.
 REACH = 200
 WORD_LEAST = 20
 ENTROPY_LEAST = 3.5
@@ -114,10 +114,25 @@ def _without_host(text: str, word: Span, url: tuple[int, int, int]) -> Span:
     return word
 
 
-def linked(text: str, base: list[Span]) -> list[Span]:
-    """Candidates with a complementary part in reach, and the identifiers that link to one."""
-    words = [Span(m.start(), 3, m.end()) for m in _WORD.finditer(text) if _random(m[0])]
-    words = [w for w in words if not any(_overlap(b, w) for b in base)]
+def _apart(words: list[Span], base: list[Span]) -> list[Span]:
+    """Those of ``words`` (in order, apart) that no span of ``base`` (by start) overlaps: one sweep."""
+    out, k, end = [], 0, 0
+    for w in words:
+        while k < len(base) and base[k].start < w.end:
+            end = max(end, base[k].end)
+            k += 1
+        if end <= w.start:
+            out.append(w)
+    return out
+
+
+def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
+    """Candidates with a complementary part in reach, and the identifiers that link to one.
+
+    A sweep by place: words and parts still in reach are kept apart, and each meets
+    those of the other kind. Spans of a kind don't overlap, so that few are in reach.
+    """
+    words = _apart([Span(m.start(), 3, m.end()) for m in _WORD.finditer(text) if _random(m[0])], base)
     if not words:
         return []
     parts = [s for s in base if s.kind == 1]
@@ -133,38 +148,42 @@ def linked(text: str, base: list[Span]) -> list[Span]:
             words[i] = _without_host(text, w, urls[places[at]])
     breaks = [m.start() for m in _SCOPE.finditer(text)]
     out: set[Span] = set()
-    near: deque[Span] = deque()  # parts and words still in reach of what follows
+    #: words and parts still in reach of what follows
+    near: tuple[deque[Span], deque[Span]] = deque(), deque()
     scope = 0
     for s in sorted([*words, *parts]):
         while scope < len(breaks) and breaks[scope] < s.start:
-            near.clear()
+            near[0].clear()
+            near[1].clear()
             scope += 1
-        while near and near[0].end + REACH < s.start:
-            near.popleft()
-        for x in near:
-            if x.end + REACH >= s.start and (x.kind == 3) != (s.kind == 3):
+        mine, others = near if s.kind == 3 else near[::-1]
+        while others and others[0].end + reach < s.start:
+            others.popleft()
+        for x in others:
+            if x.end + reach >= s.start:
                 word, part = (x, s) if x.kind == 3 else (s, x)
                 if not _overlap(word, part) or (part in urls and _credential(text, word, urls[part])):
                     out |= {y for y in (x, s) if y.kind in (3, 4)}
-        if s.kind != 3 or not near or near[-1] != s:
-            near.append(s)
+        if not mine or mine[-1] != s:
+            mine.append(s)
     return sorted(out)
 
 
-def spans(text: str | None) -> tuple[list[Span], list[Span]]:
+def spans(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span]]:
     """Strong spans, and all."""
     if not text:
         return [], []
     base = strong(text)
-    return base, sorted({*base, *linked(text, base)})
+    return base, sorted({*base, *linked(text, base, reach)})
 
 
 def _joined(found: list[Span]) -> str:
     return ",".join(map(str, found))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    Linked parts of a scope are at most ``reach`` code points apart.
 
     ``spans`` lists kind:start:end by start, then kind; ``base_sha256`` is the hash of
     that list of the strong kinds. Reads doc_id and text; a null or empty text has no
@@ -173,7 +192,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [spans(t) for t in batch.column(1).to_pylist()]
+            found = [spans(t, reach) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s.kind == k for s in base) for base, _ in found], pa.int64()) for k in range(3)]
             digest = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays(
@@ -186,10 +205,10 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: str) -> str:
+def redacted(text: str, reach: int = REACH) -> str:
     """The text with every secret replaced by its kind; overlapping spans as one."""
     out, at, hidden = [], 0, 0
-    for s in spans(text)[1]:
+    for s in spans(text, reach)[1]:
         if s.start >= hidden:
             out += [text[at : s.start], f"<{KINDS[s.kind]}>"]
         hidden = max(hidden, s.end)
@@ -197,7 +216,7 @@ def redacted(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with secrets replaced in ``text``, other columns and rows unchanged.
 
     ``n_chars``, if there is such a column, becomes the new length of changed texts.
@@ -206,7 +225,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def cleaned(texts: pd.Series) -> pd.Series:
         hold()
-        return texts.map(lambda t: redacted(t) if t else t)
+        return texts.map(lambda t: redacted(t, reach) if t else t)
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names, strict=True))

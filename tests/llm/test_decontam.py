@@ -59,7 +59,8 @@ def test_planted_passages(spark):
         if i % 3 == 0:
             passage = rng.choice(items[:25])[1].split()
             a = rng.randrange(len(passage))
-            words[rng.randrange(len(words) + 1) :][:0] = passage
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = passage
             words += passage[a:]
         docs.append((i, " ".join(words)))
     docs += [(100, "a " * 40), (101, "x. null, id item words HERE!"), (102, items[0][1] + " " + items[1][1])]
@@ -75,3 +76,36 @@ def test_odd_rows(spark, odd, none, texts):
     assert contamination(none, items).collect() == []
     assert decontaminate(odd, items).columns == odd.columns
     assert contamination(odd, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
+
+
+def test_long_texts_full_of_hits():
+    """Longest matches in texts that quote items over and over, against every start; and in seconds."""
+    import time
+
+    import numpy as np
+
+    from gridwell.llm.decontam import Tests, _longest, _run_ends, _Shard
+
+    rng = random.Random(4)
+    items = [(str(i), [b"w%d" % rng.randrange(4) for _ in range(rng.randrange(10, 60))]) for i in range(12)]
+    tests = Tests(items)
+    for _ in range(30):
+        words = [w for _ in range(8) for w in items[rng.randrange(12)][1][rng.randrange(5) : rng.randrange(5, 60)]]
+        shard = _Shard(tests, [b" ".join(words).decode()])
+        starts = np.unique(shard.place)
+        hit = np.zeros(len(words), bool)
+        for s in starts:
+            hit[s : s + 10] = True
+        want = max((tests.longest(shard.words[s : len(words)])[0] for s in starts), default=0)
+        length, start, owner = _longest(tests, shard.words[: len(words)], starts, _run_ends(hit), 0)
+        assert length == want
+        if want:
+            assert start == min(s for s in starts if tests.longest(shard.words[s : len(words)])[0] == want)
+            assert b" " + b" ".join(words[start : start + length]) + b" " in b" " + b" ".join(items[owner][1]) + b" "
+    tests = Tests([("a", [b"i%d" % k for k in range(500)])])
+    text = " ".join(f"i{k % 500}" for k in range(1_500_000))
+    began = time.process_time()
+    shard = _Shard(tests, [text])
+    words = shard.words[: len(shard.words) - 1]
+    assert _longest(tests, words, np.unique(shard.place), np.full(len(words), len(words)), 0)[0] == 500
+    assert len(text) > 7_000_000 and time.process_time() - began < 30

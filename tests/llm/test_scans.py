@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 
 import pytest
 
 from gridwell.llm import licenses, secrets
+from gridwell.llm.text import alnum_words
 
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
@@ -148,3 +150,63 @@ def test_occurrences_in_the_scan(spark):
     got = licenses.scan(spark.createDataFrame([(1, notice * 3), (2, phrase * 3)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["spans"] for r in got} == {1: ",".join(f"bsd:{i * n}:{i * n + n}" for i in range(3)), 2: "mit:0:4,mit:4:8,mit:8:12"}
     assert all(r["score"] == 1 for r in got)
+
+
+def test_long_texts_full_of_hits():
+    """Scans of long texts full of what they look for take seconds."""
+    import time
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    kinds = [lambda: f'password = "{word()}"', lambda: f"x {word()} y", lambda: "user: bob", lambda: f"https://svc:{word()}@h.example.com/x", lambda: "AKIA" + "A" * 16]
+    text = " ".join(rng.choice(kinds)() for _ in range(330_000))
+    began = time.process_time()
+    base, every = secrets.spans(text)
+    assert len(text) > 9_000_000 and len(every) > len(base) > 100_000 and time.process_time() - began < 60
+    text = " ".join([*(t for _, t in licenses.NOTICES), "foo under the mit license bar"]) + " "
+    words = alnum_words(text * 7000)
+    began = time.process_time()
+    assert len(licenses.phrases(words)) == 7000
+    assert len(licenses.covers(words, licenses.automaton())) >= 7000 * len(licenses.NOTICES)
+    assert time.process_time() - began < 60
+
+
+def brute_links(text, base, reach):
+    """Every random-looking word against every part, by the rules alone."""
+    words = [secrets.Span(m.start(), 3, m.end()) for m in secrets._WORD.finditer(text) if secrets._random(m[0])]
+    words = [w for w in words if not any(b.start < w.end and w.start < b.end for b in base)]
+    parts = [s for s in base if s.kind == 1]
+    parts += [secrets.Span(m.start(), 4, m.end()) for m in secrets._IDENTIFIER.finditer(text)]
+    ends = [secrets.Span(m.start(), 5, m.end()) for m in secrets._ENDPOINT.finditer(text)]
+    urls = secrets._hosts(text, ends)
+    cut = []
+    for w in words:
+        inside = [u for u in urls if u.start < w.end and w.start < u.end]
+        cut.append(secrets._without_host(text, w, urls[inside[0]]) if inside else w)
+    breaks = [m.start() for m in secrets._SCOPE.finditer(text)]
+    scope = lambda s: sum(b < s.start for b in breaks)
+    out = set()
+    for w in cut:
+        for p in [*parts, *ends]:
+            first, second = sorted([w, p])
+            over = w.start < p.end and p.start < w.end
+            if scope(w) == scope(p) and first.end + reach >= second.start and (not over or (p in urls and secrets._credential(text, w, urls[p]))):
+                out |= {x for x in (w, p) if x.kind in (3, 4)}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("reach", [40, 200])
+def test_linked_parts_against_all_pairs(reach):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(18, 30)))
+    kinds = [word, word, lambda: "user: alice", lambda: "host = db.example.com", lambda: f"https://a:{word()}@h.example.com/x", lambda: f"https://h.example.com/{word()}/y", lambda: "AKIA" + "B" * 16]
+    kinds += [lambda: "plain words here", lambda: "\n", lambda: "\n \n", lambda: f"token={word()}", lambda: "-" * rng.randrange(80)]
+    seen = 0
+    for _ in range(300):
+        text = " ".join(rng.choice(kinds)() for _ in range(rng.randrange(25)))
+        base = secrets.strong(text)
+        got = secrets.linked(text, base, reach)
+        assert got == brute_links(text, base, reach)
+        seen += len(got)
+    assert seen > 300
