@@ -44,7 +44,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in urls.RULES) + " AS rules(verdict, host, path)")
     return urls.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 

@@ -71,6 +71,27 @@ def _block(digest: bytes, width: int, entries: list[tuple], frames: list[bytes])
     return b"".join([_HEAD.pack(MAGIC, digest, width, len(entries)), np.array(entries, _ENTRY).tobytes(), *frames])
 
 
+def _sample(source: DataFrame) -> list[str]:
+    """Whole texts of the ``SAMPLE_DOCS`` documents of the smallest hashes, or of as many
+    of them as give ``SAMPLE_BYTES``; rows of one hash count once."""
+    texts = source.where("text is not null").select(F.xxhash64("doc_id", F.length("text")).alias("h"), F.length("text").alias("n"), "text")
+    total = source.count()
+    # hashes are spread evenly: some four times as many as are wanted lie below the limit
+    share = 4 * SAMPLE_DOCS / max(1, total)
+    while True:
+        below = texts if share >= 1 else texts.where(F.col("h") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+        found = below.select("h", "n").groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(SAMPLE_DOCS).collect()
+        if len(found) >= SAMPLE_DOCS or share >= 1:
+            break
+        share *= 8
+    before = np.cumsum([0, *(r["n"] for r in found)])
+    chosen = [r["h"] for r, held in zip(found, before, strict=False) if held < SAMPLE_BYTES]
+    if not chosen:
+        return []
+    own = texts.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.max("text").alias("text"))
+    return [r["text"] for r in own.orderBy("h").collect()]
+
+
 def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | None = None) -> TokenFiles:
     """Encode every whole text and write the file set, in ascending doc_id order.
 
@@ -82,16 +103,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = source.where("text is not null").select("doc_id", F.xxhash64("doc_id", F.length("text")).alias("h"), F.length("text").alias("n"))
     enc = encoder(vocabulary, False)
     width = _width(enc)
-    chosen, total = [], 0
-    for r in picked.orderBy("h").limit(SAMPLE_DOCS).collect():
-        if total < SAMPLE_BYTES and r["doc_id"] is not None:
-            chosen.append(r["doc_id"])
-            total += r["n"]
-    texts = source.where("text is not null").where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
-    data = _dictionary([_stored(ids, width) for ids in enc.encode([r["text"] for r in texts.collect()]) if len(ids)])
+    data = _dictionary([_stored(ids, width) for ids in enc.encode(_sample(source)) if len(ids)])
     digest = hashlib.sha256(data).digest()
     shared = spark.sparkContext.broadcast(data)
     end = np.uint32(end_id)

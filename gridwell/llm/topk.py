@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwell.session import scratch_path
+from gridwell.session import scratch_path, written
 
 BLOCK = 2048
 BINS = 1024
@@ -44,12 +44,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     """
     spark = vectors.sparkSession
     rows = _sound(vectors)
-    asked = _sound(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = written(_sound(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     path = scratch_path(spark, "topk")
     last = None
     while True:
         some = asked if last is None else asked.where(F.col("vec_id") > last)
-        part = some.orderBy("vec_id").limit(block).collect()
+        # ids alone tell where the block ends: of the vectors only its own reach the driver
+        end = some.select("vec_id").orderBy("vec_id").limit(block).agg(F.max("vec_id")).first()[0]
+        part = [] if end is None else some.where(F.col("vec_id") <= end).orderBy("vec_id").collect()
         _block(rows, part, k, scale).write.mode("append").parquet(path)
         if len(part) < block:
             break

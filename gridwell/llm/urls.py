@@ -45,14 +45,20 @@ def keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
     """The keys of a URL that have one of ``shapes`` (host labels, path length),
     longest first: array<string>. Other keys can't be rules."""
     labels = F.split(host, r"\.", -1)
-    found = [
-        F.when(
-            (host != "") & (F.size(labels) >= n) & (F.length(path) >= size),
-            F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring(path, 1, size)),
-        )
-        for n, size in shapes
-    ]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+    def key(shape: Column) -> Column:
+        n, size = F.shiftright(shape, 32).cast("int"), shape.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        fits = (host != "") & (F.size(labels) >= n) & (F.length(path) >= size)
+        return F.when(fits, F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring(path, F.lit(1), size)))
+
+    return F.array_compact(F.transform(_longs([n << 32 | size for n, size in shapes]), key))
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array: one string, which the optimizer turns into numbers once."""
+    if not values:
+        return F.array().cast("array<long>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
 def _bit(key: Column, level: int, i: int, bits: int) -> Column:
@@ -62,7 +68,7 @@ def _bit(key: Column, level: int, i: int, bits: int) -> Column:
 def _in_level(key: Column, number: int, level: Level) -> Column:
     """Whether all of a key's bits are set."""
     bits = 64 * len(level.words)
-    words = F.lit(list(level.words)).cast("array<long>")
+    words = _longs(list(level.words))
     tests = []
     for i in range(level.hashes):
         at = _bit(key, number, i, bits)

@@ -61,3 +61,22 @@ def test_main_path_has_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = filter_urls(pages, spark.createDataFrame(RULES, "verdict string, host string, path string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
+
+
+def test_long_lists_stay_cheap(spark):
+    """A list of 20,000 rules of many shapes: filters are constants of a small plan."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    listed = spark.range(20_000).selectExpr("concat('h', id, '.example.com/', repeat('p', cast(id % 40 as int)), '/') as key")
+    universe = listed.unionByName(spark.range(60_000).selectExpr("concat('x', id, '.org/') as key")).distinct()
+    began = time.time()
+    levels = cascade(listed, universe)
+    wrong = universe.withColumn("found", member(F.col("key"), levels)).join(listed.withColumn("real", F.lit(True)), "key", "left")
+    assert wrong.where("found != coalesce(real, false)").count() == 0
+    assert time.time() - began < 60
+    rules = listed.selectExpr("'block' as verdict", "substring_index(key, '/', 1) as host", "substring(key, instr(key, '/')) as path")
+    pages = spark.createDataFrame([(1, "http://a.h7.example.com/ppppppp/x"), (2, "http://h7.example.com/pppppp/x"), (3, "http://h40.example.com//")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(pages, rules).collect()}
+    assert got == {1: ("h7.example.com/ppppppp/", "block"), 2: (None, "allow"), 3: ("h40.example.com//", "block")}
