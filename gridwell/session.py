@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,16 +80,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _passing:
+        _passing[-1].add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+def _plain(path: str) -> str:
+    return path.removeprefix("file:").lstrip("/")
+
+
+def _delete(spark: SparkSession, paths: set[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = shared_dir(spark)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _tables(df: DataFrame) -> set[str]:
+    """The written tables that ``df`` reads."""
+    root = _plain(shared_dir(df.sparkSession))
+    return {p for p in (f.rsplit("/", 1)[0] for f in df.inputFiles()) if _plain(p).startswith(root)}
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the tables made by :func:`written` that ``df`` reads; nothing may read them again."""
+    _delete(df.sparkSession, _tables(df))
+
+
+_passing: list[set[str]] = []
+
+
+def passing(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, which reads written tables alone; all others that it wrote are deleted."""
+    _passing.append(set())
+    try:
+        df = make()
+    finally:
+        made = _passing.pop()
+    kept = {_plain(p) for p in _tables(df)}
+    _delete(df.sparkSession, {p for p in made if _plain(p) not in kept})
+    if _passing:
+        _passing[-1] |= {p for p in made if _plain(p) in kept}
+    return df
