@@ -34,6 +34,54 @@ NOTICES = [
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
+# Whole texts of short public licences, with their labels.
+TEXTS = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or "
+        "other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with "
+        "regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is "
+        "and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or "
+        "consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+        "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to "
+        "alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must "
+        "not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be "
+        "appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original "
+        "software 3 this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute "
+        "this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+]
 #: Words of a match that counts; part of a template that its chain covers; words
 #: between chained matches, in the file, at most.
 MATCH_LEAST = 3
@@ -174,14 +222,16 @@ def _chains(found: list[tuple[int, int, int]], words: int) -> list[tuple[int, in
     return out
 
 
-_shared: list[Automaton] = []
+TEMPLATES = (*PHRASES, *NOTICES, *TEXTS)
+_shared: dict[tuple, Automaton] = {}
 
 
-def automaton() -> Automaton:
-    """The worker's automaton of all phrases and notices."""
-    if not _shared:
-        _shared.append(Automaton([(label, text.encode().split()) for label, text in [*PHRASES, *NOTICES]]))
-    return _shared[0]
+def automaton(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Automaton:
+    """The worker's automaton of all templates (label, text), in :func:`alnum_words` of the texts."""
+    if templates not in _shared:
+        _shared.clear()
+        _shared[templates] = Automaton([(label, words) for label, text in templates if (words := alnum_words(text))])
+    return _shared[templates]
 
 
 def covers(words: list[bytes], auto: Automaton) -> list[tuple[str, float, int, int]]:
@@ -228,18 +278,18 @@ def phrases(words: list[bytes]) -> list[tuple[int, str]]:
     return found
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score, spans.
 
     ``score`` is the largest part of a template that is covered; ``spans`` has label,
-    first and one past the last word of each occurrence of a covered template. Reads doc_id and text; a
-    null or empty text has no words, no labels and a score of 0; repeated rows are
+    first and one past the last word of each occurrence of a covered template.
+    ``templates`` are labels and texts. Reads doc_id and text; a null or empty text has no words, no labels and a score of 0; repeated rows are
     scanned alike; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton()
+        auto = automaton(templates)
         for batch in pieces(batches):
             columns: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).to_pylist():

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwell.llm.text import ROWS_PER_PIECE, distinct_space_words, pieces, pieces_by_size
-from gridwell.session import written
+from gridwell.session import drop_written, written
 
 HEAD = 1 << 18
 TARGETS = 4095
@@ -445,7 +445,9 @@ def fit(coded: DataFrame, words: Vocabulary) -> Parameters:
         shared = spark.sparkContext.broadcast((words.index(), words.says, noise, p, seen))
 
         own = train.where(F.col("turn") == turn).drop("turn")
-        trained = _averaged(written(own.groupBy("shard").applyInArrow(_shard(shared, turn), _FLAT), "parameters"), shards)
+        parts = written(own.groupBy("shard").applyInArrow(_shard(shared, turn), _FLAT), "parameters")
+        trained = _averaged(parts, shards)
+        drop_written(parts)
         if len(trained):
             size = len(p.flat())
             p, seen = p.like(trained[:size]), p.like(trained[size:])
@@ -606,6 +608,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<long>"
     heads = coded.select("row", "doc_id", "held_out", "n_tokens", "codes", "tail_h", "tail_n").mapInArrow(_scored(shared), schema)
     heads = written(heads, "scores")
+    drop_written(coded)
     tail = heads.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
     c = F.coalesce("c", F.lit(0))
     unseen = tail.join(counts, "h", "left").groupBy("row").agg(

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from gridwell.llm.text import HASHES, Memo, mix, pieces, shingle_hashes
 from gridwell.operators.components import connected_components
-from gridwell.session import written
+from gridwell.session import drop_written, passing, written
 
 SKETCH = 64
 INDEX = 24
@@ -84,10 +84,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("id"), "n", "sketch"),
         "vertices",
     )
-    links = _links(vertices, source)
     repeated = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same = sets.join(repeated, "doc_id").join(firsts, ["k1", "k2"]).select(F.col("doc_id").alias("src"), F.col("id").alias("dst"))
-    whole = connected_components(links.union(same))
+    whole = passing(lambda: connected_components(_links(vertices, source).union(same)))
+    drop_written(vertices)
     named = firsts.join(whole, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("found"))
     keyed = signed.select("doc_id", "n", "k1", "k2")
     component = F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id"))
@@ -265,6 +265,10 @@ def _estimated(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """Links (src, dst) among ``pairs`` (a, b) by the similarity of their full sets."""
+    return passing(lambda: _matched(pairs, source))
+
+
+def _matched(pairs: DataFrame, source: DataFrame) -> DataFrame:
     pairs = written(pairs, "candidates")
     texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), source)
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))

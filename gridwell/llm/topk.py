@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwell.session import scratch_path, written
+from gridwell.session import drop_written, scratch_path, written
 
 BLOCK = 2048
 BINS = 1024
@@ -56,6 +56,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
         if len(part) < block:
             break
         last = part[-1]["vec_id"]
+    drop_written(asked)
     return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridwell.llm import licenses, secrets
 from gridwell.llm.text import alnum_words
@@ -210,3 +211,36 @@ def test_linked_parts_against_all_pairs(reach):
         assert got == brute_links(text, base, reach)
         seen += len(got)
     assert seen > 300
+
+
+def test_whole_texts_and_own_templates(spark):
+    whole = dict(licenses.TEXTS)
+    docs = [(1, "Copyright someone. " + whole["zlib"].upper() + ". The end."), (2, whole["isc"] + " and more words in between here " + whole["isc"]), (3, "my own text of a licence of mine in a file"), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit("x")).withColumn("labels", F.lit(1))
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert got[1]["labels"] == "zlib" and got[1]["score"] == 1.0 and f"zlib:2:{2 + len(whole['zlib'].split())}" in got[1]["spans"].split(",")
+    n = len(whole["isc"].split())
+    assert {f"isc:0:{n}", f"isc:{n + 6}:{2 * n + 6}"} <= set(got[2]["spans"].split(","))
+    assert (got[3]["labels"], got[4]["labels"], got[4]["score"]) == ("", "", 0.0)
+    own = {r["doc_id"]: r for r in licenses.scan(df, (("mine", "My own text, of a licence of mine!"),)).collect()}
+    assert (own[3]["labels"], own[3]["spans"]) == ("mine", "mine:0:8") and own[1]["labels"] == ""
+
+
+def test_chains_against_all_covers():
+    """The best chain of a template against a search over all chains of its matches."""
+    from itertools import combinations
+
+    rng = random.Random(5)
+    for _ in range(400):
+        found = sorted({(rng.randrange(60), rng.randrange(20), rng.randrange(3, 8)) for _ in range(rng.randrange(1, 6))})
+        best = 0
+        for size in range(1, len(found) + 1):
+            for some in combinations(found, size):
+                covered, ok = some[0][2], True
+                for (a, p, n), (b, q, m) in zip(some, some[1:], strict=False):
+                    extra = m - max(0, a + n - b, p + n - q)
+                    ok &= a + n + licenses.GAP_MOST >= b and extra > 0 and q + m > p + n
+                    covered += extra
+                if ok:
+                    best = max(best, covered)
+        assert licenses._chain(found)[0] == best
