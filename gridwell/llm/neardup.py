@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import HASHES, Memo, mix, pieces, shingle_hashes
+from gridwell.llm.text import mix, pieces, pieces_by_size, shingle_sets
 from gridwell.operators.components import connected_components
 from gridwell.session import drop_written, passing, written
 
@@ -311,8 +311,8 @@ def _texts(ids: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, memos=(HASHES,)):
-        sets = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
+    for batch in pieces_by_size(batches, 1):
+        sets = shingle_sets(batch.column(1))
         ends = np.cumsum([0, *map(len, sets)])
         values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
         k = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -322,10 +322,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = Memo(shingle_hashes, 8 << 20)
-    for batch in pieces(batches, memos=(HASHES,)):
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        keep = [_linked(sets[p], sets[q]) for p, q in zip(x, y, strict=True)]
+    for batch in pieces(batches):
+        a, b = (c.to_pylist() for c in batch.columns[:2])
+        texts = pa.chunked_array([batch.column(2), batch.column(3)]).combine_chunks().dictionary_encode()
+        sets = shingle_sets(texts.dictionary)
+        place = texts.indices.to_pylist()
+        keep = [_linked(sets[p], sets[q]) for p, q in zip(place, place[len(a) :], strict=False)]
         rows = [(i, j) for i, j, k in zip(a, b, keep, strict=True) if k]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["src", "dst"])
 
@@ -336,10 +338,9 @@ def _linked(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 512, (HASHES,)):
+    for batch in pieces_by_size(batches, 1):
         n, k1, k2, flat, ends = [], [], [], [], [0]
-        for text in batch.column(1).to_pylist():
-            s = shingle_hashes(text)
+        for s in shingle_sets(batch.column(1)):
             n.append(len(s))
             m = mix(s)
             k1.append(m.sum(dtype=np.uint64))

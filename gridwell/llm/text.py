@@ -1,8 +1,7 @@
-"""Words, shingles and token ids of whole texts, with bounded memos.
+"""Words, shingles and token ids of whole texts.
 
-The memos live in the Python worker and speed up repeated words. Each holds a bounded
-number of bytes and drops its older half when it is full, so that results never
-depend on them; a task empties those of other operators.
+Arrow cuts a batch of texts into words and finds the distinct ones; what a word needs is
+worked out once for each and copied by numpy. A worker keeps nothing from batch to batch.
 """
 
 from __future__ import annotations
@@ -82,10 +81,11 @@ def space_words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
-def distinct_space_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_space_words(texts: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of :func:`space_words` of all texts, the number of each word
-    among them, and the texts' sizes."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    among them, and the texts' sizes; as they are written, if not ``lower``."""
+    whole = pc.fill_null(texts.cast(pa.large_string()), "")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
     flat, ends = words.flatten(), words.offsets.to_numpy().astype(np.int64)
     empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
     if empty.any():
@@ -100,14 +100,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_ALNUM).split()
 
 
-#: Hashes of words, which shingles are made of.
-HASHES = lasting(Memo(xxhash.xxh3_64_intdigest, 32 << 20))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(32))
@@ -117,25 +109,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles.
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``width``-word shingles.
 
     A text of fewer words has one shingle, all its words; one without words none.
     """
-    words = space_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    n = len(h) - width + 1
-    if n < 1:
-        acc = np.full(1, len(h), np.uint64)
-        for x in h:
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + x)
-        return acc
-    acc = np.full(n, width, np.uint64)
+    words, codes, sizes = distinct_space_words(texts)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[codes]
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    # at every place of the batch; those that cross texts are left out below
+    acc = np.full(max(0, len(h) - width + 1), width, np.uint64)
     for i in range(width):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(acc)
+        acc = mix(acc * factor + h[i : i + len(acc)])
+    out = []
+    for a, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        if n >= width:
+            out.append(np.unique(acc[a : a + n - width + 1]))
+        else:
+            short = np.full(min(n, 1), n, np.uint64)
+            for x in h[a : a + n]:
+                short = mix(short * factor + x)
+            out.append(short)
+    return out
 
 
 def _give_back() -> None:
@@ -155,7 +150,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE, memos:
 
 def pieces_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = ENCODED_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of a text column, or of one row."""
-    hold()
     for batch in batches:
         if not batch.num_rows:
             continue
