@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import _ALNUM, Memo, hold, lasting, pieces, utf8
+from gridwell.llm.text import _ALNUM, distinct_space_words, pieces_by_size
 
 DIMENSIONS = 1 << 18
 #: Rated documents that the classifier is fitted to at most: those of the smallest hashes.
@@ -38,6 +38,7 @@ _DENSE = 6
 
 
 _FORM = bytes(65 if 0x41 <= c <= 0x5A else 97 if c >= 0x80 or 0x61 <= c <= 0x7A else 48 if 0x30 <= c <= 0x39 else c for c in range(256))
+_BARE = bytes(10 if c == 10 else x for c, x in enumerate(_ALNUM))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
@@ -45,31 +46,36 @@ def _slot(x: bytes) -> int:
     return _DENSE + xxhash.xxh3_64_intdigest(x) % (DIMENSIONS - _DENSE)
 
 
-def _slots(word: bytes) -> tuple[int, int]:
-    """Hashed places of a word without case and punctuation, and of its form, in which
+def _slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places of words without case and punctuation, and of their forms, in which
     letters and digits are alike and a run is one."""
-    return _slot(word.translate(_ALNUM).strip()), _slot(_RUN.sub(rb"\1", b"\x00" + word.translate(_FORM)))
-
-
-_place = lasting(Memo(_slots, each=164))
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a whole text: which words and forms of words it has, in a
-    vector of fixed norm, and how much of it repeats. A text without words has the
-    constant alone."""
-    words = utf8(text).split()
-    n = len(words)
-    if not n:
-        return np.zeros(1, np.uint32), np.ones(1, np.float32)
-    kinds = set(words)
-    present = {place for w in kinds for place in _place[w]}
-    at = np.fromiter(sorted(present), np.uint32, len(present))
-    value = np.full(len(at), NORM / np.sqrt(len(at)), np.float32)
-    # how often a word follows itself, and how many words are distinct
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
-    dense = [1.0, again, min(1.0, 4 * again), len(kinds) / n, min(1.0, n / 20), min(1.0, n / 200)]
-    return np.concatenate([np.arange(_DENSE, dtype=np.uint32), at]), np.concatenate([np.array(dense, np.float32), value])
+    line = b"\n".join(words)
+    bare = np.array([_slot(w.strip()) for w in line.translate(_BARE).split(b"\n")], np.uint32)
+    forms = _RUN.sub(rb"\1", line.translate(_FORM)).split(b"\n")
+    place = {f: _slot(f if f[:1] == b"\x00" else b"\x00" + f) for f in set(forms)}
+    return bare, np.array([place[f] for f in forms], np.uint32)
+
+
+def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text places and values of the whole: which words and forms of words it
+    has, in a vector of fixed norm, and how much of it repeats. A text without words has
+    the constant alone."""
+    words, codes, sizes = distinct_space_words(texts, False)
+    bare, form = _slots(words) if words else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+    out = []
+    for a, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        if not n:
+            out.append((np.zeros(1, np.uint32), np.ones(1, np.float32)))
+            continue
+        own = codes[a : a + n]
+        kinds = np.unique(own)
+        at = np.unique(np.concatenate([bare[kinds], form[kinds]]))
+        value = np.full(len(at), NORM / np.sqrt(len(at)), np.float32)
+        # how often a word follows itself, and how many words are distinct
+        again = int((own[1:] == own[:-1]).sum()) / n
+        dense = [1.0, again, min(1.0, 4 * again), len(kinds) / n, min(1.0, n / 20), min(1.0, n / 200)]
+        out.append((np.concatenate([np.arange(_DENSE, dtype=np.uint32), at]), np.concatenate([np.array(dense, np.float32), value])))
+    return out
 
 
 @dataclass(frozen=True)
@@ -84,8 +90,8 @@ class Model:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, memos=(_place,)):
-        found = [features(t) for t in batch.column(1).to_pylist()]
+    for batch in pieces_by_size(batches, 1):
+        found = features(batch.column(1))
         at = pa.array([a.tobytes() for a, _ in found], pa.binary())
         value = pa.array([v.tobytes() for _, v in found], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), at, value], ["doc_id", "grade", "at", "value"])
@@ -162,8 +168,8 @@ def score(docs: DataFrame, model: Model, keep_least: float = KEEP_LEAST) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, memos=(_place,)):
-            tails = np.array([shared.value.tails(*features(t)) for t in batch.column(1).to_pylist()])
+        for batch in pieces_by_size(batches, 1):
+            tails = np.array([shared.value.tails(at, value) for at, value in features(batch.column(1))])
             if len(tails):
                 columns = [batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_least)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail_probability", "kept"])
@@ -178,8 +184,8 @@ def select(docs: DataFrame, model: Model, keep_least: float = KEEP_LEAST) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def reached(texts: pd.Series) -> pd.Series:
-        hold(_place)
-        return texts.map(lambda t: bool(shared.value.tails(*features(t))[-1] >= keep_least))
+        given = pa.array(texts, pa.large_string(), from_pandas=True)
+        return pd.Series([bool(shared.value.tails(at, value)[-1] >= keep_least) for at, value in features(given)], texts.index)
 
     good = F.pandas_udf(reached, "boolean")
     return docs.where(good(F.col("text").cast("string")))
