@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridwell.llm import lm, quality
 from gridwell.llm.text import space_words
@@ -212,3 +213,41 @@ def test_distinct_words_are_the_words(odd):
     words, codes, sizes = distinct_space_words(pa.array(texts, pa.string()))
     at = np.cumsum(sizes)
     assert [[words[c] for c in codes[b - n : b]] for n, b in zip(sizes, at, strict=True)] == [space_words(t) for t in texts]
+
+
+def test_classifier_against_another_optimiser():
+    """The fit against plain descent on numerical slopes of the penalised likelihood."""
+    rng = np.random.default_rng(2)
+    dense = np.concatenate([np.ones((90, 1)), rng.normal(0, 1, (90, 4))], 1).astype(np.float32)
+    latent = dense @ np.array([0.2, 2.0, -1.5, 0.7, 0.0]) + rng.logistic(0, 1, 90)
+    grade = (latent > -1).astype(int) + (latent > 1)
+    model = quality.train([np.arange(5, dtype=np.uint32)] * 90, list(dense), grade.tolist(), dimensions=5, rounds=3000)
+
+    def loss(theta):
+        cuts = np.array([theta[5], theta[5] + np.exp(theta[6])])
+        p = 1 / (1 + np.exp(-(dense @ theta[:5])[:, None] + cuts))
+        reached = grade[:, None] > np.arange(2)
+        return -np.mean(np.log(np.where(reached, p, 1 - p)).sum(1)) + quality.DECAY / 2 * (theta[:5] ** 2).sum()
+
+    theta, rate = np.zeros(7), 1.0
+    for _ in range(1500):
+        slope = np.array([(loss(theta + 1e-5 * e) - loss(theta - 1e-5 * e)) / 2e-5 for e in np.eye(7)])
+        while loss(theta - rate * slope) > loss(theta) and rate > 1e-6:
+            rate /= 2
+        theta, rate = theta - rate * slope, rate * 1.5
+    mine = np.concatenate([model.weights, [model.thresholds[0], np.log(np.diff(model.thresholds)[0])]])
+    assert loss(mine) == pytest.approx(loss(theta), abs=2e-3)
+    cuts = np.array([theta[5], theta[5] + np.exp(theta[6])])
+    want = 1 / (1 + np.exp(-(dense @ theta[:5])[:, None] + cuts))
+    got = np.array([model.tails(np.arange(5), x) for x in dense])
+    np.testing.assert_allclose(got, want, atol=0.03)
+
+
+def test_classifier_on_repeated_rows_and_ties(spark):
+    docs = spark.createDataFrame([(1, "good fine words"), (1, "good fine words"), (2, "bad bad bad"), (3, "good fine words")], "doc_id long, text string").withColumn("kept", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len(got) == 4 and len({r["tail_probability"] for r in got if r["doc_id"] != 2}) == 1
+    model = quality.Model(np.zeros(quality.DIMENSIONS, np.float32), np.array([-1.0, 0.0]))
+    # a tail probability that equals the limit is kept
+    assert quality.select(docs, model).count() == 4 and quality.select(docs, model).columns == docs.columns

@@ -49,12 +49,14 @@ def test_plan_packs_all_without_gaps(counts):
             assert o == at
             at += n
         assert at <= 40
-    assert len(bins) <= best_fit(counts, 40) + 1
+    # large pieces are paired to the fewest sequences, which leaves best fit other gaps
+    large = sum(c for n, c in counts.items() if 3 * n > 40)
+    assert len(bins) <= best_fit(counts, 40) + (1 if large else 0)
     assert len(bins) >= -(-sum(n * c for n, c in counts.items()) // 40)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(14, 40), max_size=9))
+@given(st.lists(st.integers(14, 40), max_size=7))
 def test_large_pieces_take_fewest_sequences(lengths):
     def fewest(left):
         if not left:
@@ -63,7 +65,7 @@ def test_large_pieces_take_fewest_sequences(lengths):
         return 1 + min([fewest(rest)] + [fewest(rest[:i] + rest[i + 1 :]) for i, m in enumerate(rest) if n + m <= 40])
 
     counts = {n: lengths.count(n) for n in set(lengths)}
-    assert len({s for s, _, _ in expand(counts, 40)}) == fewest(sorted(lengths)[:7]) if len(lengths) <= 7 else True
+    assert len({s for s, _, _ in expand(counts, 40)}) == fewest(sorted(lengths))
 
 
 def expected(docs):

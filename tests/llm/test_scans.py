@@ -244,3 +244,13 @@ def test_chains_against_all_covers():
                 if ok:
                     best = max(best, covered)
         assert licenses._chain(found)[0] == best
+
+
+def test_extra_columns_with_inner_names(spark):
+    df = spark.createDataFrame([(1, "password = abcdefghijkl1"), (2, None)], "doc_id long, text string")
+    odd = df.select("*", *(F.lit(1).alias(c) for c in ("spans", "n_hex", "base_sha256", "clean", "c0", "c1", "labels", "score")))
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(secrets.scan(odd)) == key(secrets.scan(df))
+    assert key(licenses.scan(odd)) == key(licenses.scan(df))
+    cleaned = secrets.redact(odd)
+    assert cleaned.columns == odd.columns and [(r["text"], r["clean"], r["c1"]) for r in cleaned.orderBy("doc_id").collect()] == [("<assign>", 1, 1), (None, 1, 1)]

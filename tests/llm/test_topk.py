@@ -45,3 +45,13 @@ def test_few_or_no_candidates(spark):
     assert run(spark, [(1, [0.5])], [1]) == []
     assert run(spark, [], []) == []
     assert run(spark, [(1, [0.5]), (2, [0.25])], [1]) == [(1, 1, 2, 128 * 64)]
+
+
+def test_extra_columns_with_inner_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [float(i % 5), 1.0]) for i in range(20)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    odd = v.select("*", *(F.lit(1).alias(c) for c in ("q", "score", "rank", "low", "high", "n", "bin", "query_id")))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(top_k(odd, odd.where("vec_id < 4"), 3)) == key(top_k(v, v.where("vec_id < 4"), 3, block=2))
