@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -75,50 +77,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again.
 
     Later stages then depend on files that outlive an executor, not on lineage
-    or on blocks that an executor holds.
+    or on blocks that an executor holds. The frame knows where its table is
+    (``table_path``), for :func:`drop_written`; frames made from it don't.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    if _passing:
-        _passing[-1].add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
 
 
-def _plain(path: str) -> str:
-    return path.removeprefix("file:").lstrip("/")
-
-
-def _delete(spark: SparkSession, paths: set[str]) -> None:
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
-def _tables(df: DataFrame) -> set[str]:
-    """The written tables that ``df`` reads."""
-    root = _plain(shared_dir(df.sparkSession))
-    return {p for p in (f.rsplit("/", 1)[0] for f in df.inputFiles()) if _plain(p).startswith(root)}
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the tables made by :func:`written` that ``df`` reads; nothing may read them again."""
-    _delete(df.sparkSession, _tables(df))
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables, each a frame that :func:`written` returned; nothing may read them again."""
+    for df in tables:
+        _delete(df.sparkSession, [df.table_path])
 
 
-_passing: list[set[str]] = []
+#: What :func:`passing` of the present thread has seen written.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def passing(make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returns, which reads written tables alone; all others that it wrote are deleted."""
-    _passing.append(set())
+    """What ``make`` returns, as a written table; all others that it wrote are deleted."""
+    outer = _made.get()
+    token = _made.set([])
     try:
         df = make()
+        if getattr(df, "table_path", None) is None:
+            df = written(df, "kept")
+        made = _made.get()
     finally:
-        made = _passing.pop()
-    kept = {_plain(p) for p in _tables(df)}
-    _delete(df.sparkSession, {p for p in made if _plain(p) not in kept})
-    if _passing:
-        _passing[-1] |= {p for p in made if _plain(p) in kept}
+        _made.reset(token)
+    _delete(df.sparkSession, [p for p in made if p != df.table_path])
+    if outer is not None:
+        outer.append(df.table_path)
     return df
