@@ -570,6 +570,7 @@ def learned(docs: DataFrame) -> tuple[DataFrame, DataFrame, Vocabulary, Paramete
     every = written(_coded(docs, words), "codes")
     words.says = _says(classes_of(_summed(every.where("both is not null").select("both"))))
     coded = every.where("both is null").drop("both")
+    coded.table_path = every.table_path
     words.classes = _classified(coded, words)
     return counts, coded, words, fit(coded, words)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwell.llm import decontam, licenses, lm, neardup, packing, quality, secrets, tokenstore, topk, urls
+from gridwell.llm import asof, collocations, decontam, licenses, lm, neardup, packing, quality, secrets, tokencounts, tokenstore, topk, urls
 from gridwell.session import ship, table
 
 
@@ -62,6 +62,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read(spark, tokenstore.write(docs, vocabulary_path("byte_bpe_50k.json")))
 
 
+def op11_point_in_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "n_chars", "lang")
+    return asof.features_at_labels(docs, table(spark, sf_dir, "labels", "doc_id"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("byte_bpe_50k.json"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
@@ -125,6 +138,55 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+_HASHED = ", ".join(f"CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR)), {1 + 8 * i}, 8)) AS BIGINT) AS {c}" for i, c in enumerate("abcd"))
+
+OP11_SQL = f"""
+WITH h AS (SELECT doc_id, source, n_chars, lang, {_HASHED} FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+v AS (SELECT doc_id, source, n_chars, lang, a % 50000 AS event, a % 50000 - 60 + b % 600 AS arrival, a % 50000 + c % 900 AS expiry FROM h),
+q AS (SELECT row_number() OVER () AS row, doc_id, d % 50000 AS t FROM (SELECT doc_id, {_HASHED} FROM labels)),
+s AS (SELECT doc_id, min(source) AS source FROM h GROUP BY doc_id),
+m AS (
+  SELECT q.row, q.doc_id, q.t, v.doc_id AS version_id, q.t - v.event AS age, v.n_chars, v.lang,
+    row_number() OVER (PARTITION BY q.row ORDER BY v.event DESC NULLS LAST, v.arrival, v.doc_id DESC, v.n_chars DESC NULLS LAST, v.lang DESC NULLS LAST) AS k
+  FROM q LEFT JOIN s ON s.doc_id = q.doc_id LEFT JOIN v ON v.source = s.source AND v.event <= q.t AND v.arrival <= q.t AND q.t < v.expiry
+)
+SELECT doc_id, t, version_id, age, CASE WHEN version_id IS NULL THEN 'none' WHEN age > 120 THEN 'stale' ELSE 'fresh' END AS status,
+  CASE WHEN age <= 120 THEN n_chars END AS n_chars, CASE WHEN age <= 120 THEN lang END AS lang
+FROM m WHERE k = 1
+"""
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k
+),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, l.a AS l, r.a AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM c, (SELECT unnest([1, 2, 3, 4]) AS j), f l, f r, total
+  WHERE j < c.k AND l.lang = c.lang AND r.lang = c.lang AND total.lang = c.lang
+    AND l.phrase = array_to_string(c.ws[1:j], ' ') AND r.phrase = array_to_string(c.ws[j + 1:], ' ')
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM cut) WHERE o = 1),
+inner_of AS (
+  SELECT DISTINCT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM c, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE m < k AND i + m - 1 <= k
+),
+kept AS (SELECT best.* FROM best ANTI JOIN inner_of ON inner_of.lang = best.lang AND inner_of.phrase = best.phrase AND 100 * inner_of.a >= 100 * best.a)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_exact_top_k,
@@ -137,6 +199,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_license_scan,
         op10_token_files,
+        op11_point_in_time_join,
+        op12_collocations,
+        op13_token_counts,
     ]
 
     def shipped(f):
@@ -150,4 +215,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_point_in_time_join": OP11_SQL, "op12_collocations": OP12_SQL}
