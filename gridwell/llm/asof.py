@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ticks of a shard: a power of two.
-SHARD = 1 << 12
+#: Ticks of a shard: a power of two. What an entity has is spread over as many groups as
+#: it has shards, so that small ones even out an entity with many versions.
+SHARD = 1 << 8
 
 _BEST = "event long, late long, version long"
 

@@ -24,10 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwell.llm.text import give_back
 from gridwell.session import drop_written, passing, written
 
 #: Bytes of text in a block, if a single text isn't longer.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: Bits of the filter that drops what can't be frequent before a shuffle.
+MOST_BITS = 1 << 24
 #: Parts in which a language's phrases are ranked before they meet.
 PARTS = 64
 
@@ -55,6 +58,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= BLOCK_BYTES:
                 yield from _block(first + number, held)
                 held, size, number = [], 0, number + 1
+                give_back()
     if held:
         yield from _block(first + number, held)
 
@@ -63,7 +67,9 @@ def _block(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
     texts = [(t or "").encode() for t in table.column(0).to_pylist()]
     langs = pc.fill_null(table.column(1).combine_chunks(), "und").dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts])
     raw = np.frombuffer(b"\n".join([*texts, b""]).translate(_PLAIN), np.uint8)
+    del texts
     solid = (raw != 0x20) & (raw != 0x0A)
     begin = np.flatnonzero(solid & ~np.append(False, solid[:-1]))
     if not len(begin):
@@ -73,10 +79,13 @@ def _block(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])]).dictionary_encode()
     piece = np.cumsum(raw == 0x0A)[begin]
     place = np.arange(len(begin)) + np.append(0, np.cumsum(piece[1:] != piece[:-1]))
-    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
-    own = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+    own = langs.indices.to_numpy(zero_copy_only=False)[np.searchsorted(ends, begin, "right")]
+    del raw, solid, piece, begin, length, offsets
     key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs.dictionary) + own
     keys, code, n = np.unique(key, return_inverse=True, return_counts=True)
+    # frequent words get small codes, which are stored in little space
+    order = np.argsort(-n, kind="stable")
+    code, keys, n = np.argsort(order, kind="stable")[code], keys[order], n[order]
     names = [*"block lang word code n place codes".split()]
     for at in range(0, len(keys), 1 << 16):
         k = keys[at : at + (1 << 16)]
@@ -159,6 +168,18 @@ def _with_ids(counted: DataFrame, name: str) -> DataFrame:
     return written(counted.withColumn("id", F.monotonically_increasing_id()), name)
 
 
+def _among(rows: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without most of those whose keys ``names`` doesn't have, told before they
+    are shuffled by a bitmap of the keys' hashes: 16 bits a name, ``MOST_BITS`` at most."""
+    bits = min(MOST_BITS, max(1 << 13, 1 << (16 * names.count()).bit_length()))
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    # at most MOST_BITS / 64 rows
+    words = names.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    met = rows.withColumn("at", F.shiftright(at, 6)).join(F.broadcast(words), "at")
+    return met.where(F.col("bits").bitwiseAND(bit) != 0).drop("at", "bits")
+
+
 def _longer(pairs: DataFrame, below: DataFrame) -> DataFrame:
     """Phrases of named pairs (id, a, b, f): id, a, b, lang, phrase, last word, f, and the
     counts of what they begin and end with, the shortest first."""
@@ -199,25 +220,25 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
 
 def _collocations(docs: DataFrame, longest: int, least: int, most: int) -> DataFrame:
     source = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    made = written(source.mapInArrow(_blocks, "block long, lang string, word string, code int, n long, place binary, codes binary"), "blocks")
+    made = written(source.mapInArrow(_blocks, "block long, lang string, word string, code int, n long, place binary, codes binary"), "blocks", "zstd")
     words = made.where("codes is null").select("block", "lang", "word", "code", "n")
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     counted = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = _with_ids(counted, "words")
-    named = words.select("block", "lang", "word", "code").join(frequent, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id")
+    named = _among(words.select("block", "lang", "word", "code"), frequent, "lang", "word").join(frequent, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id")
     places = made.where("codes is not null").select("block", "place", "codes")
-    blocks = written(places.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_words_named, _BLOCK), "places")
+    blocks = written(places.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_words_named, _BLOCK), "places", "zstd")
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("begins"), F.array().cast("array<long>").alias("ends"))
     levels = []
     for k in range(2, longest + 1):
-        pairs = written(blocks.mapInArrow(_pairs, _PAIRS), "pairs")
+        pairs = written(blocks.mapInArrow(_pairs, _PAIRS), "pairs", "zstd")
         counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         frequent = _with_ids(counted, "named")
         level = written(_longer(frequent, level), "level")
         levels.append(level)
         if k < longest:
-            named = pairs.select("block", "a", "b").join(frequent, ["a", "b"]).select(F.col("block").alias("of"), "a", "b", "id")
-            after = written(blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_pairs_named, _BLOCK), "places")
+            named = _among(pairs.select("block", "a", "b"), frequent, "a", "b").join(frequent, ["a", "b"]).select(F.col("block").alias("of"), "a", "b", "id")
+            after = written(blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_pairs_named, _BLOCK), "places", "zstd")
             drop_written(blocks, pairs)
             blocks = after
     found = []

@@ -86,7 +86,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what Arrow no longer uses to the system; its pool would keep it."""
     pa.default_memory_pool().release_unused()
 
@@ -96,7 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_PIECE) -> Ite
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-        _give_back()
+        give_back()
 
 
 def pieces_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = ENCODED_AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def pieces_by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = E
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
-            _give_back()
+            give_back()
 
 
 # Unicode white space.
