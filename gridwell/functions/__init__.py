@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def cell(value: Column, side: float) -> Column:
     return F.floor(value / F.lit(float(side))).cast("long")
 
 
+def cell_side(eps: float) -> float:
+    """Slightly less than eps / sqrt(2): points of a cell of this side are within eps of each other."""
+    return eps / math.sqrt(2) * (1 - 1e-9)
+
+
 def contains(px: Column, py: Column, r: Column) -> Column:
     """Closed containment of a point in a rectangle."""
     return px.between(r["x"], r["x2"]) & py.between(r["y"], r["y2"])

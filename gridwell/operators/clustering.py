@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwell.functions import flag
+from gridwell.operators.cells import cell_graph
 from gridwell.operators.components import connected_components
 from gridwell.operators.local import local_clusters, optics_order
 from gridwell.operators.neighbors import neighbor_pairs
@@ -75,6 +76,13 @@ def dbscan_declarative(points: DataFrame, eps: float, min_points: int) -> Cluste
     return ClusterModel(eps, min_points, _labeled(points.select("id"), core, found.union(border)))
 
 
+def dbscan_cells(points: DataFrame, eps: float, min_points: int) -> ClusterModel:
+    """DBSCAN on the graph of cells eps / sqrt(2) wide: rows in proportion to the points,
+    however many a cell holds; nothing is planned and no group is held by one task."""
+    core, component = cell_graph(points, eps, min_points)
+    return ClusterModel(eps, min_points, _labeled(points.select("id"), core, component), points=points)
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int = 50_000, merge: str = "core") -> ClusterModel:
     """DBSCAN by partitions of bounded size, clustered apart and merged.
 

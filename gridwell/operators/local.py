@@ -8,33 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-_PAIRS_AT_ONCE = 1 << 20
-
+from gridwell.functions import cell_side
 
-def neighbor_blocks(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, d2) of all ordered pairs within eps, in blocks of a bounded size."""
-    side = eps * (1 + 1e-9)
-    cx, cy = np.floor(x / side).astype(np.int64), np.floor(y / side).astype(np.int64)
-    cx, cy = cx - cx.min(), cy - cy.min()
-    wide = int(cy.max()) + 3
-    key = cx * wide + cy + 1
-    order = np.argsort(key, kind="stable")
-    keys = key[order]
-    for dx in (-1, 0, 1):
-        # the three cells of a column are neighbours in key order
-        low = np.searchsorted(keys, key + dx * wide - 1, "left")
-        size = np.searchsorted(keys, key + dx * wide + 1, "right") - low
-        at = 0
-        total = np.cumsum(size)
-        while at < len(x):
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS_AT_ONCE, "right")))
-            n = size[at:end]
-            i = np.repeat(np.arange(at, end), n)
-            j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:end], n)]
-            d2 = (x[i] - x[j]) * (x[i] - x[j]) + (y[i] - y[j]) * (y[i] - y[j])
-            ok = d2 <= eps * eps
-            yield i[ok], j[ok], d2[ok]
-            at = end
+_PAIRS_AT_ONCE = 1 << 20
+#: Pairs of points that are compared instead of cutting two groups in halves.
+_COMPARED = 1 << 12
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -51,36 +29,161 @@ def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+class _Cells:
+    """A partition's points by cells of which each lies within eps of itself."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, eps: float):
+        self.x, self.y, self.limit = x, y, eps * eps
+        side = cell_side(eps)
+        cx, cy = np.floor(x / side).astype(np.int64), np.floor(y / side).astype(np.int64)
+        cx, cy = cx - cx.min(), cy - cy.min()
+        self.wide = int(cy.max()) + 5
+        key = cx * self.wide + cy + 2
+        self.order = np.argsort(key, kind="stable")
+        self.keys, self.cell, self.size = np.unique(key, return_inverse=True, return_counts=True)
+        self.first = np.cumsum(self.size) - self.size
+
+    def diagonals(self) -> np.ndarray:
+        """Each cell's squared diagonal of what it holds."""
+        spread = lambda v: np.maximum.reduceat(v, self.first) - np.minimum.reduceat(v, self.first)
+        dx, dy = spread(self.x[self.order]), spread(self.y[self.order])
+        return dx * dx + dy * dy
+
+    def blocks(self, asked: np.ndarray, among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of ``asked`` points and their neighbours, of ``among`` only if it
+        is given (a mask), in blocks of a bounded size."""
+        order = self.order if among is None else self.order[among[self.order]]
+        # places of each cell's points among those
+        held = np.bincount(self.cell[order], minlength=len(self.keys))
+        starts = np.append(0, np.cumsum(held))
+        for step in range(-2, 3):
+            # the five cells of a column are neighbours in key order
+            key = self.keys[self.cell[asked]] + step * self.wide
+            low = starts[np.searchsorted(self.keys, key - 2, "left")]
+            n = starts[np.searchsorted(self.keys, key + 2, "right")] - low
+            yield from self._close(asked, low, n, order)
+
+    def between(self, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of the points of each of ``one`` and the cell beside it in ``two``."""
+        n = self.size[one]
+        of = np.repeat(np.arange(len(one)), n)
+        asked = self.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[one][of]]
+        yield from self._close(asked, self.first[two][of], self.size[two][of], self.order)
+
+    def _close(self, asked: np.ndarray, low: np.ndarray, n: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        total, at = np.cumsum(n), 0
+        while at < len(asked):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS_AT_ONCE, "right")))
+            k = n[at:end]
+            i = np.repeat(asked[at:end], k)
+            j = order[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[at:end], k)]
+            dx, dy = self.x[i] - self.x[j], self.y[i] - self.y[j]
+            ok = dx * dx + dy * dy <= self.limit
+            yield i[ok], j[ok]
+            at = end
+
+    def touching(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether a point of ``a`` is within eps of one of ``b``: halves of what can be in
+        reach of the other's box are compared until boxes or few points decide."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            while True:
+                size = len(a) + len(b)
+                a, b = a[self._to_box(a, b)[0] <= self.limit], b
+                b = b[self._to_box(b, a)[0] <= self.limit] if len(a) else b[:0]
+                if not len(a) or not len(b) or len(a) + len(b) == size:
+                    break
+            if not len(a) or not len(b):
+                continue
+            if (self._to_box(a, b)[1] <= self.limit).any():
+                return True
+            if len(a) * len(b) <= _COMPARED:
+                dx, dy = self.x[a][:, None] - self.x[b], self.y[a][:, None] - self.y[b]
+                if (dx * dx + dy * dy <= self.limit).any():
+                    return True
+                continue
+            if len(a) < len(b):
+                a, b = b, a
+            v = self.x if np.ptp(self.x[a]) >= np.ptp(self.y[a]) else self.y
+            middle = len(a) // 2
+            halves = a[np.argpartition(v[a], middle)]
+            todo += [(halves[:middle], b), (halves[middle:], b)]
+        return False
+
+    def _to_box(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest squared distance from each point of ``a`` to the box around ``b``."""
+        near, far = 0.0, 0.0
+        for v in (self.x, self.y):
+            low, high, own = v[b].min(), v[b].max(), v[a]
+            gap, most = np.maximum(np.maximum(low - own, own - high), 0), np.maximum(high - own, own - low)
+            near, far = near + gap * gap, far + most * most
+        return near, far
+
+
 def local_clusters(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataFrame:
     """For each copy: whether it is a core point here, and the local clusters next to it.
 
     A local cluster is named by its smallest core id. Core points of other partitions
-    may be missed here, but none is found that is not one.
+    may be missed here, but none is found that is not one. A cell with ``min_points`` or
+    more is core as a whole; other cells hold so few points that comparing each of them
+    with all around stays in proportion to the points.
     """
     group = group.sort_values("id", ignore_index=True)
     x, y, ids = group["x"].to_numpy(), group["y"].to_numpy(), group["id"].to_numpy()
     n = len(group)
+    cells = _Cells(x, y, eps)
+    full = (cells.size >= min_points) & (cells.diagonals() <= eps * eps)
+    core = full[cells.cell]
+    rest = np.flatnonzero(~core)
     count = np.zeros(n, np.int64)
-    for i, _, _ in neighbor_blocks(x, y, eps):
+    for i, _ in cells.blocks(rest):
         count += np.bincount(i, minlength=n)
-    core = count >= min_points
-    label = np.arange(n)
-    for i, j, _ in neighbor_blocks(x, y, eps):
-        # links within what is joined already add nothing
-        a, b = label[i], label[j]
-        new = core[i] & core[j] & (a != b)
-        if new.any():
-            label = least_labels(n, np.concatenate([a[new], b[new]]), np.concatenate([b[new], a[new]]))[label]
+    core[rest] = count[rest] >= min_points
+    label = _joined(cells, full, core)
     named = ids[label]
     rims = [np.zeros((2, 0), np.int64)]
-    for i, j, _ in neighbor_blocks(x, y, eps):
-        rim = ~core[i] & core[j]
-        rims.append(np.unique(np.stack([i[rim], named[j[rim]]]), axis=1))
+    for i, j in cells.blocks(np.flatnonzero(~core), core):
+        rims.append(np.unique(np.stack([i, named[j]]), axis=1))
     at, name = np.unique(np.concatenate([*rims, np.stack([np.flatnonzero(core), named[core]])], 1), axis=1)
     near = np.split(name, np.searchsorted(at, np.arange(1, n))) if n else []
     return pd.DataFrame({"id": ids, "home": group["home"], "core": core, "clusters": near})
 
 
+def _joined(cells: _Cells, full: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """The smallest place of each core point's cluster. Full cells are one from the start."""
+    n = len(core)
+    label = np.arange(n)
+    least = np.full(len(full), n)
+    np.minimum.at(least, cells.cell, label)
+    label = np.where(full[cells.cell], least[cells.cell], label)
+
+    def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = label[i], label[j]
+        new = a != b
+        return least_labels(n, np.concatenate([a[new], b[new]]), np.concatenate([b[new], a[new]]))[label] if new.any() else label
+
+    for i, j in cells.blocks(np.flatnonzero(core & ~full[cells.cell]), core):
+        label = join(label, i, j)
+    own = np.flatnonzero(full)
+    members = np.split(cells.order, cells.first[1:])
+    for dx, dy in sorted(((i, j) for i in range(3) for j in range(-2, 3) if i > 0 or j > 0), key=lambda s: s[0] * s[0] + s[1] * s[1]):
+        # the nearest cells first: what they join needs no test later
+        at = np.minimum(np.searchsorted(cells.keys, cells.keys[own] + dx * cells.wide + dy), len(full) - 1)
+        hit = (cells.keys[at] == cells.keys[own] + dx * cells.wide + dy) & full[at]
+        one, two = own[hit], at[hit]
+        apart = label[least[one]] != label[least[two]]
+        one, two = one[apart], two[apart]
+        small = cells.size[one] * cells.size[two] <= _COMPARED
+        for i, j in cells.between(one[small], two[small]):
+            label = join(label, i, j)
+        found = [(a, b) for a, b in zip(one[~small].tolist(), two[~small].tolist(), strict=True) if cells.touching(members[a], members[b])]
+        if found:
+            a, b = np.array(found).T
+            label = join(label, least[a], least[b])
+    return label
+
+
 class _Near:
     """The neighbours of one point at a time, by cells of slightly more than eps."""
 

@@ -385,6 +385,11 @@ def dbscan_partitioned(spark, sf):
     return _partitioned(spark, sf).labeled
 
 
+@query(_DB + "SELECT id, flag, cluster_id FROM lab")
+def dbscan_cells(spark, sf):
+    return C.dbscan_cells(emb(spark, sf), EPS, MIN_POINTS).labeled
+
+
 @query(_DB + "SELECT id, cluster_id FROM lab WHERE flag = 'CORE'")
 def optics_partitioned(spark, sf):
     """Clusters of core points from the orders of partitions, cut at eps and merged."""

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from gridwell.operators.clustering import accuracy, dbscan, dbscan_declarative, optics, ratio_clusters
+from gridwell.operators.clustering import accuracy, dbscan, dbscan_cells, dbscan_declarative, optics, ratio_clusters
 from gridwell.operators.components import connected_components
 from gridwell.operators.partitioner import plan, plan_partitions, replicate
 from gridwell.plans.queries import first_split
@@ -57,6 +57,7 @@ def test_both_strategies_on_edge_cases(spark, name):
     want = brute(points, eps, k)
     assert labels(dbscan(df, eps, k, 8)) == want
     assert labels(dbscan_declarative(df, eps, k)) == want
+    assert labels(dbscan_cells(df, eps, k)) == want
 
 
 def test_random_points(spark):
