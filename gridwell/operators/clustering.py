@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridwell.functions import flag
 from gridwell.operators.cells import cell_graph
 from gridwell.operators.components import connected_components
+from gridwell.operators.forest import forest_components, reachability_forest
 from gridwell.operators.local import local_clusters, optics_order
 from gridwell.operators.neighbors import neighbor_pairs
 from gridwell.operators.partitioner import plan_partitions, replicate
@@ -202,6 +203,22 @@ def optics_clusters(points: DataFrame, eps: float, min_points: int, max_points_p
     return _labeled(points.select("id"), known.where("core").select("id"), found.join(least, "component").select("id", F.col("first").alias("component")))
 
 
+def forest_cuts(points: DataFrame, eps: float, min_points: int, at: list[float]) -> DataFrame:
+    """(cut, id, cluster_id): clusters of core points at each of the thresholds ``at``, up to
+    eps, from one forest; cuts are numbered from 0 in the order that they are given in."""
+    forest, core = reachability_forest(points, eps, min_points)
+    forest = written(forest, "forest")
+    cuts = []
+    for n, limit in enumerate(at):
+        found = written(forest_components(forest, core, limit), "components")
+        numbered = _numbered(found.select("component").distinct())
+        cuts.append(found.join(numbered, "component").select(F.lit(n).alias("cut"), "id", "cluster_id"))
+    out = cuts[0]
+    for other in cuts[1:]:
+        out = out.union(other)
+    return out
+
+
 def _cut(ordered: DataFrame, noise, cut) -> DataFrame:
     w = Window.partitionBy("pid").orderBy("pos")
     marked = ordered.withColumn("noise", noise).withColumn("step", F.coalesce(F.when(~F.col("noise"), cut(w).cast("int")), F.lit(0)))

@@ -11,6 +11,7 @@ from gridwell import functions as G
 from gridwell.operators import clustering as C
 from gridwell.operators import neighbors as N
 from gridwell.operators.components import connected_components
+from gridwell.operators.nearest import k_nearest_anywhere
 from gridwell.operators.partitioner import Box, Counts, Partitions, candidates, plan_partitions, replicate
 from gridwell.session import ship, written
 from gridwell.sources import points
@@ -403,6 +404,22 @@ def optics_partitioned_core_distances(spark, sf):
     return C.optics(emb(spark, sf), EPS, MIN_POINTS, MOST).select("id", micro(F.col("core_dist"), "core_dist"))
 
 
+CUTS = [0.03, 0.02, 0.012]
+
+
+@query(" UNION ALL ".join(f"SELECT {n} AS cut, * FROM ({_DB.replace(_E, f'CAST({t} AS DOUBLE)')} SELECT id, cluster_id FROM lab WHERE flag = 'CORE')" for n, t in enumerate(CUTS)))
+def optics_forest_cuts(spark, sf):
+    """Clusters of core points at three thresholds, from one spanning forest."""
+    return C.forest_cuts(emb(spark, sf), EPS, MIN_POINTS, CUTS)
+
+
+@query(f"""WITH pts AS ({_EMB}), r AS (SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k FROM pts a, pts b)
+SELECT id, CAST(k AS INTEGER) AS rank, neighbor FROM r WHERE k <= {MIN_POINTS}""")
+def knn_unbounded(spark, sf):
+    """The nearest points wherever they are."""
+    return k_nearest_anywhere(emb(spark, sf), MIN_POINTS, SIDE).select("id", "rank", "neighbor")
+
+
 _EVENTS = "WITH RECURSIVE pts AS (SELECT event_id AS id, epoch_us(ts) / CAST(3.6e9 AS DOUBLE) AS x, value AS y, 0 AS label FROM events)"
 
 
