@@ -84,15 +84,16 @@ def dbscan_cells(points: DataFrame, eps: float, min_points: int) -> ClusterModel
     return ClusterModel(eps, min_points, _labeled(points.select("id"), core, component), points=points)
 
 
-def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int = 50_000, merge: str = "core") -> ClusterModel:
+def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partition: int = 50_000, merge: str = "core", halvings: int = 0) -> ClusterModel:
     """DBSCAN by partitions of bounded size, clustered apart and merged.
 
     Points are copied to every partition within eps. A core point's own partition sees
     all its neighbours, so the local clusters of all its copies are one cluster
     (``merge="core"``); ``merge="any_shared"`` also joins clusters that share a border
-    point. Border points join the cluster of the smallest name next to any copy.
+    point. Border points join the cluster of the smallest name next to any copy. With
+    ``halvings`` cells of too many points are cut (see :func:`plan_partitions`).
     """
-    partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
+    partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition, halvings=halvings)
     local = written(local_labels(replicate(points, partitions, eps), eps, min_points), "local")
     known = written(copies_merged(local), "known")
     whole = global_cluster_map(local, cluster_adjacencies(known, merge))
@@ -117,7 +118,7 @@ def local_cluster_ids(local: DataFrame) -> DataFrame:
 
 def copies_merged(local: DataFrame) -> DataFrame:
     """(id, core, clusters): whether a point is a core point at home, and all copies' clusters.
-    A point has a copy in four partitions at most."""
+    A point has a copy in four partitions at most, and in each leaf of a cut cell within eps."""
     return local.groupBy("id").agg(F.max(F.col("home") & F.col("core")).alias("core"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("clusters")))).alias("clusters"))
 
 

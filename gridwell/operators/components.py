@@ -46,6 +46,45 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", e
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
+def with_edges(components: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(id, component) of a graph whose ``components`` are known and to which ``edges`` are added.
+
+    New edges are contracted to edges between old components, of which only those that
+    meet are labelled anew. Vertices that were unknown come in with their edges.
+    """
+    pairs = edges.select(F.col(src).cast("long").alias("s"), F.col(dst).cast("long").alias("d")).where("s is not null and d is not null and s != d")
+    old = components.select("id", "component")
+    ends = written(pairs.select(F.col("s").alias("id")).union(pairs.select("d")).distinct().join(old, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.isnull("component").alias("new")), "ends")
+    named = pairs
+    for c in ("s", "d"):
+        named = named.join(ends.select(F.col("id").alias(c), "component"), c).withColumn(c, F.col("component")).drop("component")
+    moved = written(connected_components(named, "s", "d").select(F.col("id").alias("component"), F.col("component").alias("now")), "moved")
+    known = old.union(ends.where("new").select("id", "component"))
+    return known.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", steps: int = 12) -> DataFrame:
+    """(id) of all vertices that ``starts`` (id) reach over undirected ``edges``, themselves included.
+
+    Each step goes one edge on from what the last one found, and from nothing else, so
+    edges elsewhere are not followed. What is still going after ``steps`` is deep: then
+    the rest, without what has been left behind, is contracted to components.
+    """
+    both = edges.select(F.col(src).cast("long").alias("s"), F.col(dst).cast("long").alias("d")).where("s is not null and d is not null and s != d")
+    both = both.union(both.select("d", "s"))
+    found = front = written(starts.select(F.col("id").cast("long").alias("id")).distinct(), "front")
+    for _ in range(steps):
+        front = written(both.join(front, both["s"] == front["id"], "left_semi").select(F.col("d").alias("id")).distinct().join(found, "id", "left_anti"), "front")
+        if front.isEmpty():
+            return found
+        found = found.union(front)
+    behind = found.join(front, "id", "left_anti")
+    rest = both.join(behind.withColumnRenamed("id", "s"), "s", "left_anti").join(behind.withColumnRenamed("id", "d"), "d", "left_anti")
+    whole = written(connected_components(rest, "s", "d"), "whole")
+    met = whole.join(front, "id", "left_semi").select("component").distinct()
+    return found.union(whole.join(met, "component", "left_semi").select("id").join(found, "id", "left_anti"))
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of a task's edges, each as a star around its smallest vertex."""
     held = [b.to_pandas().to_numpy(np.int64) for b in batches if b.num_rows]

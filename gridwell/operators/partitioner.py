@@ -93,16 +93,30 @@ def plan(cells: list[tuple[int, int, int]], max_points: int, box: Box | None = N
 
 @dataclass(frozen=True)
 class Partitions:
-    """Boxes (pid, cx, cy, cx2, cy2, n) of cells of a side, and each occupied cell's pid (cx, cy, pid)."""
+    """Boxes (pid, cx, cy, cx2, cy2, n) of cells of a side, and each occupied cell's pid (cx, cy, pid).
+
+    Cells that were cut are in neither, but in ``leaves`` (pid, cx, cy, depth, lx, ly, n):
+    a leaf is the cell (lx, ly) of a side that has been halved ``depth`` times.
+    """
 
     boxes: DataFrame
     cells: DataFrame
     side: float
+    leaves: DataFrame | None = None
+
+
+_LEAF = "pid int, cx long, cy long, depth int, lx long, ly long, n long"
 
 
-def plan_partitions(spark: SparkSession, points: DataFrame, eps: float, max_points: int, most_cells: int = MOST_CELLS) -> Partitions:
+def plan_partitions(spark: SparkSession, points: DataFrame, eps: float, max_points: int, most_cells: int = MOST_CELLS, halvings: int = 0) -> Partitions:
     """Partitions over cells of side 2 * eps, each of at most ``max_points`` or one cell.
 
+    With ``halvings``, a cell that holds more is cut into quarters, and those again, until
+    each holds at most ``max_points`` or points of one place alone, or its side has been
+    halved so often. A leaf's copies are all points within eps of it, so a cell of many
+    leaves is copied almost whole to each of them: :func:`~gridwell.operators.clustering.dbscan_cells`
+    needs no copies.
+
     The driver plans with at most ``most_cells`` cells: if there are more, with blocks
     of 2^k by 2^k cells. Blocks that hold too many points are then bisected by
     executors, each block by one task, which sees at most 4^k cells.
@@ -128,7 +142,42 @@ def plan_partitions(spark: SparkSession, points: DataFrame, eps: float, max_poin
         named = refined.join(F.broadcast(spark.createDataFrame(first[["bx", "by", "pid"]], "bx long, by long, pid int")), ["bx", "by"]).withColumn("pid", F.col("pid") + F.col("part"))
         boxes = boxes.union(named.select("pid", "x", "y", "x2", "y2", "total").distinct())
         cells = cells.union(named.select("cx", "cy", "pid"))
-    return Partitions(boxes, written(cells, "cells"), side)
+    whole = Partitions(boxes, written(cells, "cells"), side)
+    return _cut_below(points, whole, max_points, halvings) if halvings else whole
+
+
+def _at(side: float, depth: int) -> list:
+    """Cells of a side that has been halved: halving is exact, so they lie within the cell."""
+    return [F.floor(F.col(v) / F.lit(side / (1 << depth))).cast("long").alias(name) for v, name in (("x", "lx"), ("y", "ly"))]
+
+
+def _cut_below(points: DataFrame, plan: Partitions, max_points: int, halvings: int) -> Partitions:
+    """Overfull cells as the leaves of quadtrees. The driver sees as many nodes as there
+    are partitions, each quadtree level is one count over the points of what is cut."""
+    spark = points.sparkSession
+    # a box that can't be split has one occupied cell, which needn't be at its corner
+    over = written(plan.cells.join(plan.boxes.where(F.col("n") > max_points).select("pid"), "pid", "left_semi").select("cx", "cy"), "over")
+    if over.isEmpty():
+        return plan
+    held = written(with_cells(points.select("x", "y"), plan.side).join(over, ["cx", "cy"], "left_semi"), "held")
+    spread = (F.min("x") < F.max("x")) | (F.min("y") < F.max("y"))
+    leaves, depth = [], 0
+    todo = held
+    while True:
+        nodes = todo.groupBy("cx", "cy", *_at(plan.side, depth)).agg(F.count("*").alias("n"), spread.alias("spread")).toPandas()
+        cut = (nodes["n"] > max_points) & nodes["spread"] & (depth < halvings)
+        leaves += [(int(r.cx), int(r.cy), depth, int(r.lx), int(r.ly), int(r.n)) for r in nodes[~cut].itertuples()]
+        if not cut.any():
+            break
+        again = spark.createDataFrame([(int(r.lx), int(r.ly)) for r in nodes[cut].itertuples()], "lx long, ly long")
+        todo = held.select("*", *_at(plan.side, depth)).join(again, ["lx", "ly"], "left_semi").drop("lx", "ly")
+        depth += 1
+    first = plan.boxes.agg(F.max("pid")).first()[0] + 1
+    leaves = sorted(leaves, key=lambda leaf: (leaf[0], leaf[1], leaf[3] / (1 << leaf[2]), leaf[4] / (1 << leaf[2])))
+    rows = [(first + i, *leaf) for i, leaf in enumerate(leaves)]
+    kept = plan.boxes.where(F.col("n") <= max_points)
+    cells = written(plan.cells.join(over, ["cx", "cy"], "left_anti"), "cells")
+    return Partitions(kept, cells, plan.side, spark.createDataFrame(rows, _LEAF))
 
 
 def _refined(block: DataFrame, over: DataFrame, k: int, max_points: int) -> DataFrame:
@@ -159,5 +208,17 @@ def replicate(points: DataFrame, partitions: Partitions, eps: float) -> DataFram
 
     around = [F.when(near("cx", "x", i) & near("cy", "y", j), F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(i == j == 0).alias("home"))) for i, j in AROUND]
     asked = with_cells(points.select("id", "x", "y"), partitions.side).select("id", "x", "y", F.explode(F.array_compact(F.array(*around))).alias("c"))
-    met = asked.select("id", "x", "y", "c.*").join(partitions.cells, ["cx", "cy"])
+    asked = asked.select("id", "x", "y", "c.*")
+    met = asked.join(partitions.cells, ["cx", "cy"]).select("pid", "id", "x", "y", "home")
+    if partitions.leaves is not None:
+        met = met.union(_to_leaves(asked, partitions, reach))
     return met.groupBy("pid", "id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max("home").alias("home"))
+
+
+def _to_leaves(asked: DataFrame, partitions: Partitions, reach) -> DataFrame:
+    """Copies (pid, id, x, y, home) of points in and within eps of the leaves of cut cells."""
+    m = F.lit(float(partitions.side)) / F.pow(F.lit(2.0), F.col("depth"))
+    met = asked.drop("home").join(partitions.leaves, ["cx", "cy"])
+    near = [F.col(v).between(F.col(c) * m - reach, (F.col(c) + 1) * m + reach) for v, c in (("x", "lx"), ("y", "ly"))]
+    home = (F.floor(F.col("x") / m) == F.col("lx")) & (F.floor(F.col("y") / m) == F.col("ly"))
+    return met.where(near[0] & near[1]).select("pid", "id", "x", "y", home.alias("home"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from gridwell import functions as G
 from gridwell.operators import clustering as C
 from gridwell.operators import neighbors as N
-from gridwell.operators.components import connected_components
+from gridwell.operators.components import connected_components, reachable, with_edges
 from gridwell.operators.nearest import k_nearest_anywhere
-from gridwell.operators.partitioner import Box, Counts, Partitions, candidates, plan_partitions, replicate
+from gridwell.operators.partitioner import Partitions, plan_partitions, replicate
+from gridwell.operators.rectangles import points_in, rectangles_in
 from gridwell.session import ship, written
 from gridwell.sources import points
 from gridwell.sources.sink import labelled_points, labelled_text
@@ -172,8 +173,17 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(BOXES, "pid int, x double, y double, x2 double, y2 double")
-    return F.broadcast(rows.select("pid", F.struct("x", "y", "x2", "y2").alias("r")))
+    return spark.createDataFrame(BOXES, "pid int, x double, y double, x2 double, y2 double")
+
+
+def _band(found: DataFrame) -> DataFrame:
+    """Of points in rectangles those that are not further than eps from an edge."""
+    return found.where(~G.contains_open(F.col("px"), F.col("py"), G.shrink(F.col("r"), EPS))).select("pid", "id")
+
+
+def _inner(points: DataFrame, rectangles: DataFrame) -> DataFrame:
+    r = G.shrink(F.struct("x", "y", "x2", "y2"), EPS)
+    return points_in(points, rectangles.select("pid", r.alias("r")).select("pid", "r.*"), closed=False).select("pid", "id")
 
 
 @query(f"WITH pts AS ({_PART}) SELECT id, x, y FROM pts")
@@ -203,25 +213,12 @@ def cell_histogram(spark, sf):
 
 @query(f"WITH pts AS ({_EMB}), {_BOXES} SELECT pid, id FROM pts p JOIN b ON p.x BETWEEN b.x AND b.x2 AND p.y BETWEEN b.y AND b.y2")
 def rect_contains_closed(spark, sf):
-    return emb(spark, sf).join(boxes(spark), G.contains(F.col("x"), F.col("y"), F.col("r"))).select("pid", "id")
+    return points_in(emb(spark, sf), boxes(spark)).select("pid", "id")
 
 
 @query(f"WITH pts AS ({_EMB}), {_BOXES} SELECT pid, id FROM pts p JOIN b ON p.x > b.x AND p.x < b.x2 AND p.y > b.y AND p.y < b.y2")
 def rect_contains_open(spark, sf):
-    return emb(spark, sf).join(boxes(spark), G.contains_open(F.col("x"), F.col("y"), F.col("r"))).select("pid", "id")
-
-
-@query(f"WITH {_BOXES} SELECT pid, x + {_E} AS ix, y + {_E} AS iy, x2 - {_E} AS ix2, y2 - {_E} AS iy2, x - {_E} AS ox, y - {_E} AS oy, x2 + {_E} AS ox2, y2 + {_E} AS oy2 FROM b")
-def rect_margins(spark, sf):
-    inner, outer = G.shrink(F.col("r"), EPS), G.shrink(F.col("r"), -EPS)
-    return boxes(spark).select("pid", *(inner[c].alias("i" + c) for c in ("x", "y", "x2", "y2")), *(outer[c].alias("o" + c) for c in ("x", "y", "x2", "y2")))
-
-
-@query(f"WITH {_BOXES} SELECT a.pid AS outer_pid, b.pid AS inner_pid FROM b a JOIN b ON a.x <= b.x + {_E} AND a.y <= b.y + {_E} AND a.x2 >= b.x2 - {_E} AND a.y2 >= b.y2 - {_E}")
-def rect_in_rect(spark, sf):
-    a = boxes(spark).select(F.col("pid").alias("outer_pid"), F.col("r").alias("outer"))
-    b = boxes(spark).select(F.col("pid").alias("inner_pid"), G.shrink(F.col("r"), EPS).alias("inner"))
-    return a.join(b, G.contains_rect(F.col("outer"), F.col("inner"))).select("outer_pid", "inner_pid")
+    return points_in(emb(spark, sf), boxes(spark), closed=False).select("pid", "id")
 
 
 _CAND = f"""WITH {_HIST}, t AS (SELECT sum(n) AS n, max(cx) AS mx, max(cy) AS my FROM h),
@@ -276,6 +273,85 @@ def replicate_outer(spark, sf):
     return replicate(emb(spark, sf), _plan(spark, sf), EPS).select("pid", "id", "home")
 
 
+# the planned partitions as rectangles, and the same with all sides moved
+_RECT = f"{_PARTS}, S(s) AS (SELECT CAST({SIDE} AS DOUBLE)), b AS (SELECT pid, x * s AS x, y * s AS y, x2 * s AS x2, y2 * s AS y2 FROM part, S) "
+_IN = "p.x > b.x + {e} AND p.x < b.x2 - {e} AND p.y > b.y + {e} AND p.y < b.y2 - {e}".format(e=_E)
+
+
+def _rectangles(spark: SparkSession, sf: str) -> DataFrame:
+    side = F.lit(SIDE)
+    return _plan(spark, sf).boxes.select("pid", *((F.col(c) * side).alias(n) for c, n in (("cx", "x"), ("cy", "y"), ("cx2", "x2"), ("cy2", "y2"))))
+
+
+@query(_RECT + f"SELECT pid, x + {_E} AS ix, y + {_E} AS iy, x2 - {_E} AS ix2, y2 - {_E} AS iy2, x - {_E} AS ox, y - {_E} AS oy, x2 + {_E} AS ox2, y2 + {_E} AS oy2 FROM b")
+def rect_margins(spark, sf):
+    rows = _rectangles(spark, sf).select("pid", F.struct("x", "y", "x2", "y2").alias("r"))
+    inner, outer = G.shrink(F.col("r"), EPS), G.shrink(F.col("r"), -EPS)
+    return rows.select("pid", *(inner[c].alias("i" + c) for c in ("x", "y", "x2", "y2")), *(outer[c].alias("o" + c) for c in ("x", "y", "x2", "y2")))
+
+
+@query(_RECT + f"SELECT a.pid AS outer_pid, b.pid AS inner_pid FROM b a JOIN b ON a.x <= b.x + {_E} AND a.y <= b.y + {_E} AND a.x2 >= b.x2 - {_E} AND a.y2 >= b.y2 - {_E}")
+def rect_in_rect(spark, sf):
+    """Partitions in partitions, the inner ones without a margin of eps."""
+    rows = _rectangles(spark, sf)
+    return rectangles_in(rows, rows.select("pid", G.shrink(F.struct("x", "y", "x2", "y2"), EPS).alias("r")).select("pid", "r.*"))
+
+
+@query(_RECT + "SELECT pid, id FROM pts p JOIN b ON p.x BETWEEN b.x AND b.x2 AND p.y BETWEEN b.y AND b.y2")
+def partition_points(spark, sf):
+    return points_in(emb(spark, sf), _rectangles(spark, sf)).select("pid", "id")
+
+
+@query(_RECT + f"SELECT pid, id FROM pts p JOIN b ON p.x BETWEEN b.x AND b.x2 AND p.y BETWEEN b.y AND b.y2 AND NOT ({_IN})")
+def partition_band(spark, sf):
+    return _band(points_in(emb(spark, sf), _rectangles(spark, sf)))
+
+
+@query(_RECT + f"SELECT pid, id FROM pts p JOIN b ON {_IN}")
+def partition_inner(spark, sf):
+    return _inner(emb(spark, sf), _rectangles(spark, sf))
+
+
+# cells of more than FEW points as the leaves of quadtrees
+FEW, HALVINGS = 6, 5
+_M = f"(CAST({SIDE} AS DOUBLE) / (1 << %s))"
+_SPREAD = "min(p.x) < max(p.x) OR min(p.y) < max(p.y)"
+_LEAVES = _PARTS.replace(f"> {MOST}", f"> {FEW}").replace(f"<= {MOST}", f"<= {FEW}") + f""",
+q(depth, lx, ly, n, spread) AS (
+  SELECT 0, h.cx, h.cy, b.n, {_SPREAD} FROM part b JOIN h ON {_INSIDE} JOIN pts p ON floor(p.x / {_M % 0}) = h.cx AND floor(p.y / {_M % 0}) = h.cy WHERE b.n > {FEW} GROUP BY h.cx, h.cy, b.n
+  UNION ALL
+  SELECT q.depth + 1, CAST(floor(p.x / {_M % '(q.depth + 1)'}) AS BIGINT), CAST(floor(p.y / {_M % '(q.depth + 1)'}) AS BIGINT), count(*), {_SPREAD}
+  FROM q JOIN pts p ON floor(p.x / {_M % 'q.depth'}) = q.lx AND floor(p.y / {_M % 'q.depth'}) = q.ly
+  WHERE q.n > {FEW} AND q.spread AND q.depth < {HALVINGS} GROUP BY ALL
+),
+cut AS (SELECT depth, lx, ly, n, {_M % 'depth'} AS m FROM q WHERE NOT (n > {FEW} AND spread AND depth < {HALVINGS}))
+"""
+
+
+def _cut_plan(spark: SparkSession, sf: str) -> Partitions:
+    return plan_partitions(spark, emb(spark, sf), EPS, FEW, halvings=HALVINGS)
+
+
+@query(_LEAVES + f"SELECT 0 AS depth, x AS cx, y AS cy, x2 AS cx2, y2 AS cy2, n FROM part WHERE n <= {FEW} UNION ALL SELECT depth, lx, ly, lx + 1, ly + 1, n FROM cut")
+def below_cell_partitions(spark, sf):
+    found = _cut_plan(spark, sf)
+    leaves = found.leaves.select("depth", F.col("lx").alias("cx"), F.col("ly").alias("cy"), (F.col("lx") + 1).alias("cx2"), (F.col("ly") + 1).alias("cy2"), "n")
+    return found.boxes.select(F.lit(0).alias("depth"), "cx", "cy", "cx2", "cy2", "n").union(leaves)
+
+
+@query(_LEAVES + f"""SELECT depth, lx, ly, id, floor(p.x / m) = lx AND floor(p.y / m) = ly AS home FROM cut JOIN pts p
+  ON p.x BETWEEN lx * m - CAST({EPS * (1 + 1e-9)!r} AS DOUBLE) AND (lx + 1) * m + CAST({EPS * (1 + 1e-9)!r} AS DOUBLE)
+  AND p.y BETWEEN ly * m - CAST({EPS * (1 + 1e-9)!r} AS DOUBLE) AND (ly + 1) * m + CAST({EPS * (1 + 1e-9)!r} AS DOUBLE)""")
+def below_cell_copies(spark, sf):
+    found = _cut_plan(spark, sf)
+    return replicate(emb(spark, sf), found, EPS).join(found.leaves, "pid").select("depth", "lx", "ly", "id", "home")
+
+
+@query(_DB + "SELECT id, flag, cluster_id FROM lab")
+def dbscan_below_cells(spark, sf):
+    return C.dbscan(emb(spark, sf), EPS, MIN_POINTS, FEW, halvings=HALVINGS).labeled
+
+
 def _local(spark: SparkSession, sf: str) -> DataFrame:
     return written(C.local_labels(replicate(emb(spark, sf), _plan(spark, sf), EPS), EPS, MIN_POINTS), "local")
 
@@ -311,13 +387,12 @@ def dbscan_any_shared(spark, sf):
 @query(f"""WITH pts AS ({_EMB}), {_BOXES} SELECT pid, id FROM pts p JOIN b ON p.x BETWEEN b.x AND b.x2 AND p.y BETWEEN b.y AND b.y2
   AND NOT (p.x > b.x + {_E} AND p.x < b.x2 - {_E} AND p.y > b.y + {_E} AND p.y < b.y2 - {_E})""")
 def band_points(spark, sf):
-    x, y, r = F.col("x"), F.col("y"), F.col("r")
-    return emb(spark, sf).join(boxes(spark), G.contains(x, y, r) & ~G.contains_open(x, y, G.shrink(r, EPS))).select("pid", "id")
+    return _band(points_in(emb(spark, sf), boxes(spark)))
 
 
 @query(f"WITH pts AS ({_EMB}), {_BOXES} SELECT pid, id FROM pts p JOIN b ON p.x > b.x + {_E} AND p.x < b.x2 - {_E} AND p.y > b.y + {_E} AND p.y < b.y2 - {_E}")
 def inner_points(spark, sf):
-    return emb(spark, sf).join(boxes(spark), G.contains_open(F.col("x"), F.col("y"), G.shrink(F.col("r"), EPS))).select("pid", "id")
+    return _inner(emb(spark, sf), boxes(spark))
 
 
 @query(f"WITH {_NB} SELECT i, j FROM nb")
@@ -326,6 +401,13 @@ def neighbor_pairs(spark, sf):
     return N.neighbor_pairs(p, p, EPS).select("i", "j")
 
 
+@query(f"WITH {_NB} SELECT i, j FROM nb")
+def neighbor_pairs_salted(spark, sf):
+    """The same pairs with heavy cells dealt in parts."""
+    p = emb(spark, sf)
+    return N.neighbor_pairs(p, p, EPS, heavy=3).select("i", "j")
+
+
 @query(f"WITH {_NB} SELECT i AS id, count(*) AS n FROM nb GROUP BY i")
 def neighbor_counts(spark, sf):
     return N.neighbor_counts(emb(spark, sf), EPS)
@@ -367,9 +449,18 @@ def graph_components(spark, sf):
 
 @query(_SUPP + "SELECT b.id FROM c a JOIN c b USING (component) WHERE a.id = (SELECT min(id) FROM c) AND b.id <> a.id")
 def graph_reachable(spark, sf):
-    c = connected_components(_edges(spark, sf), "i", "j")
-    first = c.agg(F.min("component").alias("component"))
-    return c.join(F.broadcast(first), "component").where("id != component").select("id")
+    """What the smallest vertex reaches, by steps from it alone."""
+    edges = written(_edges(spark, sf), "edges")
+    start = edges.agg(F.min("i").alias("id")).where("id is not null")
+    return reachable(edges, start, "i", "j").join(start, "id", "left_anti")
+
+
+@query(_SUPP + "SELECT id, component FROM c")
+def graph_components_added(spark, sf):
+    """Components of a first lot of edges, to which a second lot is added."""
+    edges = written(_edges(spark, sf), "edges")
+    first = connected_components(edges.where("(i + j) % 3 != 0"), "i", "j")
+    return with_edges(first, edges.where("(i + j) % 3 = 0"), "i", "j")
 
 
 def _partitioned(spark: SparkSession, sf: str) -> C.ClusterModel:
@@ -516,12 +607,3 @@ def predict_nearest_core(spark, sf):
     raw = spark.read.parquet(f"{sf}/embeddings.parquet")
     asked = raw.select(F.col("vec_id").alias("id"), F.expr("CAST(embedding[2] AS DOUBLE)").alias("x"), F.expr("CAST(embedding[3] AS DOUBLE)").alias("y"))
     return _partitioned(spark, sf).predict(asked, emb(spark, sf))
-
-
-def first_split(cells: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
-    """The planner's own choice of a first split; tests hold it against ``best_split``."""
-    import numpy as np
-
-    cx, cy, n = (np.array(c, np.int64) for c in zip(*cells, strict=True))
-    box = Box(int(cx.min()), int(cy.min()), int(cx.max()) + 1, int(cy.max()) + 1, int(n.sum()))
-    return min(candidates(Counts(cx, cy, n), box))

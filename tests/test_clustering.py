@@ -2,12 +2,12 @@ import math
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from gridwell.operators.clustering import accuracy, dbscan, dbscan_cells, dbscan_declarative, optics, ratio_clusters
 from gridwell.operators.components import connected_components
-from gridwell.operators.partitioner import plan, plan_partitions, replicate
-from gridwell.plans.queries import first_split
+from gridwell.operators.partitioner import Box, Counts, candidates, plan, plan_partitions, replicate
 from gridwell.sources import in_memory, labeled_csv
 from gridwell.sources.sink import write_labels
 
@@ -195,6 +195,13 @@ def test_plan_covers_all_cells():
     assert plan([], 5) == []
 
 
+def first_split(cells):
+    """The planner's own choice of a first split."""
+    cx, cy, n = (np.array(c, np.int64) for c in zip(*cells, strict=True))
+    box = Box(int(cx.min()), int(cy.min()), int(cx.max()) + 1, int(cy.max()) + 1, int(n.sum()))
+    return min(candidates(Counts(cx, cy, n), box))
+
+
 def test_first_split_is_the_best(spark):
     from gridwell.operators.neighbors import histogram
     from gridwell.plans.queries import QUERIES, SIDE, emb
