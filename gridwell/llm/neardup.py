@@ -8,10 +8,10 @@
    sketch alike; the first ``INDEX`` hashes that are not hot are indexed, so that
    no list is longer than ``HOT`` and passages that very many documents share
    make no pairs.
-4. Documents with over three fifths of their sketch hot are *family*: copies of one
-   text, or texts made mostly of common passages. (Of others at least two fifths are
+4. Documents with two fifths of their sketch or more hot are *family*: copies of one
+   text, or texts made mostly of common passages. (Of others over three fifths are
    cold, and a partner shares some of that: at the threshold, if all differences are
-   cold, still 0.31.) Pairs of two family documents are found on their full sets. Of
+   cold, more than half.) Pairs of two family documents are found on their full sets. Of
    each set the rarest ``n - ceil(0.75 n) + 1`` shingles are listed, those common in
    families last; two sets at the threshold share one of them. Pairs with a rare
    shingle in common come from short lists. Others share common ones only, so that
@@ -29,8 +29,9 @@
 
 A pair at the threshold shares none of 24 indexed hashes with a probability of
 about 1e-12, none of 12 with one of about 1e-7, and is estimated below ``PASS`` with
-one of about 1e-7. Where two fifths are cold and all differences of a pair exactly at
-the threshold are too, it is missed with a probability of about 1e-4.
+one of about 1e-7. A pair exactly at the threshold that shares hot shingles alone, so that
+at most a quarter of the larger text is cold, is missed if more than three fifths of its
+64 sampled hashes are cold, with a probability of about 1e-9.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _links(vertices: DataFrame, source: DataFrame) -> DataFrame:
             "n",
             "sketch",
             F.slice("cold", 1, INDEX).alias("indexed"),
-            (5 * F.size("cold") < 2 * F.size("sketch")).alias("family"),
+            (5 * F.size("cold") <= 3 * F.size("sketch")).alias("family"),
             ((F.size("cold") >= INDEX) & (3 * F.size("cold") >= 2 * F.size("sketch"))).alias("full"),
         ),
         "ranked",

@@ -18,7 +18,6 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +44,10 @@ _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,})""", re.IGNORECASE | re.ASCII)
+_HOST = re.compile(r"""\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}""", re.IGNORECASE | re.ASCII)
+_ADDRESS = re.compile(r"""://[^\s"'<>]+""", re.ASCII)
+_SCHEME = re.compile(r"\b[a-z]", re.IGNORECASE | re.ASCII)
+_SCHEME_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 _URL = re.compile(r"[a-z][a-z0-9+.-]*://(?:([^/?#]*)@)?([^/?#]*)", re.IGNORECASE | re.ASCII)
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 
@@ -87,6 +89,42 @@ def _overlap(x: Span, y: Span) -> bool:
     return x.start < y.end and y.start < x.end
 
 
+def _url_start(text: str, at: int, least: int) -> int | None:
+    """Where the scheme before a ``://`` at ``at`` begins: the first letter, at the border of
+    a word, of the run of a scheme's characters there; no earlier than ``least``."""
+    first = at
+    while first > least and text[first - 1] in _SCHEME_LETTERS:
+        first -= 1
+    found = _SCHEME.search(text, first, at)
+    return found.start() if found else None
+
+
+def endpoints(text: str) -> list[Span]:
+    """URLs and named hosts, leftmost first and apart. Each ``://`` is looked back from
+    once, so that the time is in proportion to the text."""
+    out, end = [], 0
+    host, address, url = _HOST.search(text), _ADDRESS.search(text), None
+    while host or address:
+        if address and url is None:
+            url = _url_start(text, address.start(), end)
+            if url is None:
+                # what follows may have another one
+                address = _ADDRESS.search(text, address.start() + 3)
+                continue
+        if address and (not host or url <= host.start()):
+            out.append(Span(url, 5, address.end()))
+        else:
+            out.append(Span(host.start(), 5, host.end()))
+        end = out[-1].end
+        if host and host.start() < end:
+            host = _HOST.search(text, end)
+        if address and url < end:
+            # an address may begin before the end of a host and still have a scheme after it
+            at = address.start() if address.start() >= end else end
+            address, url = _ADDRESS.search(text, at), None
+    return out
+
+
 def _hosts(text: str, endpoints: list[Span]) -> dict[Span, tuple[int, int, int]]:
     """For each URL where its user part, its host and what follows the host start."""
     found = {p: _URL.match(text, p.start, p.end) for p in endpoints}
@@ -102,6 +140,8 @@ def _secret_parts(word: Span, url: tuple[int, int, int]) -> tuple[Span, Span]:
 def _credential(text: str, word: Span, url: tuple[int, int, int]) -> bool:
     """Whether a word inside a URL is a secret that its host is the endpoint of."""
     before, behind = _secret_parts(word, url)
+    if behind == word and "/" not in text[word.start : word.end]:
+        return True
     segments = text[behind.start : behind.end].split("/")
     return before.start < before.end or any(len(s) >= WORD_LEAST and _random(s) for s in segments)
 
@@ -109,6 +149,8 @@ def _credential(text: str, word: Span, url: tuple[int, int, int]) -> bool:
 def _without_host(text: str, word: Span, url: tuple[int, int, int]) -> Span:
     """A word without what it has of scheme and host, if the rest is still random-looking."""
     for cut in _secret_parts(word, url):
+        if cut == word:
+            return word
         if cut.end - cut.start >= WORD_LEAST and _random(text[cut.start : cut.end]):
             return cut
     return word
@@ -130,16 +172,17 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Candidates with a complementary part in reach, and the identifiers that link to one.
 
     A sweep by place: words and parts still in reach are kept apart, and each meets
-    those of the other kind. Spans of a kind don't overlap, so that few are in reach.
+    those of the other kind, of which those out of reach are dropped first. Spans of a
+    kind don't overlap, so that few are in reach.
     """
     words = _apart([Span(m.start(), 3, m.end()) for m in _WORD.finditer(text) if _random(m[0])], base)
     if not words:
         return []
     parts = [s for s in base if s.kind == 1]
     parts += [Span(m.start(), 4, m.end()) for m in _IDENTIFIER.finditer(text)]
-    endpoints = [Span(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
-    parts += endpoints
-    urls = _hosts(text, endpoints)
+    ends = endpoints(text)
+    parts += ends
+    urls = _hosts(text, ends)
     places = sorted(urls)
     for i, w in enumerate(words):
         # endpoints don't overlap, so the last one that starts before the word's end is the only one
@@ -149,7 +192,7 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     breaks = [m.start() for m in _SCOPE.finditer(text)]
     out: set[Span] = set()
     #: words and parts still in reach of what follows
-    near: tuple[deque[Span], deque[Span]] = deque(), deque()
+    near: tuple[list[Span], list[Span]] = [], []
     scope = 0
     for s in sorted([*words, *parts]):
         while scope < len(breaks) and breaks[scope] < s.start:
@@ -157,13 +200,11 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
             near[1].clear()
             scope += 1
         mine, others = near if s.kind == 3 else near[::-1]
-        while others and others[0].end + reach < s.start:
-            others.popleft()
+        others[:] = [x for x in others if x.end + reach >= s.start]
         for x in others:
-            if x.end + reach >= s.start:
-                word, part = (x, s) if x.kind == 3 else (s, x)
-                if not _overlap(word, part) or (part in urls and _credential(text, word, urls[part])):
-                    out |= {y for y in (x, s) if y.kind in (3, 4)}
+            word, part = (x, s) if x.kind == 3 else (s, x)
+            if not _overlap(word, part) or (part in urls and _credential(text, word, urls[part])):
+                out |= {y for y in (x, s) if y.kind in (3, 4)}
         if not mine or mine[-1] != s:
             mine.append(s)
     return sorted(out)

@@ -131,7 +131,9 @@ _LATIN_END = 0x250
 #: What keeps a chunk from being split here: other scripts, special tokens, a null; and
 #: white space of more than one byte for the vocabulary that drops it.
 _FOREIGN = r"[^\x01-\x{24f}]|<\|"
-_FOREIGN_WORD = r"[^\x01-\x{24f}]|<\||[\x{85}\x{a0}]"
+#: Capitals whose small letters lie beyond those that the pattern spells out.
+_RISING = "".join(f"\\x{{{c:x}}}" for c in range(_LATIN_END) if any(ord(x) >= _LATIN_END for x in chr(c).lower()))
+_FOREIGN_WORD = rf"[^\x01-\x{{24f}}]|<\||[\x{{85}}\x{{a0}}{_RISING}]"
 _LONGEST = 200
 #: Chunks that go to the merges at once.
 _AT_ONCE = 40_000

@@ -63,3 +63,22 @@ def test_odd_rows(spark, odd, none):
     assert near_duplicates(odd).count() == len(rows)
     assert near_duplicates(none).collect() == []
     check(spark, [(5, "a b c d e f"), (5, "q r s t u v"), (3, "q r s t u v"), (2, "a b c d e f"), (9, "zz")])
+
+
+def test_nested_pairs_at_the_threshold(spark):
+    """Texts of common passages and their extensions at just 0.75: every one meets its base."""
+    rng = random.Random(21)
+    rows, group = [], {}
+    for g in range(25):
+        base = [f"g{g}w{i}" for i in range(79)]
+        # 75 shingles; 25 more, of the extension's own words
+        rows.append((len(rows), " ".join(base)))
+        group[rows[-1][0]] = g
+        for e in range(40):
+            rows.append((len(rows), " ".join([*base, *(f"g{g}e{e}x{rng.randrange(10**6)}" for _ in range(25))])))
+            group[rows[-1][0]] = g
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = {}
+    for i, g in sorted(group.items()):
+        first.setdefault(g, i)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: first[g] for i, g in group.items()}

@@ -172,13 +172,36 @@ def test_long_texts_full_of_hits():
     assert time.process_time() - began < 60
 
 
+ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,})""", re.IGNORECASE | re.ASCII)
+
+
+def test_endpoints_against_one_pattern():
+    """Runs of schemes, hosts within URLs, URLs within hosts, and borders of words."""
+    rng = random.Random(12)
+    bits = ["a", "B", ".", "+", "-", "_", "1", "://", ":", "/", "x.y", "host:", "server = ", "endpoint='", " ", "\n", "'", "é", "abc", "http", "host: a.b://", "@"]
+    for _ in range(60_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert [(s.start, s.end) for s in secrets.endpoints(text)] == [m.span() for m in ENDPOINT.finditer(text)], text
+
+
+def test_long_texts_of_schemes_and_of_one_url():
+    import time
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    for text in (word() + " " + "a." * 5_000_000, "https://h.example.com/?" + "&".join(word() for _ in range(400_000)), word() + " " + "a://" * 2_500_000, word() + " host" + " " * 10_000_000):
+        began = time.process_time()
+        secrets.spans(text)
+        assert len(text) >= 9_000_000 and time.process_time() - began < 40
+
+
 def brute_links(text, base, reach):
     """Every random-looking word against every part, by the rules alone."""
     words = [secrets.Span(m.start(), 3, m.end()) for m in secrets._WORD.finditer(text) if secrets._random(m[0])]
     words = [w for w in words if not any(b.start < w.end and w.start < b.end for b in base)]
     parts = [s for s in base if s.kind == 1]
     parts += [secrets.Span(m.start(), 4, m.end()) for m in secrets._IDENTIFIER.finditer(text)]
-    ends = [secrets.Span(m.start(), 5, m.end()) for m in secrets._ENDPOINT.finditer(text)]
+    ends = [secrets.Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     urls = secrets._hosts(text, ends)
     cut = []
     for w in words:

@@ -46,3 +46,20 @@ def test_shingle_sets_are_as_large_as_plain_sets(texts):
     for i in range(0, len(some) - 1, 7):
         assert len(set(got[i].tolist()) & set(got[i + 1].tolist())) == len(plain[i] & plain[i + 1])
     assert got[-4].tolist() == got[-3].tolist() and len(got[-1]) == 1
+
+
+@pytest.mark.parametrize(("name", "lower"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_every_latin_character_in_every_place(name, lower):
+    """All code points below U+0250 at the start, in the middle and at the end of words."""
+    from tokenizers import Tokenizer
+
+    from gridwell.llm.queries import vocabulary_path
+    from gridwell.llm.text import Encoder
+
+    path = vocabulary_path(name)
+    chars = [chr(c) for c in range(0x250)]
+    texts = [t for c in chars for t in (f"one {c}sas two", f"qa{c}nun", f"ab{c} x", f"{c}{c.upper()}{c.lower()}")]
+    texts += ["Əsas qanun", "Ɛwe Ɔkyerɛ", "Ɓala ƊAN", "Azərbaycan Respublikasının Əsas Qanunu"]
+    t = Tokenizer.from_file(path)
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in Encoder(path, lower).encode(texts)] == want
