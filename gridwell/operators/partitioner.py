@@ -158,7 +158,7 @@ def _cut_below(points: DataFrame, plan: Partitions, max_points: int, halvings: i
     # a box that can't be split has one occupied cell, which needn't be at its corner
     over = written(plan.cells.join(plan.boxes.where(F.col("n") > max_points).select("pid"), "pid", "left_semi").select("cx", "cy"), "over")
     if over.isEmpty():
-        return plan
+        return Partitions(plan.boxes, plan.cells, plan.side, spark.createDataFrame([], _LEAF))
     held = written(with_cells(points.select("x", "y"), plan.side).join(over, ["cx", "cy"], "left_semi"), "held")
     spread = (F.min("x") < F.max("x")) | (F.min("y") < F.max("y"))
     leaves, depth = [], 0

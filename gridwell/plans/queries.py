@@ -405,7 +405,7 @@ def neighbor_pairs(spark, sf):
 def neighbor_pairs_salted(spark, sf):
     """The same pairs with heavy cells dealt in parts."""
     p = emb(spark, sf)
-    return N.neighbor_pairs(p, p, EPS, heavy=3).select("i", "j")
+    return N.neighbor_pairs(p, p, EPS, heavy=64).select("i", "j")
 
 
 @query(f"WITH {_NB} SELECT i AS id, count(*) AS n FROM nb GROUP BY i")

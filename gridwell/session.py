@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 BATCH_BYTES = 8 << 20
 _LOCAL_SHARED: list[str] = []
+#: Applications that have the package as an archive.
+_SHIPPED: set[str] = set()
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -33,8 +36,12 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def ship(spark: SparkSession | None = None) -> None:
-    """Let Python workers import this package from where the driver has it, and get
-    rows in Arrow batches of ``BATCH_BYTES`` at most."""
+    """Let Python workers import this package, and get rows in Arrow batches of
+    ``BATCH_BYTES`` at most.
+
+    Workers on this machine find the package where the driver has it; those of a cluster
+    get it as an archive.
+    """
     paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
@@ -44,6 +51,12 @@ def ship(spark: SparkSession | None = None) -> None:
         own = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
         if ROOT not in own:
             env["PYTHONPATH"] = os.pathsep.join([ROOT, *own])
+        context = spark.sparkContext
+        if not context.master.startswith("local") and context.applicationId not in _SHIPPED:
+            # Spark sends the file to each executor; the driver alone reads this folder
+            base = os.path.join(tempfile.mkdtemp(prefix="gridwell-"), "gridwell")
+            context.addPyFile(shutil.make_archive(base, "zip", ROOT, "gridwell"))
+            _SHIPPED.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
