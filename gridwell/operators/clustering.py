@@ -19,7 +19,7 @@ from gridwell.operators.components import connected_components
 from gridwell.operators.forest import forest_components, reachability_forest
 from gridwell.operators.local import local_clusters, optics_order
 from gridwell.operators.neighbors import neighbor_pairs
-from gridwell.operators.partitioner import plan_partitions, replicate
+from gridwell.operators.partitioner import costs, placed, plan_partitions, replicate
 from gridwell.session import written
 
 
@@ -94,7 +94,8 @@ def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partit
     ``halvings`` cells of too many points are cut (see :func:`plan_partitions`).
     """
     partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition, halvings=halvings)
-    local = written(local_labels(replicate(points, partitions, eps), eps, min_points), "local")
+    copies = placed(replicate(points, partitions, eps), costs(points, partitions))
+    local = written(local_labels(copies, eps, min_points), "local")
     known = written(copies_merged(local), "known")
     whole = global_cluster_map(local, cluster_adjacencies(known, merge))
     return ClusterModel(eps, min_points, relabel_union(points.select("id"), known, whole), partitions.boxes, points)
@@ -103,12 +104,13 @@ def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partit
 def local_labels(copies: DataFrame, eps: float, min_points: int) -> DataFrame:
     """Clusters of each partition's copies apart: pid, id, home, core (here), and the names
     of the local clusters that a copy is in or next to. A local cluster has the name of
-    its smallest core point."""
+    its smallest core point. Copies that were placed stay in their tasks."""
 
     def kernel(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return local_clusters(group, eps, min_points).assign(pid=key[0])
+        return local_clusters(group, eps, min_points).assign(pid=key[-1])
 
-    return copies.groupBy("pid").applyInPandas(kernel, "pid int, id long, home boolean, core boolean, clusters array<long>")
+    keys = [c for c in ("task", "pid") if c in copies.columns]
+    return copies.groupBy(*keys).applyInPandas(kernel, "pid int, id long, home boolean, core boolean, clusters array<long>")
 
 
 def local_cluster_ids(local: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Numpy kernels for one partition: neighbours by cells, local clusters, OPTICS order."""
+"""Numpy kernels for one partition: neighbours by cells, nearest points by a tree, local
+clusters, OPTICS order, the minimum spanning forest of what one task holds."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +13,10 @@ from gridwell.functions import cell_side
 _PAIRS_AT_ONCE = 1 << 20
 #: Pairs of points that are compared instead of cutting two groups in halves.
 _COMPARED = 1 << 12
+#: Points of a leaf of the tree, at most.
+_LEAF = 32
+#: Edges that wait before a forest takes them in.
+_EDGES_AT_ONCE = 1 << 21
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -56,7 +60,7 @@ class _Cells:
         # places of each cell's points among those
         held = np.bincount(self.cell[order], minlength=len(self.keys))
         starts = np.append(0, np.cumsum(held))
-        for step in range(-2, 3):
+        for step in (0, 1, -1, 2, -2):
             # the five cells of a column are neighbours in key order
             key = self.keys[self.cell[asked]] + step * self.wide
             low = starts[np.searchsorted(self.keys, key - 2, "left")]
@@ -195,12 +199,12 @@ class _Near:
         key = cx * self.wide + cy + 1
         self.order = np.argsort(key, kind="stable")
         keys = key[self.order]
-        self.x, self.y, self.eps2 = x[self.order], y[self.order], eps * eps
+        self.x, self.y, self.limit = x[self.order], y[self.order], eps * eps
         self.own = x, y
         self.runs = [(np.searchsorted(keys, key + d * self.wide - 1, "left"), np.searchsorted(keys, key + d * self.wide + 1, "right")) for d in (-1, 0, 1)]
 
     def __call__(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of the points within eps of the one at ``p``, itself included."""
+        """Places and squared distances of the points within eps of the one at ``p``, itself included."""
         at, far = [], []
         px, py = self.own[0][p], self.own[1][p]
         for low, high in self.runs:
@@ -208,10 +212,124 @@ class _Near:
             if a < b:
                 dx, dy = px - self.x[a:b], py - self.y[a:b]
                 d2 = dx * dx + dy * dy
-                ok = d2 <= self.eps2
+                ok = d2 <= self.limit
                 at.append(self.order[a:b][ok])
                 far.append(d2[ok])
-        return np.concatenate(at), np.sqrt(np.concatenate(far))
+        return np.concatenate(at), np.concatenate(far)
+
+
+class _Tree:
+    """Points halved at medians of the wider axis down to small leaves, with their boxes.
+
+    The k-th nearest of a point in a crowd is near, so that it sees few leaves, where cells
+    of eps would compare it with the whole crowd. (For all points within eps cells are faster.)
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, eps: float):
+        n = len(x)
+        self.limit, self.order = eps * eps, np.arange(n)
+        self.bounds = [np.array([0, n])]
+        while np.diff(self.bounds[-1]).max() > _LEAF:
+            self.bounds.append(self._halved(x, y, self.bounds[-1]))
+        self.x, self.y = x[self.order], y[self.order]
+        self.boxes = [tuple(f.reduceat(v, b[:-1]) for v in (self.x, self.y) for f in (np.minimum, np.maximum)) for b in self.bounds]
+        self.first, self.size = self.bounds[-1][:-1], np.diff(self.bounds[-1])
+
+    def _halved(self, x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        middles = (bounds[:-1] + bounds[1:]) // 2
+        for low, middle, high in zip(bounds[:-1].tolist(), middles.tolist(), bounds[1:].tolist(), strict=True):
+            some = self.order[low:high]
+            v = x if np.ptp(x[some]) >= np.ptp(y[some]) else y
+            self.order[low:high] = some[np.argpartition(v[some], middle - low)]
+        return np.sort(np.concatenate([bounds, middles]))
+
+    @staticmethod
+    def _gap(box: tuple, low_x: float, high_x: float, low_y: float, high_y: float) -> np.ndarray:
+        """Least squared distances between boxes and one box."""
+        x1, x2, y1, y2 = box
+        dx, dy = np.maximum(np.maximum(x1 - high_x, low_x - x2), 0), np.maximum(np.maximum(y1 - high_y, low_y - y2), 0)
+        return dx * dx + dy * dy
+
+    def leaves(self, leaf: int, limit: float) -> np.ndarray:
+        """Leaves that may hold points within the squared distance ``limit`` of points of ``leaf``."""
+        own = [v[leaf] for v in self.boxes[-1]]
+        nodes = np.zeros(1, np.int64)
+        for box in self.boxes[1:]:
+            nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
+            nodes = nodes[self._gap(tuple(v[nodes] for v in box), *own) <= limit]
+        return np.sort(nodes)
+
+    def _held(self, leaves: np.ndarray) -> np.ndarray:
+        """Places in tree order of all points of some leaves."""
+        n = self.size[leaves]
+        return np.arange(n.sum()) + np.repeat(self.first[leaves] - (np.cumsum(n) - n), n)
+
+    def kth(self, k: int) -> np.ndarray:
+        """Each point's squared distance to its ``k``-th nearest, itself included; infinite beyond eps."""
+        out = np.full(len(self.order), np.inf)
+        for leaf in range(len(self.size)):
+            own = np.arange(self.first[leaf], self.first[leaf] + self.size[leaf])
+            limit = self.limit
+            if len(own) >= k:
+                # k points of its own leaf bound how far a point has to look
+                limit = min(limit, self._kth(own, own, k).max())
+            among = self._held(self.leaves(leaf, limit))
+            if len(among) >= k:
+                rows = max(1, _PAIRS_AT_ONCE // len(among))
+                for at in range(0, len(own), rows):
+                    some = own[at : at + rows]
+                    out[self.order[some]] = self._kth(some, among, k)
+        out[out > self.limit] = np.inf
+        return out
+
+    def _kth(self, asked: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
+        dx, dy = self.x[asked][:, None] - self.x[among], self.y[asked][:, None] - self.y[among]
+        return np.partition(dx * dx + dy * dy, k - 1, axis=1)[:, k - 1]
+
+
+class _Heap:
+    """Numbers below n by (key, number), each at most once: a lowered key moves its number up."""
+
+    def __init__(self, n: int):
+        self.items: list[tuple[float, int]] = []
+        self.at = [-1] * n
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def lower(self, key: float, number: int) -> None:
+        """Put in a number, or lower its key."""
+        at = self.at[number]
+        if at < 0:
+            at = len(self.items)
+            self.items.append((key, number))
+        self._rise(at, (key, number))
+
+    def _rise(self, at: int, item: tuple[float, int]) -> None:
+        items, places = self.items, self.at
+        while at and item < items[above := (at - 1) >> 1]:
+            items[at] = items[above]
+            places[items[at][1]] = at
+            at = above
+        items[at] = item
+        places[item[1]] = at
+
+    def pop(self) -> int:
+        """The number of the least (key, number)."""
+        items, places = self.items, self.at
+        number, last = items[0][1], items.pop()
+        places[number] = -1
+        if items:
+            # the smaller child moves up to the bottom, the last item rises from there
+            at, n = 0, len(items)
+            while (below := 2 * at + 1) < n:
+                if below + 1 < n and items[below + 1] < items[below]:
+                    below += 1
+                items[at] = items[below]
+                places[items[at][1]] = at
+                at = below
+            self._rise(at, last)
+        return number
 
 
 def optics_order(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataFrame:
@@ -227,25 +345,99 @@ def optics_order(group: pd.DataFrame, eps: float, min_points: int) -> pd.DataFra
     near = _Near(x, y, eps)
     core = np.full(n, np.inf)
     reach, done, position = np.full(n, np.inf), np.zeros(n, bool), np.zeros(n, np.int64)
-    heap: list[tuple[float, int]] = []
+    heap = _Heap(n)
     seed = 0
     for step in range(n):
-        while heap and (done[heap[0][1]] or heap[0][0] != reach[heap[0][1]]):
-            heapq.heappop(heap)
         if heap:
-            p = heapq.heappop(heap)[1]
+            p = heap.pop()
         else:
             while done[seed]:
                 seed += 1
             p = seed
         done[p], position[p] = True, step
-        q, d = near(p)
+        q, d2 = near(p)
         if len(q) >= min_points:
+            d = np.sqrt(d2)
             core[p] = np.partition(d, min_points - 1)[min_points - 1]
             new = np.maximum(core[p], d)
             better = ~done[q] & (new < reach[q])
             reach[q[better]] = new[better]
-            for r, k in zip(new[better], q[better], strict=True):
-                heapq.heappush(heap, (float(r), int(k)))
+            for r, k in zip(new[better].tolist(), q[better].tolist(), strict=True):
+                heap.lower(r, k)
     undefined = lambda v: np.where(np.isfinite(v), v, np.nan)
     return pd.DataFrame({"id": ids, "pos": position, "reach": undefined(reach), "core_dist": undefined(core), "x": x, "y": y})
+
+
+def kth_distances(group: pd.DataFrame, eps: float, k: int) -> pd.DataFrame:
+    """(id, core2) of a partition's own points that have ``k`` points, themselves included,
+    within eps: the squared distance of the k-th nearest."""
+    far = _Tree(group["x"].to_numpy(), group["y"].to_numpy(), eps).kth(k)
+    own = group["home"].to_numpy() & np.isfinite(far)
+    return pd.DataFrame({"id": group["id"].to_numpy()[own], "core2": far[own]})
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) between ``n`` vertices that are the minimum spanning
+    forest by ``rank``, an array that sorts them without ties."""
+    order = np.argsort(rank)
+    a, b, at = a[order], b[order], order
+    taken = []
+    while len(at):
+        least, own = np.full(n, len(at)), np.arange(len(at))
+        np.minimum.at(least, a, own)
+        np.minimum.at(least, b, own)
+        edges = np.unique(least[least < len(at)])
+        taken.append(at[edges])
+        label = least_labels(n, np.concatenate([a[edges], b[edges]]), np.concatenate([b[edges], a[edges]]))
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b, at = a[apart], b[apart], at[apart]
+    return np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+
+
+class _Forest:
+    """A minimum spanning forest by (w, a, b) that takes edges in by blocks, a < b."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.edges = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.label, self.most = np.arange(n), np.full(n, np.inf)
+
+    def add(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        # what is joined by lesser edges alone needs no more of this weight
+        open_ = (self.label[a] != self.label[b]) | (w <= self.most[self.label[a]])
+        self.wait.append((w[open_], a[open_], b[open_]))
+        self.waiting += int(open_.sum())
+        if self.waiting >= _EDGES_AT_ONCE:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The forest (w, a, b) of all edges so far."""
+        w, a, b = (np.concatenate(c) for c in zip(self.edges, *self.wait, strict=True))
+        rank = np.empty(len(w), np.int64)
+        rank[np.lexsort((b, a, w))] = np.arange(len(w))
+        kept = spanning(self.n, a, b, rank)
+        w, a, b = self.edges = w[kept], a[kept], b[kept]
+        self.wait, self.waiting = [], 0
+        self.label = least_labels(self.n, np.concatenate([a, b]), np.concatenate([b, a]))
+        self.most = np.full(self.n, -np.inf)
+        np.maximum.at(self.most, self.label[a], w)
+        return self.edges
+
+
+def partition_forest(group: pd.DataFrame, eps: float) -> pd.DataFrame:
+    """(i, j, w), i < j: the minimum spanning forest of the pairs within eps of which one is
+    home here, weighed by squared mutual reachability. Reads id, x, y, home, core2."""
+    group = group.sort_values("id", ignore_index=True)
+    x, y, ids, home, core2 = (group[c].to_numpy() for c in ("x", "y", "id", "home", "core2"))
+    forest = _Forest(len(group))
+    for i, j in _Cells(x, y, eps).blocks(np.flatnonzero(home)):
+        # a pair of two own points is met from both ends
+        once = (i < j) | ~home[j] & (i != j)
+        i, j = i[once], j[once]
+        dx, dy = x[i] - x[j], y[i] - y[j]
+        forest.add(np.maximum(np.maximum(core2[i], core2[j]), dx * dx + dy * dy), np.minimum(i, j), np.maximum(i, j))
+    w, a, b = forest.settle()
+    return pd.DataFrame({"i": ids[a], "j": ids[b], "w": w})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,8 @@ from gridwell.session import written
 
 #: Cells that the driver plans with at most.
 MOST_CELLS = 1 << 18
+#: Partitions that are placed by their cost at most, the costliest.
+MOST_PLACED = 1 << 16
 
 _CELL = "cx long, cy long, pid int"
 _BOX = "pid int, cx long, cy long, cx2 long, cy2 long, n long"
@@ -215,6 +218,43 @@ def replicate(points: DataFrame, partitions: Partitions, eps: float) -> DataFram
     return met.groupBy("pid", "id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max("home").alias("home"))
 
 
+def dealt(cost: list[tuple[int, int]], tasks: int) -> dict[int, int]:
+    """The task of each partition (pid, cost): the costliest first, each to the task that has least."""
+    loads = [(0, t) for t in range(tasks)]
+    found = {}
+    for pid, c in sorted(cost, key=lambda of: (-of[1], of[0])):
+        load, t = heapq.heappop(loads)
+        found[pid] = t
+        heapq.heappush(loads, (load + c, t))
+    return found
+
+
+def costs(points: DataFrame, partitions: Partitions) -> DataFrame:
+    """(pid, cost): the squared counts of a partition's cells, which its kernel's work goes with."""
+    square = (F.col("n") * F.col("n")).alias("cost")
+    found = histogram(points, partitions.side).join(partitions.cells, ["cx", "cy"]).select("pid", square)
+    if partitions.leaves is not None:
+        found = found.union(partitions.leaves.select("pid", square))
+    return found.groupBy("pid").agg(F.sum("cost").alias("cost"))
+
+
+def placed(copies: DataFrame, cost: DataFrame, tasks: int | None = None, most: int = MOST_PLACED) -> DataFrame:
+    """Copies with the ``task`` of their partition, in that many partitions of Spark.
+
+    The costliest ``most`` partitions are dealt by ``cost`` (pid, cost), so that no two
+    heavy ones meet while another task has less; any beyond those are lighter and go by
+    hash. Kernels that group by task and pid need no further shuffle.
+    """
+    spark = copies.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heavy = cost.orderBy(F.desc("cost"), "pid").limit(most).collect()
+    found = dealt([(r["pid"], r["cost"]) for r in heavy], tasks)
+    # one row for each of at most `most` partitions
+    known = F.broadcast(spark.createDataFrame(list(found.items()), "pid int, task int"))
+    task = F.coalesce("task", F.pmod(F.hash("pid"), F.lit(tasks))).cast("int")
+    return copies.join(known, "pid", "left").withColumn("task", task).repartitionById(tasks, "task")
+
+
 def _to_leaves(asked: DataFrame, partitions: Partitions, reach) -> DataFrame:
     """Copies (pid, id, x, y, home) of points in and within eps of the leaves of cut cells."""
     m = F.lit(float(partitions.side)) / F.pow(F.lit(2.0), F.col("depth"))
