@@ -93,7 +93,7 @@ def reachability_forest(points: DataFrame, eps: float, min_points: int, max_poin
     of neighbours is in the partitions of both its points.
     """
     partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition)
-    copies = written(placed(replicate(points, partitions, eps), costs(points, partitions)), "copies")
+    copies, cost = written(replicate(points, partitions, eps), "copies"), written(costs(points, partitions), "cost")
 
     def distances(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return kth_distances(group, eps, min_points)
@@ -101,8 +101,8 @@ def reachability_forest(points: DataFrame, eps: float, min_points: int, max_poin
     def forest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return partition_forest(group, eps)
 
-    core = written(copies.groupBy("task", "pid").applyInPandas(distances, "id long, core2 double"), "core")
-    edges = copies.join(core, "id").groupBy("task", "pid").applyInPandas(forest, "i long, j long, w double")
+    core = written(placed(copies, cost).groupBy("task", "pid").applyInPandas(distances, "id long, core2 double"), "core")
+    edges = placed(copies.join(core, "id"), cost).groupBy("task", "pid").applyInPandas(forest, "i long, j long, w double")
     return minimum_spanning_forest(edges), core
 
 
