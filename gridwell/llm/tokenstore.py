@@ -2,9 +2,9 @@
 
 A file set is a table of blocks in the shared folder, each block a byte string:
 
-    magic "TIDBLK01" | dictionary hash (32 bytes, SHA-256) | bytes per id (1) |
+    magic "TIDBLK02" | dictionary hash (32 bytes, SHA-256) | bytes per id (1) |
     documents (4) | index: doc_id, start, ids, frame offset, frame length (8 each,
-    per document) | frames
+    per document), whether doc_id is known (1) | frames
 
 All integers are little-endian. Blocks are written and read through Spark, so that
 they live in any store it reaches and survive lost executors. The dictionary is
@@ -23,13 +23,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwell.llm.text import encoder, pieces, pieces_by_size
 from gridwell.session import scratch_path
 
-MAGIC = b"TIDBLK01"
+MAGIC = b"TIDBLK02"
 END_ID = 2
 #: The dictionary is trained from the whole ids of these documents, those of the
 #: smallest hashes, or of as many of them as give so many bytes.
@@ -37,10 +37,14 @@ SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 6 << 20
 DICTIONARY_BYTES = 65536
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that a part is planned for.
+PART_BYTES = 32 << 20
+#: Parts whose starts are summed up together.
+PARTS_IN_A_GROUP = 1024
 LEVEL = 3
 
 _HEAD = struct.Struct("<8s32sBI")
-_ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("ids", "<i8"), ("offset", "<i8"), ("length", "<i8")])
+_ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("ids", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("known", "u1")])
 
 
 @dataclass(frozen=True)
@@ -71,11 +75,10 @@ def _block(digest: bytes, width: int, entries: list[tuple], frames: list[bytes])
     return b"".join([_HEAD.pack(MAGIC, digest, width, len(entries)), np.array(entries, _ENTRY).tobytes(), *frames])
 
 
-def _sample(source: DataFrame) -> list[str]:
+def _sample(source: DataFrame, total: int) -> list[str]:
     """Whole texts of the ``SAMPLE_DOCS`` documents of the smallest hashes, or of as many
-    of them as give ``SAMPLE_BYTES``; rows of one hash count once."""
+    of them as give ``SAMPLE_BYTES``; rows of one hash count once. ``total``: all rows."""
     texts = source.where("text is not null").select(F.xxhash64("doc_id", F.length("text")).alias("h"), F.length("text").alias("n"), "text")
-    total = source.count()
     # hashes are spread evenly: some four times as many as are wanted lie below the limit
     share = 4 * SAMPLE_DOCS / max(1, total)
     while True:
@@ -105,7 +108,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     enc = encoder(vocabulary, False)
     width = _width(enc)
-    data = _dictionary([_stored(ids, width) for ids in enc.encode(_sample(source)) if len(ids)])
+    total, size = source.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    data = _dictionary([_stored(ids, width) for ids in enc.encode(_sample(source, total)) if len(ids)])
     digest = hashlib.sha256(data).digest()
     shared = spark.sparkContext.broadcast(data)
     end = np.uint32(end_id)
@@ -122,8 +126,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
             for doc, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 ids = np.append(own, end)
                 frame = packer.compress(_stored(ids, width))
-                # a null id is stored as the smallest long, which sorts first as nulls do
-                entries.append((-(1 << 63) if doc is None else doc, start, len(ids), held, len(frame)))
+                entries.append((doc or 0, start, len(ids), held, len(frame), doc is not None))
                 frames.append(frame)
                 start += len(ids)
                 held += len(frame)
@@ -134,18 +137,28 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
             yield _row(part, number, start, _block(digest, width, entries, frames))
 
     keys = ["doc_id", F.xxhash64("text")]
-    dealt = source.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    parts = max(-(-(size or 0) // PART_BYTES), spark.sparkContext.defaultParallelism)
+    dealt = source.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     dealt.mapInArrow(encoded, "part int, number int, ids long, block binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame([Row(hash=digest.hex(), data=bytearray(data))], "hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionaries")
-    sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.max("ids").alias("ids")).orderBy("part").collect()
-    starts, at = [], 0
-    for r in sizes:
-        starts.append((r["part"], at))
-        at += r["ids"]
-    spark.createDataFrame(starts, "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
+    _starts(spark.read.schema("part int, ids long").parquet(f"{path}/blocks")).write.parquet(f"{path}/parts")
     return TokenFiles(path)
 
 
+def _starts(blocks: DataFrame) -> DataFrame:
+    """How many ids lie before each part: within its group of parts by a window, before
+    the group by sums of groups, of which the driver gets one for ``PARTS_IN_A_GROUP`` parts."""
+    sizes = blocks.groupBy("part").agg(F.max("ids").alias("ids")).withColumn("group", F.floor(F.col("part") / PARTS_IN_A_GROUP))
+    groups, at = [], 0
+    for r in sizes.groupBy("group").agg(F.sum("ids").alias("ids")).orderBy("group").collect():
+        groups.append((r["group"], at))
+        at += r["ids"]
+    earlier = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("inside", F.coalesce(F.sum("ids").over(earlier), F.lit(0)))
+    known = blocks.sparkSession.createDataFrame(groups, "group long, before long")
+    return inside.join(F.broadcast(known), "group").select("part", (F.col("before") + F.col("inside")).alias("before"))
+
+
 def _stored(ids: np.ndarray, width: int) -> bytes:
     return ids.astype(f"<u{width}").tobytes()
 
@@ -168,7 +181,7 @@ def index(block: bytes, dictionaries: dict[bytes, bytes]) -> tuple[np.ndarray, i
 def document(block: bytes, dictionaries: dict[bytes, bytes], doc_id: int) -> np.ndarray:
     """One document's ids, read by its index entry alone."""
     entries, width, base, opener = index(block, dictionaries)
-    e = entries[np.flatnonzero(entries["doc_id"] == doc_id)[0]]
+    e = entries[np.flatnonzero((entries["doc_id"] == doc_id) & (entries["known"] == 1))[0]]
     at = base + int(e["offset"])
     return np.frombuffer(opener.decompress(block[at : at + int(e["length"])]), f"<u{width}").astype(np.uint32)
 
@@ -205,7 +218,7 @@ def read(spark: SparkSession, files: TokenFiles, with_ids: bool = False) -> Data
                     crc.append(zlib.crc32(got.tobytes()))
                     if with_ids:
                         ids.append(got)
-                doc = pa.array(some["doc_id"], mask=some["doc_id"] == -(1 << 63))
+                doc = pa.array(some["doc_id"], mask=some["known"] == 0)
                 columns = [doc, pa.array(some["start"] + before), pa.array(some["ids"]), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:

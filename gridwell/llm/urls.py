@@ -6,6 +6,12 @@ with so few false positives over that universe that about as many remain as ther
 are listed keys; level 1 encodes those false positives, level 2 the listed keys that
 level 1 takes for false, and so on until a level errs on nothing. Membership of any
 key of the universe is then exact, and scanning the pages needs no join.
+
+Lists have paths of many lengths. A URL is first asked only for the paths cut to a power
+of two, one cascade of which tells those with which a rule begins; under these alone it
+is asked for the lengths that rules have up to the next power. So a URL has at most
+labels * (log2 of the longest path + 2) keys, and some more only where a rule of the
+same host begins as it does.
 """
 
 from __future__ import annotations
@@ -41,17 +47,60 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """The keys of a URL that have one of ``shapes`` (host labels, path length),
-    longest first: array<string>. Other keys can't be rules."""
+def _key(host: Column, path: Column, shape: Column) -> Column:
+    """A URL's key of a shape (see :func:`_shape`), null if it has none."""
     labels = F.split(host, r"\.", -1)
+    n, size = F.shiftright(shape, 32).cast("int"), shape.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    fits = (host != "") & (F.size(labels) >= n) & (F.length(path) >= size)
+    return F.when(fits, F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring(path, F.lit(1), size)))
+
+
+def keys(host: Column, path: Column, shapes: Column) -> Column:
+    """The keys of a URL that have one of ``shapes``: array<string>. Other keys can't be rules."""
+    return F.array_compact(F.transform(shapes, lambda shape: _key(host, path, shape)))
+
 
-    def key(shape: Column) -> Column:
-        n, size = F.shiftright(shape, 32).cast("int"), shape.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-        fits = (host != "") & (F.size(labels) >= n) & (F.length(path) >= size)
-        return F.when(fits, F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring(path, F.lit(1), size)))
+def _shape(n: int, size: int) -> int:
+    """Host labels and path length as one number."""
+    return n << 32 | size
 
-    return F.array_compact(F.transform(_longs([n << 32 | size for n, size in shapes]), key))
+
+def _anchor(size: int) -> int:
+    """The largest power of two that a path of ``size`` has room for."""
+    return 1 << size.bit_length() - 1 if size else 0
+
+
+@dataclass(frozen=True)
+class Shapes:
+    """The shapes of rules, and those of the rules' beginnings: each of these has
+    ``count`` shapes in ``full``, from ``start`` (from 1)."""
+
+    anchors: tuple[int, ...]
+    start: tuple[int, ...]
+    count: tuple[int, ...]
+    full: tuple[int, ...]
+
+    @staticmethod
+    def of(found: list[tuple[int, int]]) -> Shapes:
+        grouped: dict[tuple[int, int], list[int]] = {}
+        for n, size in sorted(found):
+            grouped.setdefault((n, _anchor(size)), []).append(_shape(n, size))
+        full = tuple(s for group in grouped.values() for s in group)
+        count = tuple(len(group) for group in grouped.values())
+        start = tuple(1 + sum(count[:i]) for i in range(len(count)))
+        return Shapes(tuple(_shape(*a) for a in grouped), start, count, full)
+
+    def under(self, host: Column, path: Column, begins: list[Level]) -> Column:
+        """The shapes that rules with a URL's beginnings may have."""
+        anchors, start, count, full = (_longs(list(v)) for v in (self.anchors, self.start, self.count, self.full))
+
+        def some(i: Column) -> Column:
+            at = (i + 1).cast("int")
+            key = _key(host, path, F.element_at(anchors, at))
+            own = F.slice(full, F.element_at(start, at).cast("int"), F.element_at(count, at).cast("int"))
+            return F.when(key.isNotNull() & member(key, begins), own)
+
+        return F.flatten(F.array_compact(F.transform(_longs(list(range(len(self.anchors)))), some)))
 
 
 def _longs(values: list[int]) -> Column:
@@ -131,18 +180,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     verdicts, block counts. Without a fitting rule, ``rule`` is null and the verdict
     is ``default``. A null URL or one without ``://`` has an empty host and path, which
     no rule fits. Rules with a null or empty host, or a null path, are left out.
-    Repeated pages are judged alike; an empty table gives an empty result.
+    So are those that fit no URL: hosts with ``/``, ``?`` or ``#``, paths that begin with
+    something other than ``/``. Repeated pages are judged alike; an empty table gives an
+    empty result.
     """
-    rules = rules.where("host is not null and host != '' and path is not null").select(
+    rules = rules.where("host rlike '^[^/?#]+$' and (path = '' or path like '/%')").select(
         "verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path"
     )
-    shape = rules.select(F.size(F.split("host", r"\.", -1)).alias("n"), F.length("path").alias("size"), F.length("host").alias("h")).distinct()
-    shapes = shape.groupBy("n", "size").agg(F.max("h").alias("h")).collect()
-    order = [(r["n"], r["size"]) for r in sorted(shapes, key=lambda r: (r["n"], r["size"]))]
+    size = F.length("path")
+    # at most as many rows as hosts have labels times the lengths of paths
+    found = rules.select(F.size(F.split("host", r"\.", -1)).alias("n"), size.alias("size")).distinct().collect()
+    shapes = Shapes.of([(r["n"], r["size"]) for r in found])
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = parsed.select(F.explode(keys(F.col("host"), F.col("path"), order)).alias("key")).distinct()
-    known = written(known, "universe")
+    host, path = F.col("host"), F.col("path")
+    asked = parsed.select(F.explode(keys(host, path, _longs(list(shapes.anchors)))).alias("key")).distinct()
+    power = F.when(size > 0, F.pow(F.lit(2), F.length(F.bin(size)) - 1)).otherwise(0).cast("int")
+    begins = cascade(rules.select(F.concat("host", F.substring("path", F.lit(1), power)).alias("key")).distinct(), written(asked, "beginnings"))
+    own = shapes.under(host, path, begins)
+    known = written(parsed.select(F.explode(keys(host, path, own)).alias("key")).distinct(), "universe")
     key = F.concat("host", "path").alias("key")
     block = rules.where("verdict = 'block'").select(key).distinct()
     allow = rules.where("verdict != 'block'").select(key).distinct().join(block, "key", "left_anti")
@@ -154,7 +210,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
         return F.struct(F.length(k).alias("size"), host_size.alias("h"), k.alias("rule"), F.lit(verdict).alias("verdict"))
 
     judged = F.transform(
-        keys(F.col("host"), F.col("path"), order),
+        keys(host, path, own),
         lambda k: F.when(member(k, blocked), ruled(k, "block")).when(member(k, allowed), ruled(k, "allow")),
     )
     best = F.array_max(F.array_compact(judged))

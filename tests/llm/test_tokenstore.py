@@ -51,3 +51,26 @@ def test_odd_rows(spark, odd, none):
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(((r[0], r[2], r[3]) for r in got), key=key) == sorted(((r[0], r[2], r[3]) for r in expected(rows)), key=key)
     assert tokenstore.read(spark, tokenstore.write(none, PATH)).collect() == []
+
+
+def test_smallest_id_is_no_null(spark):
+    docs = spark.createDataFrame([(-(1 << 63), "one two"), (None, "three"), (0, "four"), (5, "")], "doc_id long, text string")
+    files = tokenstore.write(docs, PATH)
+    got = tokenstore.read(spark, files, with_ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -(1 << 63), 0, 5]
+    known = tokenstore.dictionaries(spark, files)
+    zero = Tokenizer.from_file(PATH).encode("four", add_special_tokens=False).ids
+    for r in spark.read.parquet(f"{files.path}/blocks").collect():
+        entries = tokenstore.index(bytes(r["block"]), known)[0]
+        if 0 in entries["doc_id"][entries["known"] == 1]:
+            assert tokenstore.document(bytes(r["block"]), known, 0).tolist() == [*zero, 2]
+
+
+def test_parts_by_size_in_groups(spark, texts, monkeypatch):
+    monkeypatch.setattr(tokenstore, "PART_BYTES", 4000)
+    monkeypatch.setattr(tokenstore, "PARTS_IN_A_GROUP", 3)
+    files = tokenstore.write(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH)
+    parts = spark.read.parquet(f"{files.path}/parts").count()
+    assert parts > 30
+    got = tokenstore.read(spark, files).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == expected(sorted(texts.items()))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridwell.llm.urls import RULES, cascade, filter_urls, member
+from gridwell.llm.urls import RULES, Shapes, cascade, filter_urls, member
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,3 +80,29 @@ def test_long_lists_stay_cheap(spark):
     pages = spark.createDataFrame([(1, "http://a.h7.example.com/ppppppp/x"), (2, "http://h7.example.com/pppppp/x"), (3, "http://h40.example.com//")], "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(pages, rules).collect()}
     assert got == {1: ("h7.example.com/ppppppp/", "block"), 2: (None, "allow"), 3: ("h40.example.com//", "block")}
+
+
+def test_hundreds_of_path_lengths(spark):
+    """Rules of 300 lengths under two hosts: the same verdicts, and few keys a page."""
+    rng = random.Random(7)
+    path = lambda n: "/" + "".join(rng.choice("ab/") for _ in range(n - 1))
+    long = path(400)
+    rules = [("block" if n % 3 else "allow", "site.org", long[:n]) for n in range(1, 300, 2)]
+    rules += [(rng.choice(["allow", "block"]), "b.net", path(n)) for n in range(1, 300)] + [("block", "ay", ""), ("block", "a", "y")]
+    urls = [f"http://x.site.org{long[:n]}" for n in range(0, 330, 7)] + [f"http://site.org{long[:n]}c{long}" for n in range(1, 60, 5)]
+    urls += [f"http://{rng.choice(['b.net', 'c.b.net', 'net'])}{rng.choice(rules)[2][: rng.randrange(1, 300)]}{path(3)}?{long}" for _ in range(150)]
+    check(spark, [*urls, "http://ay/", "http://a/y", "http://a", None], rules)
+
+
+def test_pages_without_listed_beginnings_have_few_keys(spark):
+    shapes = Shapes.of([(2, n) for n in range(1, 1000)])
+    assert len(shapes.anchors) == 10 and len(shapes.full) == 999 and sum(shapes.count) == 999
+    page = spark.createDataFrame([("a.net", "/" + "q" * 1200)], "host string, path string")
+    none = cascade(spark.createDataFrame([("a.net/z",)], "key string"), spark.createDataFrame([("a.net/q",)], "key string"))
+    own = shapes.under(F.col("host"), F.col("path"), none)
+    assert page.select(F.size(own).alias("n")).first()["n"] < 999
+
+
+def test_rules_that_fit_no_url_are_left_out(spark):
+    rules = [("block", "a", "y"), ("block", "a/b", ""), ("block", "a?", "/"), ("block", "", "/"), ("allow", "b", "")]
+    check(spark, ["http://ay", "http://a/b", "http://a?/", "http://b", "http://c.b/x"], rules)
