@@ -8,14 +8,15 @@ occurrence is then extended against the sorted test suffixes to the longest
 verbatim match.
 
 The test set is taken in blocks of a bounded number of words, each broadcast; a
-document's hits are carried from block to block.
+document's hits are carried from block to block. After ``BLOCKS_IN_A_STAGE`` blocks a
+stage ends: of a longer test set each stage reads the texts again and writes hits alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from gridwell.session import written
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
 BLOCKS_IN_A_STAGE = 4
-#: Documents in a shard at most; a batch holds at most 64 MB of text.
+#: Documents in a shard at most; Spark bounds the bytes of a batch.
 SHARD_ROWS = 1024
 
 
@@ -267,6 +268,49 @@ def _blocks(items: DataFrame, most: int) -> Iterator[Tests]:
         yield Tests(held)
 
 
+def _stage(docs: DataFrame, blocks: list[Tests], text_at: int) -> DataFrame:
+    """``docs`` and the state columns, after a search for all of ``blocks`` in one pass."""
+    width = len(docs.columns)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
+    for name, kind in _STATE:
+        docs = docs.withColumn(name, F.lit(None).cast(kind))
+        schema = schema.add(name, kind)
+    for block in blocks:
+        docs = docs.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block), text_at, width, schema.names), schema)
+    return docs
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's lists of packed bits as the bits that any of a list has."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1).to_pylist()
+        bits = [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in some]).tobytes() if some else None for some in lists]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits, pa.binary())], batch.schema.names)
+
+
+def _in_stages(docs: DataFrame, stages: Iterator[list[Tests]], text_at: int) -> DataFrame:
+    """As :func:`_stage` over stages of blocks. Texts are written once; a stage reads them
+    and writes the rows' ids and what it found, and what all found is joined to the texts."""
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    own = docs.columns[text_at]
+    found = None
+    for k, blocks in enumerate(stages):
+        state = _stage(rows.select("row", own), blocks, 1).drop(own).withColumn("stage", F.lit(k))
+        state = written(state if not k else state.where("hits is not null"), "matches")
+        found = state if found is None else found.unionByName(state)
+    # of equally long matches that of the earliest stage counts
+    best = F.max(F.when(F.col("longest").isNotNull(), F.struct("longest", (-F.col("stage")).alias("earliest"), "longest_start", "longest_item")))
+    merged = found.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), best.alias("best"), F.collect_list("hits").alias("hits")
+    )
+    items = F.when(F.size("hits") > 0, F.array_sort(F.array_distinct("items"))).alias("items")
+    flat = merged.select("row", "n_words", items, *(F.col(f"best.{c}").alias(c) for c in ("longest", "longest_start", "longest_item")), "hits")
+    kinds = dict(_STATE)
+    schema = "row long, " + ", ".join(f"{c} {kinds[c].simpleString()}" for c in flat.columns[1:-1]) + ", hits binary"
+    # both sides grow with the documents; merged, rows keep their order within a partition
+    return rows.hint("merge").join(flat.mapInArrow(_either, schema), "row").select(*docs.columns, *kinds)
+
+
 def search(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` (any columns with ``text``) and, as the struct ``match``: n_words, hits
     (packed bits of its words), items (sorted ids of items with windows in it), and
@@ -275,24 +319,15 @@ def search(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) ->
     A document or item without words, null or empty, matches nothing. An item with a
     null id is searched for but not listed; items that repeat an id count once.
     """
-    spark = docs.sparkSession
     columns = docs.columns
     inner = [f"c{i}" for i in range(len(columns))]
-    now = docs.toDF(*inner) if columns else docs
     text_at = columns.index("text")
-    base = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema)])
-    schema = base
-    for name, kind in _STATE:
-        now = now.withColumn(name, F.lit(None).cast(kind))
-        schema = schema.add(name, kind)
-    searched = False
-    for k, block in enumerate(_blocks(items, block_words)):
-        if k and k % BLOCKS_IN_A_STAGE == 0:
-            now = written(now, "matches")
-        now = now.mapInArrow(_search(spark.sparkContext.broadcast(block), text_at, len(columns), schema.names), schema)
-        searched = True
-    if not searched:
-        now = now.mapInArrow(_search(spark.sparkContext.broadcast(Tests([])), text_at, len(columns), schema.names), schema)
+    blocks = _blocks(items, block_words)
+    stages = iter(lambda: list(islice(blocks, BLOCKS_IN_A_STAGE)), [])
+    first = next(stages, [Tests([])])
+    second = next(stages, None)
+    now = docs.toDF(*inner)
+    now = _stage(now, first, text_at) if second is None else _in_stages(now, chain([first, second], stages), text_at)
     match = F.struct(*(F.col(name) for name, _ in _STATE)).alias("match")
     return now.select(*(F.col(i).alias(c) for i, c in zip(inner, columns, strict=True)), match)
 

@@ -109,3 +109,25 @@ def test_long_texts_full_of_hits():
     words = shard.words[: len(shard.words) - 1]
     assert _longest(tests, words, np.unique(shard.place), np.full(len(words), len(words)), 0)[0] == 500
     assert len(text) > 7_000_000 and time.process_time() - began < 30
+
+
+def test_stages_write_hits_not_texts(spark, tmp_path, monkeypatch):
+    """Twelve stages: as one stage gives, columns of any names kept, texts written once."""
+    import gridwell.llm.decontam as module
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i if i % 7 else None, " ".join(rng.choices(words, k=rng.randrange(5, 30)))) for i in range(48)]
+    docs = [(i % 50, " ".join(rng.choices(words, k=20) + [rng.choice(items)[1]] * (i % 3) + rng.choices(words, k=5)), "x", i) for i in range(60)]
+    docs += [(None, None, "y", 1), (7, "", "y", 2), (8, "w1 " * 3000, "z", 3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, row string, stage long").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    names = []
+    monkeypatch.setattr(module, "written", lambda df, name, real=module.written: (names.append((name, df.columns)), real(df, name))[1])
+    monkeypatch.setattr(module, "BLOCKS_IN_A_STAGE", 1)
+    flat = lambda found: sorted((tuple(r) for r in found.selectExpr("doc_id", "text", "row", "stage", "match.n_words", "hex(match.hits)", "match.items", "match.longest").collect()), key=repr)
+    got = flat(module.search(d, b, 60))
+    assert len([n for n, _ in names if n == "matches"]) > 10 and len([n for n, _ in names if n == "rows"]) == 1
+    assert all("c1" not in c for n, c in names if n == "matches")
+    assert got == flat(module.search(d, b))
+    assert any(r[5] for r in got) and len(got) == 63
