@@ -11,6 +11,8 @@ first pair of boxes decides or so few points are left that they are compared.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +59,22 @@ def _prefixed(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
 BOX = ("x1", "x2", "y1", "y2", "n")
 
 
-def cell_graph(points: DataFrame, eps: float, min_points: int) -> tuple[DataFrame, DataFrame]:
-    """(core, component) of :func:`dbscan_cells`: ids of core points, and id and component
-    of all points that have a cluster; a component's name is its smallest core id.
+@dataclass(frozen=True)
+class _Graph:
+    """The graph of cells: points in their cells, full cells (with the id of a ``first``
+    point), what each other point is next to (``to_full``: id, first, n; ``to_sparse``:
+    id, other), ids of core points outside full cells, and edges (src, dst) that make
+    the components of all core points, of a full cell by its first alone."""
 
-    ``points`` (id, x, y) are read several times, so they should come from a table.
-    """
+    placed: DataFrame
+    full: DataFrame
+    to_full: DataFrame
+    to_sparse: DataFrame
+    core: DataFrame
+    edges: DataFrame
+
+
+def _graph(points: DataFrame, eps: float, min_points: int) -> _Graph:
     side, limit = cell_side(eps), F.lit(eps * eps)
     placed = with_cells(points.select("id", "x", "y"), side)
     cells = placed.groupBy("cx", "cy").agg(*box_columns(), F.min("id").alias("first"))
@@ -87,16 +99,46 @@ def cell_graph(points: DataFrame, eps: float, min_points: int) -> tuple[DataFram
     of_core = lambda df: df.join(core, "id")
     between = of_core(to_sparse.where("id < other")).join(core.withColumnRenamed("id", "other"), "other").select(F.col("id").alias("src"), F.col("other").alias("dst"))
     edges = _linked(placed, full, side, eps).union(of_core(to_full).select("id", "first")).union(between)
-    vertices = full.select(F.col("first").alias("id")).union(core)
-    found = vertices.join(connected_components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return _Graph(placed, full, to_full, to_sparse, core, edges)
+
+
+def cell_graph(points: DataFrame, eps: float, min_points: int) -> tuple[DataFrame, DataFrame]:
+    """(core, component) of :func:`dbscan_cells`: ids of core points, and id and component
+    of all points that have a cluster; a component's name is its smallest core id.
+
+    ``points`` (id, x, y) are read several times, so they should come from a table.
+    """
+    core, inside, next_to = cell_clusters(points, eps, min_points)
+    return core, inside.union(next_to.groupBy("id").agg(F.min("component").alias("component")))
+
+
+def cell_clusters(points: DataFrame, eps: float, min_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ids of core points; (id, component) of those; and the same of each component that
+    another point is next to, of which a point has fewer than ``min_points``."""
+    g = _graph(points, eps, min_points)
+    vertices = g.full.select(F.col("first").alias("id")).union(g.core)
+    found = vertices.join(connected_components(g.edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     found = written(found, "components")
-    # border points: the least component of what they are next to
-    next_to = to_full.select("id", F.col("first").alias("other")).union(to_sparse).join(core, "id", "left_anti")
-    border = next_to.join(found.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("component"))
-    of_cell = full.select("cx", "cy", F.col("first").alias("id")).join(found, "id").drop("id")
-    inside = placed.join(of_cell, ["cx", "cy"]).select("id", "component")
-    cores = inside.select("id").union(core)
-    return cores, inside.union(found.join(core, "id")).union(border)
+    next_to = g.to_full.select("id", F.col("first").alias("other")).union(g.to_sparse).join(g.core, "id", "left_anti")
+    border = next_to.join(found.withColumnRenamed("id", "other"), "other").select("id", "component").distinct()
+    of_cell = g.full.select("cx", "cy", F.col("first").alias("id")).join(found, "id").drop("id")
+    inside = g.placed.join(of_cell, ["cx", "cy"]).select("id", "component")
+    cores = inside.select("id").union(g.core)
+    return cores, inside.union(found.join(g.core, "id")), border
+
+
+def cell_links(points: DataFrame, eps: float) -> DataFrame:
+    """(src, dst): edges, src < dst, that make the same components as all pairs of points
+    within eps of each other, in proportion to the points however dense they are.
+
+    The points of a cell are linked to its first, and the firsts of two cells to each
+    other if any pair of the cells' points is so near; theirs may be farther apart. A
+    way along all pairs is at most three times as long along these.
+    """
+    g = _graph(points, eps, 1)
+    star = g.placed.join(g.full.select("cx", "cy", "first"), ["cx", "cy"]).select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    every = g.edges.union(star).where("src != dst")
+    return every.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def _linked(placed: DataFrame, full: DataFrame, side: float, eps: float) -> DataFrame:

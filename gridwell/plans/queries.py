@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from gridwell import functions as G
 from gridwell.operators import clustering as C
 from gridwell.operators import neighbors as N
+from gridwell.operators.cells import cell_links
 from gridwell.operators.components import connected_components, reachable, with_edges
-from gridwell.operators.nearest import k_nearest_anywhere
-from gridwell.operators.partitioner import Partitions, plan_partitions, replicate
+from gridwell.operators.nearest import core_distances, k_nearest, k_nearest_anywhere
+from gridwell.operators.partitioner import Partitions, leaf_copies, plan_partitions, replicate
 from gridwell.operators.rectangles import points_in, rectangles_in
 from gridwell.session import ship, written
 from gridwell.sources import points
@@ -343,8 +344,7 @@ def below_cell_partitions(spark, sf):
   ON p.x BETWEEN lx * m - CAST({EPS * (1 + 1e-9)!r} AS DOUBLE) AND (lx + 1) * m + CAST({EPS * (1 + 1e-9)!r} AS DOUBLE)
   AND p.y BETWEEN ly * m - CAST({EPS * (1 + 1e-9)!r} AS DOUBLE) AND (ly + 1) * m + CAST({EPS * (1 + 1e-9)!r} AS DOUBLE)""")
 def below_cell_copies(spark, sf):
-    found = _cut_plan(spark, sf)
-    return replicate(emb(spark, sf), found, EPS).join(found.leaves, "pid").select("depth", "lx", "ly", "id", "home")
+    return leaf_copies(emb(spark, sf), _cut_plan(spark, sf), EPS).select("depth", "lx", "ly", "id", "home")
 
 
 @query(_DB + "SELECT id, flag, cluster_id FROM lab")
@@ -420,18 +420,18 @@ def core_points(spark, sf):
 
 @query(f"WITH {_NB}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM nb) SELECT i AS id, CAST(k AS INTEGER) AS rank, j AS neighbor FROM r WHERE k <= {MIN_POINTS}")
 def knn(spark, sf):
-    return N.k_nearest(emb(spark, sf), EPS, MIN_POINTS).select("id", "rank", "neighbor")
+    return k_nearest(emb(spark, sf), EPS, MIN_POINTS).select("id", "rank", "neighbor")
 
 
 @query(f"""WITH {_NB}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM nb)
 SELECT pts.id, CAST(floor(sqrt(d2) * CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS core_dist FROM pts LEFT JOIN r ON r.i = pts.id AND k = {MIN_POINTS}""")
 def core_distance(spark, sf):
-    return N.core_distances(emb(spark, sf), EPS, MIN_POINTS).select("id", micro(F.col("core_dist"), "core_dist"))
+    return core_distances(emb(spark, sf), EPS, MIN_POINTS).select("id", micro(F.col("core_dist"), "core_dist"))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf, "supp2d")
-    return N.neighbor_pairs(p, p, 1.0).where("i < j").select("i", "j")
+    """Links of suppliers within 1, not all pairs, whose number grows with their square."""
+    return cell_links(points(spark, sf, "supp2d"), 1.0).withColumnsRenamed({"src": "i", "dst": "j"})
 
 
 _SUPP = f"""WITH RECURSIVE pts AS (SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS x, s_acctbal / CAST(1000 AS DOUBLE) AS y FROM supplier),
