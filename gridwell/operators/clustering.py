@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwell.functions import flag
-from gridwell.operators.cells import cell_graph
+from gridwell.operators.cells import cell_clusters, cell_graph, cell_links
 from gridwell.operators.components import connected_components
 from gridwell.operators.forest import forest_components, reachability_forest
 from gridwell.operators.local import local_clusters, optics_order
-from gridwell.operators.neighbors import neighbor_pairs
-from gridwell.operators.partitioner import costs, placed, plan_partitions, replicate
+from gridwell.operators.nearest import k_nearest
+from gridwell.operators.partitioner import Partitions, costs, cut_copies, placed, plan_partitions, replicate
 from gridwell.session import written
 
 
@@ -36,9 +36,8 @@ class ClusterModel:
     def predict(self, queries: DataFrame, points: DataFrame) -> DataFrame:
         """(id, cluster_id): the cluster of the nearest core point within eps, else 0."""
         cores = points.join(self.labeled.where("flag = 'CORE'").select("id"), "id", "left_semi")
-        w = Window.partitionBy("i").orderBy("d2", "j")
-        near = neighbor_pairs(queries, cores, self.eps).withColumn("k", F.row_number().over(w)).where("k = 1")
-        named = near.join(self.labeled.select(F.col("id").alias("j"), "cluster_id"), "j").select(F.col("i").alias("id"), "cluster_id")
+        near = k_nearest(written(cores.select("id", "x", "y"), "cores"), self.eps, 1, queries).select("id", "neighbor")
+        named = near.join(self.labeled.select(F.col("id").alias("neighbor"), "cluster_id"), "neighbor").select("id", "cluster_id")
         return queries.select("id").join(named, "id", "left").fillna(0, ["cluster_id"])
 
 
@@ -65,15 +64,16 @@ def _numbered(names: DataFrame) -> DataFrame:
 
 
 def dbscan_declarative(points: DataFrame, eps: float, min_points: int) -> ClusterModel:
-    """DBSCAN as joins and aggregates alone: every neighbour pair becomes a row."""
-    pairs = written(neighbor_pairs(points, points, eps).select("i", "j"), "pairs")
-    core = written(pairs.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("id"), "core")
-    to_core = pairs.join(core.withColumnRenamed("id", "j"), "j")
-    edges = to_core.join(core.withColumnRenamed("id", "i"), "i").where("i < j")
-    found = core.join(connected_components(edges, "i", "j"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    """DBSCAN as joins and aggregates alone. A point has as many rows as its nearest that
+    count, ``min_points`` at most: those tell core points, and they are all the neighbours
+    of any other. Core points are linked by :func:`~gridwell.operators.cells.cell_links`."""
+    nearest = written(k_nearest(points, eps, max(min_points, 1)).select("id", "rank", "neighbor"), "nearest")
+    core = written(nearest.where(F.col("rank") == max(min_points, 1)).select("id"), "core")
+    edges = cell_links(written(points.select("id", "x", "y").join(core, "id", "left_semi"), "points"), eps)
+    found = core.join(connected_components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     found = written(found, "components")
-    rim = to_core.join(core.withColumnRenamed("id", "i"), "i", "left_anti").join(found.withColumnRenamed("id", "j"), "j")
-    border = rim.groupBy(F.col("i").alias("id")).agg(F.min("component").alias("component"))
+    rim = nearest.join(core, "id", "left_anti").join(found.withColumnRenamed("id", "neighbor"), "neighbor")
+    border = rim.groupBy("id").agg(F.min("component").alias("component"))
     return ClusterModel(eps, min_points, _labeled(points.select("id"), core, found.union(border)))
 
 
@@ -91,16 +91,32 @@ def dbscan(points: DataFrame, eps: float, min_points: int, max_points_per_partit
     all its neighbours, so the local clusters of all its copies are one cluster
     (``merge="core"``); ``merge="any_shared"`` also joins clusters that share a border
     point. Border points join the cluster of the smallest name next to any copy. With
-    ``halvings`` cells of too many points are cut (see :func:`plan_partitions`).
+    ``halvings`` cells of too many points are cut (see :func:`plan_partitions`): those
+    cells and what lies within eps of them are one more partition, that no task holds
+    (:func:`_cut_labels`).
     """
     partitions = plan_partitions(points.sparkSession, points, eps, max_points_per_partition, halvings=halvings)
-    copies = placed(replicate(points, partitions, eps), costs(points, partitions))
+    whole_cells = Partitions(partitions.boxes, partitions.cells, partitions.side)
+    copies = placed(replicate(points, whole_cells, eps), costs(points, whole_cells))
     local = written(local_labels(copies, eps, min_points), "local")
+    if partitions.leaves is not None and not partitions.leaves.isEmpty():
+        local = written(local.union(_cut_labels(points, partitions, eps, min_points)), "local")
     known = written(copies_merged(local), "known")
     whole = global_cluster_map(local, cluster_adjacencies(known, merge))
     return ClusterModel(eps, min_points, relabel_union(points.select("id"), known, whole), partitions.boxes, points)
 
 
+def _cut_labels(points: DataFrame, partitions: Partitions, eps: float, min_points: int) -> DataFrame:
+    """What :func:`local_labels` gives, for the cut cells as one partition (pid -1), by the
+    graph of cells: copies to leaves would grow with the square of what a cell holds."""
+    copies = written(cut_copies(points, partitions, eps), "copies")
+    core, inside, next_to = cell_clusters(copies, eps, min_points)
+    named = inside.union(next_to).groupBy("id").agg(F.collect_set("component").alias("clusters"))
+    known = copies.select("id", "home").join(core.withColumn("core", F.lit(True)), "id", "left").join(named, "id", "left")
+    none = F.array().cast("array<long>")
+    return known.select(F.lit(-1).alias("pid"), "id", "home", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("clusters", none).alias("clusters"))
+
+
 def local_labels(copies: DataFrame, eps: float, min_points: int) -> DataFrame:
     """Clusters of each partition's copies apart: pid, id, home, core (here), and the names
     of the local clusters that a copy is in or next to. A local cluster has the name of
