@@ -2,10 +2,12 @@
 
 Hierarchical pair naming. Texts are kept as blocks of word places. A frequent word of a
 language gets an id; then, level by level, two adjacent frequent (k-1)-grams make a
-k-gram, which is named by that pair. Each block counts its own distinct pairs, Spark adds
-them up, and the frequent ones get ids that are joined back to the blocks in which they
-occur: a phrase of k words can only be frequent where both its (k-1)-grams are, so that
-places without a frequent one drop out. No n-gram is ever a row of its own.
+k-gram, which is named by that pair. Each block counts its own distinct pairs and sends
+them, packed and dealt to ranges by their hash, to where a range's pairs of all blocks are
+added up; the frequent ones get ids, and each block is answered which of its pairs those
+are: a phrase of k words can only be frequent where both its (k-1)-grams are, so that
+places without a frequent one drop out. No n-gram is ever a row of its own, and no pair of
+a block is one.
 
 A pair is a k-gram's two parents. Following the first ones gives what it begins with,
 following the second ones what it ends with, so the counts of all its cuts come from
@@ -24,22 +26,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwell.llm.text import give_back
+from gridwell.llm.text import give_back, mix
 from gridwell.session import drop_written, passing, written
 
 #: Bytes of text in a block, if a single text isn't longer.
 BLOCK_BYTES = 6 << 20
 #: Bits of the filter that drops what can't be frequent before a shuffle.
 MOST_BITS = 1 << 24
+#: Ranges of pairs at least, and places of grams that a range counts for.
+LEAST_RANGES, GRAMS_A_RANGE = 64, 2 << 20
 #: Parts in which a language's phrases are ranked before they meet.
 PARTS = 64
 
 #: A-Z in lower case, breaks between pieces as line feeds, tabs as spaces.
 _PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x0A if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c for c in range(256))
 
-_BLOCK = "block long, place binary, code binary, name binary"
-_WORDS = "block long, lang string, word string, code int, n long"
-_PAIRS = "block long, a long, b long, n long"
+_BLOCK = "block long, grams long, place binary, code binary, name binary"
+_ASKED = "range int, block long, a binary, b binary, n binary"
+_COUNTED = "block long, range int, kept binary, ids binary, id long, a long, b long, f long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +112,46 @@ def _places(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.int32).astype(np.int64))
 
 
-_NO_BLOCK = pa.table({"block": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("place", "code", "name")}})
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on as the planes of their bytes, compressed."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(values).to_bytes(7, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:7], "little"), data[7]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8")[:, 0]
+
+
+def _squeezed_rising(values: np.ndarray) -> bytes:
+    return _squeezed(np.diff(values, prepend=0))
+
+
+def _rising(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data))
+
+
+def _squeezed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_blocks`` with places and codes in little space."""
+    for batch in _blocks(batches):
+        place, codes = batch.column(5)[0].as_py(), batch.column(6)[0].as_py()
+        if codes is not None:
+            small = [_squeezed_rising(_places(place)), _squeezed(np.frombuffer(codes, np.int32))]
+            batch = pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([x], pa.binary()) for x in small)], batch.schema.names)
+        yield batch
+
+
+_NO_BLOCK = pa.table({"block": pa.array([], pa.int64()), "grams": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("place", "code", "name")}})
 
 
 def _renamed(block: int, place: np.ndarray, name: np.ndarray) -> pa.Table:
     names, code = np.unique(name, return_inverse=True)
-    row = {"block": pa.array([block], pa.int64())}
-    row |= {c: pa.array([v], pa.binary()) for c, v in (("place", _packed(place)), ("code", code.astype(np.int32).tobytes()), ("name", names.astype(np.int64).tobytes()))}
+    row = {"block": pa.array([block], pa.int64()), "grams": pa.array([len(place)], pa.int64())}
+    row |= {c: pa.array([v], pa.binary()) for c, v in (("place", _squeezed_rising(place)), ("code", _squeezed(code)), ("name", _squeezed_rising(names)))}
     return pa.table(row)
 
 
@@ -122,45 +159,102 @@ def _words_named(key: tuple, block: pa.Table, named: pa.Table) -> pa.Table:
     """A block's places that have frequent words, with the words' ids."""
     if not block.num_rows or not named.num_rows:
         return _NO_BLOCK
-    code = np.frombuffer(block.column("codes")[0].as_py(), np.int32)
+    code = _numbers(block.column("codes")[0].as_py())
     ids = np.full(int(code.max()) + 1, -1, np.int64)
     ids[named.column("code").to_numpy()] = named.column("id").to_numpy()
     name = ids[code]
     kept = name >= 0
-    return _renamed(key[0].as_py(), _places(block.column("place")[0].as_py())[kept], name[kept])
-
+    return _renamed(key[0].as_py(), _rising(block.column("place")[0].as_py())[kept], name[kept])
+
+
+class _Pairs:
+    """A block's pairs of adjacent grams: the first one's ``place`` and the number ``of``
+    its distinct pair, and of each distinct pair a, b, ``n``; by a and b, and dealt to ranges."""
+
+    def __init__(self, place: bytes, code: bytes, name: bytes, ranges: int):
+        places, codes, names = _rising(place), _numbers(code), _rising(name)
+        next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
+        self.place = places[next_to]
+        keys, self.of, self.n = np.unique(codes[next_to] * len(names) + codes[next_to + 1], return_inverse=True, return_counts=True)
+        self.a, self.b = names[keys // max(1, len(names))], names[keys % max(1, len(names))]
+        hashed = mix(mix(self.a.astype(np.uint64)) + self.b.astype(np.uint64)) % np.uint64(ranges)
+        self.order = np.argsort(hashed, kind="stable")
+        self.ends = np.searchsorted(hashed[self.order], np.arange(ranges + 1, dtype=np.uint64))
+
+    def range(self, k: int) -> np.ndarray:
+        """The distinct pairs of a range, by a and b."""
+        return self.order[self.ends[k] : self.ends[k + 1]]
+
+
+def _asked(ranges: int):
+    """Each block's distinct pairs, a row for each range that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs = _Pairs(row["place"], row["code"], row["name"], ranges)
+                some = [k for k in range(ranges) if pairs.ends[k] < pairs.ends[k + 1]]
+                own = [pairs.range(k) for k in some]
+                packed = ([_squeezed_rising(pairs.a[i]) for i in own], [_squeezed(pairs.b[i]) for i in own], [_squeezed(pairs.n[i]) for i in own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.repeat(pa.scalar(row["block"], pa.int64()), len(some)), *(pa.array(c, pa.binary()) for c in packed)], ["range", "block", "a", "b", "n"]
+                )
+            give_back()
+
+    return run
+
+
+def _counted(least: int):
+    """The frequent pairs of a range with ids of their own, and for each block that has
+    any of them which of its pairs they are, and their ids."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        first = key[0].as_py() << 32
+        a = [_rising(x) for x in asked.column("a").to_pylist()]
+        ends = np.cumsum([len(x) for x in a])
+        a, b, n = np.concatenate(a), *(np.concatenate([_numbers(x) for x in asked.column(c).to_pylist()]) for c in "bn")
+        order = np.lexsort((b, a))
+        new = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))
+        start = np.flatnonzero(new)
+        f = np.add.reduceat(n[order], start)
+        often = f >= least
+        ids = np.where(often, np.cumsum(often) - 1, -1)
+        found = np.empty(len(a), np.int64)
+        found[order] = ids[np.cumsum(new) - 1]
+        rows = [(block, own >= 0, own[own >= 0]) for block, own in zip(asked.column("block").to_pylist(), np.split(found, ends[:-1]), strict=True)]
+        rows = [(block, _squeezed(np.packbits(kept)), _squeezed_rising(own)) for block, kept, own in rows if len(own)]
+        at, some = order[start[often]], int(often.sum())
+        answers = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+        no = lambda k, *types: [pa.nulls(k, t) for t in types]
+        long, raw = pa.int64(), pa.binary()
+        names = [f.split()[0] for f in _COUNTED.split(", ")]
+        return pa.concat_tables(
+            [
+                pa.table([answers[0], pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(rows)), *answers[1:], *no(len(rows), long, long, long, long)], names),
+                pa.table([*no(some, long, pa.int32(), raw, raw), pa.array(first + np.arange(some)), pa.array(a[at]), pa.array(b[at]), pa.array(f[often])], names),
+            ]
+        )
 
-def _adjacent(place: bytes, code: bytes, name: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where two grams follow each other: the first one's place, the pairs by number, and the names."""
-    places, codes, names = _places(place), np.frombuffer(code, np.int32).astype(np.int64), np.frombuffer(name, np.int64)
-    next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-    return places[next_to], codes[next_to] * len(names) + codes[next_to + 1], names
+    return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct pairs of adjacent grams."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, key, names = _adjacent(row["place"], row["code"], row["name"])
-            keys, n = np.unique(key, return_counts=True)
-            for at in range(0, len(keys), 1 << 16):
-                k = keys[at : at + (1 << 16)]
-                a, b = names[k // len(names)], names[k % len(names)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["block"], pa.int64()), len(k)), pa.array(a), pa.array(b), pa.array(n[at : at + len(k)].astype(np.int64))], ["block", "a", "b", "n"])
+def _pairs_named(ranges: int):
+    """A block's places that begin frequent pairs, with the pairs' ids."""
 
+    def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows or not answers.num_rows:
+            return _NO_BLOCK
+        pairs = _Pairs(*(block.column(c)[0].as_py() for c in ("place", "code", "name")), ranges)
+        ids = np.full(len(pairs.a), -1, np.int64)
+        for row in answers.to_pylist():
+            own = pairs.range(row["range"])
+            kept = np.unpackbits(_numbers(row["kept"]).astype(np.uint8), count=len(own)).astype(bool)
+            ids[own[kept]] = (row["range"] << 32) + _rising(row["ids"])
+        name = ids[pairs.of]
+        kept = name >= 0
+        return _renamed(key[0].as_py(), pairs.place[kept], name[kept])
 
-def _pairs_named(key: tuple, block: pa.Table, named: pa.Table) -> pa.Table:
-    """A block's places that begin frequent pairs, with the pairs' ids."""
-    if not block.num_rows or not named.num_rows:
-        return _NO_BLOCK
-    place, pair, names = _adjacent(*(block.column(c)[0].as_py() for c in ("place", "code", "name")))
-    a, b, ids = (named.column(c).to_numpy() for c in ("a", "b", "id"))
-    known = np.searchsorted(names, a) * len(names) + np.searchsorted(names, b)
-    order = np.argsort(known)
-    known, ids = known[order], ids[order]
-    at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-    kept = known[at] == pair
-    return _renamed(key[0].as_py(), place[kept], ids[at[kept]])
+    return run
 
 
 def _with_ids(counted: DataFrame, name: str) -> DataFrame:
@@ -220,7 +314,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
 
 def _collocations(docs: DataFrame, longest: int, least: int, most: int) -> DataFrame:
     source = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    made = written(source.mapInArrow(_blocks, "block long, lang string, word string, code int, n long, place binary, codes binary"), "blocks", "zstd")
+    made = written(source.mapInArrow(_squeezed_blocks, "block long, lang string, word string, code int, n long, place binary, codes binary"), "blocks", "zstd")
     words = made.where("codes is null").select("block", "lang", "word", "code", "n")
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     counted = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
@@ -231,15 +325,15 @@ def _collocations(docs: DataFrame, longest: int, least: int, most: int) -> DataF
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("begins"), F.array().cast("array<long>").alias("ends"))
     levels = []
     for k in range(2, longest + 1):
-        pairs = written(blocks.mapInArrow(_pairs, _PAIRS), "pairs", "zstd")
-        counted = pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = _with_ids(counted, "named")
-        level = written(_longer(frequent, level), "level")
+        ranges = max(LEAST_RANGES, -(-(blocks.agg(F.sum("grams")).first()[0] or 0) // GRAMS_A_RANGE))
+        asked = blocks.mapInArrow(_asked(ranges), _ASKED)
+        counted = written(asked.groupBy("range").applyInArrow(_counted(least), _COUNTED), "counted", "zstd")
+        level = written(_longer(counted.where("block is null").select("id", "a", "b", "f"), level), "level")
         levels.append(level)
         if k < longest:
-            named = _among(pairs.select("block", "a", "b"), frequent, "a", "b").join(frequent, ["a", "b"]).select(F.col("block").alias("of"), "a", "b", "id")
-            after = written(blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_pairs_named, _BLOCK), "places", "zstd")
-            drop_written(blocks, pairs)
+            answers = counted.where("block is not null").select(F.col("block").alias("of"), "range", "kept", "ids")
+            after = written(blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_pairs_named(ranges), _BLOCK), "places", "zstd")
+            drop_written(blocks, counted)
             blocks = after
     found = []
     for k, level in enumerate(levels, 2):

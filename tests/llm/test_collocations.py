@@ -115,3 +115,32 @@ def test_plan_has_no_loops_and_no_single_task(spark):
     df = spark.createDataFrame(corpus(3, n=10), "text string, lang string")
     plan = collocations._collocations(df, 4, 2, 50)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
+
+
+def test_no_row_for_a_pair_of_a_block(spark, monkeypatch):
+    """Pairs travel packed by range: many blocks that share all their words make a row for
+    each block and range, and no join of pairs."""
+    monkeypatch.setattr(collocations, "LEAST_RANGES", 3)
+    rows, made = {}, collocations.written
+
+    def seen(df, name, *more):
+        out = made(df, name, *more)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "written", seen)
+    docs = [(" ".join(f"w{(i * 7 + j * j) % 40}" for j in range(400)), "en") for i in range(40)]
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(8)
+    assert sorted(map(tuple, collocations.collocations(df, 3, 4, 50).collect())) == brute(docs, 3, 4, 50)
+    # answers of 3 ranges to 8 blocks, and the frequent pairs themselves
+    assert [n <= 3 * 8 + level for n, level in zip(rows["counted"][-2:], rows["level"], strict=True)] == [True, True] and "pairs" not in rows
+
+
+def test_numbers_in_little_space_come_back():
+    import numpy as np
+
+    for values in ([], [0], [0, 0, 3], [255, 256, 1 << 40], [(1 << 62) + 5, 0]):
+        assert collocations._numbers(collocations._squeezed(np.array(values, np.int64))).tolist() == values
+    rising = np.array([3, 3, 70_000, 1 << 50])
+    assert collocations._rising(collocations._squeezed_rising(rising)).tolist() == rising.tolist()
+    assert len(collocations._squeezed_rising(np.arange(100_000))) < 1000
