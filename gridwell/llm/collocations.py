@@ -1,7 +1,7 @@
 """Collocations: phrases whose words stand together more often than their parts would by chance.
 
 Hierarchical pair naming. Texts are kept as blocks of word places. A frequent word of a
-language gets an id; then, level by level, two adjacent frequent (k-1)-grams make a
+language gets an id, in the way of the pairs below; then, level by level, two adjacent frequent (k-1)-grams make a
 k-gram, which is named by that pair. Each block counts its own distinct pairs and sends
 them, packed and dealt to ranges by their hash, to where a range's pairs of all blocks are
 added up; the frequent ones get ids, and each block is answered which of its pairs those
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,8 @@ from gridwell.session import drop_written, passing, written
 
 #: Bytes of text in a block, if a single text isn't longer.
 BLOCK_BYTES = 6 << 20
-#: Bits of the filter that drops what can't be frequent before a shuffle.
-MOST_BITS = 1 << 24
-#: Ranges of pairs at least, and places of grams that a range counts for.
-LEAST_RANGES, GRAMS_A_RANGE = 64, 2 << 20
+#: Ranges at least, and the blocks' words and places of grams that a range counts for.
+LEAST_RANGES, WORDS_A_RANGE, GRAMS_A_RANGE = 64, 1 << 20, 2 << 20
 #: Parts in which a language's phrases are ranked before they meet.
 PARTS = 64
 
@@ -42,6 +41,9 @@ PARTS = 64
 _PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x0A if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c for c in range(256))
 
 _BLOCK = "block long, grams long, place binary, code binary, name binary"
+_MADE = "block long, words long, langs array<string>, lang binary, size binary, word binary, n binary, place binary, codes binary"
+_WORDS_ASKED = "range int, block long, langs array<string>, lang binary, size binary, word binary, n binary, codes binary"
+_WORDS_COUNTED = "block long, codes binary, ids binary, id long, lang string, word string, f long"
 _ASKED = "range int, block long, a binary, b binary, n binary"
 _COUNTED = "block long, range int, kept binary, ids binary, id long, a long, b long, f long"
 
@@ -136,13 +138,91 @@ def _rising(data: bytes) -> np.ndarray:
 
 
 def _squeezed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_blocks`` with places and codes in little space."""
+    """Each block of ``_blocks`` as one row, in little space; its words by their codes."""
+    held: list[pa.RecordBatch] = []
     for batch in _blocks(batches):
+        held.append(batch)
         place, codes = batch.column(5)[0].as_py(), batch.column(6)[0].as_py()
-        if codes is not None:
-            small = [_squeezed_rising(_places(place)), _squeezed(np.frombuffer(codes, np.int32))]
-            batch = pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([x], pa.binary()) for x in small)], batch.schema.names)
-        yield batch
+        if codes is None:
+            continue
+        table = pa.Table.from_batches(held[:-1]).combine_chunks()
+        held = []
+        lang = table.column("lang").chunk(0).dictionary_encode()
+        raw = table.column("word").chunk(0).cast(pa.large_binary()).to_pylist()
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        row = [_squeezed(lang.indices.to_numpy()), _squeezed(sizes), pa.compress(b"".join(raw), "zstd", asbytes=True), _squeezed(table.column("n").to_numpy())]
+        row += [_squeezed_rising(_places(place)), _squeezed(np.frombuffer(codes, np.int32))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(raw)], pa.int64()), pa.array([lang.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in row)], _names(_MADE)
+        )
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _unpacked(size: bytes, word: bytes) -> pa.LargeBinaryArray:
+    ends = _rising(size)
+    raw = pa.decompress(word, int(ends[-1]), "zstd", asbytes=True)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(raw)])
+
+
+def _words_asked(ranges: int):
+    """Each block's distinct words, a row for each range that has any, by their codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, lang, n = _unpacked(row["size"], row["word"]), _numbers(row["lang"]), _numbers(row["n"])
+                hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)) % np.uint64(ranges)
+                order = np.argsort(hashed, kind="stable")
+                ends = np.searchsorted(hashed[order], np.arange(ranges + 1, dtype=np.uint64))
+                raw = words.take(pa.array(order)).to_pylist()
+                out: list[tuple] = []
+                for k, (i, j) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+                    if i < j:
+                        own, some = order[i:j], raw[i:j]
+                        sizes = np.fromiter(map(len, some), np.int64, len(some))
+                        out.append((k, row["block"], row["langs"], _squeezed(lang[own]), _squeezed(sizes), pa.compress(b"".join(some), "zstd", asbytes=True), _squeezed(n[own]), _squeezed_rising(own)))
+                types = [pa.int32(), pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _names(_WORDS_ASKED))
+            give_back()
+
+    return run
+
+
+def _words_counted(least: int):
+    """The frequent words of a range with ids of their own, the number of all words of
+    each language (without a word), and for each block the codes and ids of its frequent ones."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        first, rows = key[0].as_py() << 32, asked.to_pylist()
+        langs = sorted({x for r in rows for x in r["langs"]})
+        place = {x: i for i, x in enumerate(langs)}
+        lang = np.concatenate([np.array([place[x] for x in r["langs"]])[_numbers(r["lang"])] for r in rows])
+        n = np.concatenate([_numbers(r["n"]) for r in rows])
+        words = pa.concat_arrays([_unpacked(r["size"], r["word"]) for r in rows]).dictionary_encode()
+        keys, of = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(langs) + lang, return_inverse=True)
+        # exact up to 2^53 occurrences
+        f = np.bincount(of, n, len(keys)).astype(np.int64)
+        often = f >= least
+        found = np.where(often, np.cumsum(often) - 1, -1)[of]
+        codes = [_rising(r["codes"]) for r in rows]
+        answers = [(r["block"], c[own >= 0], own[own >= 0]) for r, c, own in zip(rows, codes, np.split(found, np.cumsum([len(c) for c in codes])[:-1]), strict=True)]
+        answers = [(block, _squeezed_rising(c), _squeezed(first + own)) for block, c, own in answers if len(own)]
+        own, total = keys[often], np.bincount(lang, n, len(langs)).astype(np.int64)
+        names = words.dictionary.take(pa.array(own // len(langs))).cast(pa.binary()).cast(pa.string())
+        no = lambda k, *types: [pa.nulls(k, t) for t in types]
+        long, raw, text = pa.int64(), pa.binary(), pa.string()
+        return pa.concat_tables(
+            [
+                pa.table([*(pa.array([r[i] for r in answers], t) for i, t in enumerate((long, raw, raw))), *no(len(answers), long, text, text, long)], _names(_WORDS_COUNTED)),
+                pa.table([*no(len(own), long, raw, raw), pa.array(first + np.arange(len(own))), pa.array([langs[i] for i in own % len(langs)], text), names, pa.array(f[often])], _names(_WORDS_COUNTED)),
+                pa.table([*no(len(langs), long, raw, raw, long), pa.array(langs, text), *no(len(langs), text), pa.array(total)], _names(_WORDS_COUNTED)),
+            ]
+        )
+
+    return run
 
 
 _NO_BLOCK = pa.table({"block": pa.array([], pa.int64()), "grams": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("place", "code", "name")}})
@@ -161,7 +241,8 @@ def _words_named(key: tuple, block: pa.Table, named: pa.Table) -> pa.Table:
         return _NO_BLOCK
     code = _numbers(block.column("codes")[0].as_py())
     ids = np.full(int(code.max()) + 1, -1, np.int64)
-    ids[named.column("code").to_numpy()] = named.column("id").to_numpy()
+    for row in named.to_pylist():
+        ids[_rising(row["codes"])] = _numbers(row["ids"])
     name = ids[code]
     kept = name >= 0
     return _renamed(key[0].as_py(), _rising(block.column("place")[0].as_py())[kept], name[kept])
@@ -227,7 +308,7 @@ def _counted(least: int):
         answers = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
         no = lambda k, *types: [pa.nulls(k, t) for t in types]
         long, raw = pa.int64(), pa.binary()
-        names = [f.split()[0] for f in _COUNTED.split(", ")]
+        names = _names(_COUNTED)
         return pa.concat_tables(
             [
                 pa.table([answers[0], pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(rows)), *answers[1:], *no(len(rows), long, long, long, long)], names),
@@ -257,21 +338,9 @@ def _pairs_named(ranges: int):
     return run
 
 
-def _with_ids(counted: DataFrame, name: str) -> DataFrame:
-    """Rows with a number of their own, written so that it stays."""
-    return written(counted.withColumn("id", F.monotonically_increasing_id()), name)
-
-
-def _among(rows: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` without most of those whose keys ``names`` doesn't have, told before they
-    are shuffled by a bitmap of the keys' hashes: 16 bits a name, ``MOST_BITS`` at most."""
-    bits = min(MOST_BITS, max(1 << 13, 1 << (16 * names.count()).bit_length()))
-    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    # at most MOST_BITS / 64 rows
-    words = names.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits"))
-    met = rows.withColumn("at", F.shiftright(at, 6)).join(F.broadcast(words), "at")
-    return met.where(F.col("bits").bitwiseAND(bit) != 0).drop("at", "bits")
+def _ranges(blocks: DataFrame, held: str, most: int) -> int:
+    """How many ranges the words or grams that blocks hold are dealt to, ``most`` to each."""
+    return max(LEAST_RANGES, -(-(blocks.agg(F.sum(held)).first()[0] or 0) // most))
 
 
 def _longer(pairs: DataFrame, below: DataFrame) -> DataFrame:
@@ -314,18 +383,19 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, most: int
 
 def _collocations(docs: DataFrame, longest: int, least: int, most: int) -> DataFrame:
     source = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    made = written(source.mapInArrow(_squeezed_blocks, "block long, lang string, word string, code int, n long, place binary, codes binary"), "blocks", "zstd")
-    words = made.where("codes is null").select("block", "lang", "word", "code", "n")
-    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    counted = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    frequent = _with_ids(counted, "words")
-    named = _among(words.select("block", "lang", "word", "code"), frequent, "lang", "word").join(frequent, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id")
-    places = made.where("codes is not null").select("block", "place", "codes")
-    blocks = written(places.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_words_named, _BLOCK), "places", "zstd")
+    made = written(source.mapInArrow(_squeezed_blocks, _MADE), "blocks", "zstd")
+    asked = made.drop("words", "place", "codes").mapInArrow(_words_asked(_ranges(made, "words", WORDS_A_RANGE)), _WORDS_ASKED)
+    counted = written(asked.groupBy("range").applyInArrow(_words_counted(least), _WORDS_COUNTED), "words", "zstd")
+    total = counted.where("block is null and word is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = counted.where("word is not null").select("id", "lang", "word", "f")
+    answers = counted.where("block is not null").select(F.col("block").alias("of"), "codes", "ids")
+    places = made.select("block", "place", "codes")
+    blocks = written(places.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_words_named, _BLOCK), "places", "zstd")
+    drop_written(made)
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("begins"), F.array().cast("array<long>").alias("ends"))
     levels = []
     for k in range(2, longest + 1):
-        ranges = max(LEAST_RANGES, -(-(blocks.agg(F.sum("grams")).first()[0] or 0) // GRAMS_A_RANGE))
+        ranges = _ranges(blocks, "grams", GRAMS_A_RANGE)
         asked = blocks.mapInArrow(_asked(ranges), _ASKED)
         counted = written(asked.groupBy("range").applyInArrow(_counted(least), _COUNTED), "counted", "zstd")
         level = written(_longer(counted.where("block is null").select("id", "a", "b", "f"), level), "level")

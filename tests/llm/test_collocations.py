@@ -144,3 +144,21 @@ def test_numbers_in_little_space_come_back():
     rising = np.array([3, 3, 70_000, 1 << 50])
     assert collocations._rising(collocations._squeezed_rising(rising)).tolist() == rising.tolist()
     assert len(collocations._squeezed_rising(np.arange(100_000))) < 1000
+
+
+def test_no_row_for_a_word_of_a_block(spark, monkeypatch):
+    """Words travel packed by range, too, and blocks are answered in rows of ranges."""
+    monkeypatch.setattr(collocations, "LEAST_RANGES", 3)
+    rows, made = {}, collocations.written
+
+    def seen(df, name, *more):
+        out = made(df, name, *more)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "written", seen)
+    docs = [(" ".join(f"w{(i + j) % 500} " for j in range(500)), ("en", "de", None)[i % 3]) for i in range(24)]
+    df = spark.createDataFrame(docs, "text string, lang string").repartition(8)
+    assert sorted(map(tuple, collocations.collocations(df, 2, 6, 50).collect())) == brute(docs, 2, 6, 50)
+    # a row for each block; 500 words of three languages, their totals, answers of 3 ranges to 8 blocks
+    assert rows["blocks"] <= 8 and rows["words"] <= 3 * 500 + 3 * 3 + 3 * 8
