@@ -15,8 +15,10 @@ _PAIRS_AT_ONCE = 1 << 20
 _COMPARED = 1 << 12
 #: Points of a leaf of the tree, at most.
 _LEAF = 32
-#: Edges that wait before a forest takes them in.
-_EDGES_AT_ONCE = 1 << 21
+#: Pairs of points and pairs of leaves that the tree compares at once.
+_NEAREST_AT_ONCE, _LEAVES_AT_ONCE = 1 << 16, 1 << 7
+#: Edges beyond its own that wait before a forest takes them in.
+_EDGES_AT_ONCE = 1 << 17
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -273,9 +275,13 @@ class _Tree:
             if len(own) >= k:
                 # k points of its own leaf bound how far a point has to look
                 limit = min(limit, self._kth(own, own, k).max())
+                if limit == 0:
+                    # all in places of k points, however many more are there
+                    out[self.order[own]] = 0
+                    continue
             among = self._held(self.leaves(leaf, limit))
             if len(among) >= k:
-                rows = max(1, _PAIRS_AT_ONCE // len(among))
+                rows = max(1, _NEAREST_AT_ONCE // len(among))
                 for at in range(0, len(own), rows):
                     some = own[at : at + rows]
                     out[self.order[some]] = self._kth(some, among, k)
@@ -410,7 +416,7 @@ class _Forest:
         open_ = (self.label[a] != self.label[b]) | (w <= self.most[self.label[a]])
         self.wait.append((w[open_], a[open_], b[open_]))
         self.waiting += int(open_.sum())
-        if self.waiting >= _EDGES_AT_ONCE:
+        if self.waiting >= _EDGES_AT_ONCE + len(self.edges[0]):
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -427,17 +433,97 @@ class _Forest:
         return self.edges
 
 
+class _Reach:
+    """Pairs of a partition's core points by mutual reachability, in a tree of the points.
+
+    Nodes are looked at in pairs from the root down. A pair is left out if it lies too far
+    apart, or if both nodes are of one component; of two nodes that are of a component
+    each, if two others of the same components are surely as near.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, core2: np.ndarray, eps: float):
+        self.tree = tree = _Tree(x, y, eps)
+        self.least = [np.minimum.reduceat(core2[tree.order], b[:-1]) for b in tree.bounds]
+        # leaves side by side; what fills them up compares as false
+        held = np.arange(_LEAF) < tree.size[:, None]
+        self.place = tree.order[np.where(held, tree.first[:, None] + np.arange(_LEAF), 0)]
+        self.x, self.y = (np.where(held, v[self.place], np.nan) for v in (x, y))
+        self.core2 = core2[self.place]
+
+    def _weights(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        dx, dy = (v[a][:, :, None] - v[b][:, None, :] for v in (self.x, self.y))
+        return np.maximum(np.maximum(self.core2[a][:, :, None], self.core2[b][:, None, :]), dx * dx + dy * dy)
+
+    def radii(self) -> np.ndarray:
+        """Rising squared radii up to eps, each four times the one before, from where few leaves have any pair."""
+        least = []
+        for at in range(0, len(self.place), _LEAVES_AT_ONCE):
+            own = np.arange(at, min(at + _LEAVES_AT_ONCE, len(self.place)))
+            w = self._weights(own, own)
+            least.append(np.where(w > 0, w, np.inf).min((1, 2)))
+        first = np.quantile(np.concatenate(least), 0.01, method="lower")
+        halvings = int(np.clip(np.log2(self.tree.limit / first) // 2, 0, 40)) if np.isfinite(first) else 0
+        return self.tree.limit / 4.0 ** np.arange(halvings, -1, -1)
+
+    def between(self, label: np.ndarray, high: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(w, i, j) of weights up to ``high``, with the least of each two components of ``label`` among them."""
+        tree, own = self.tree, label[self.tree.order]
+        a = b = np.zeros(1, np.int64)
+        for level, (bounds, box, least) in enumerate(zip(tree.bounds, tree.boxes, self.least, strict=True)):
+            if level:
+                two = a != b
+                a, b = np.concatenate([2 * a, 2 * a, 2 * a + 1, 2 * a[two] + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b + 1, 2 * b[two]])
+            low, top = np.minimum.reduceat(own, bounds[:-1]), np.maximum.reduceat(own, bounds[:-1])
+            x1, x2, y1, y2 = (v[b] for v in box)
+            core2 = np.maximum(least[a], least[b])
+            near = np.maximum(tree._gap(tuple(v[a] for v in box), x1, x2, y1, y2), core2)
+            ok = (near <= high) & ((low[a] != top[b]) | (top[a] != low[b]))
+            a, b, near, core2 = a[ok], b[ok], near[ok], core2[ok]
+            most = np.full(len(a), high)
+            single = np.flatnonzero((low[a] == top[a]) & (low[b] == top[b]))
+            if len(single):
+                i, j = a[single], b[single]
+                dx, dy = (np.maximum(v2[i] - v1[j], v2[j] - v1[i]) for v1, v2 in (box[:2], box[2:]))
+                pair = np.minimum(low[i], low[j]) * len(label) + np.maximum(low[i], low[j])
+                names, at = np.unique(pair, return_inverse=True)
+                bound = np.full(len(names), high)
+                np.minimum.at(bound, at, np.maximum(dx * dx + dy * dy, core2[single]))
+                most[single] = bound[at]
+                ok = near <= most
+                a, b, near, most = a[ok], b[ok], near[ok], most[ok]
+        label, order = label[self.place], np.argsort(near, kind="stable")
+        once = np.triu(np.ones((_LEAF, _LEAF), bool), 1)
+        for at in range(0, len(order), _LEAVES_AT_ONCE):
+            some = order[at : at + _LEAVES_AT_ONCE]
+            i, j = a[some], b[some]
+            w = self._weights(i, j)
+            ok = (w <= most[some][:, None, None]) & (label[i][:, :, None] != label[j][:, None, :])
+            ok[i == j] &= once
+            k, m, n = np.nonzero(ok)
+            yield w[k, m, n], self.place[i[k], m], self.place[j[k], n]
+
+
 def partition_forest(group: pd.DataFrame, eps: float) -> pd.DataFrame:
-    """(i, j, w), i < j: the minimum spanning forest of the pairs within eps of which one is
-    home here, weighed by squared mutual reachability. Reads id, x, y, home, core2."""
+    """(i, j, w), i < j: those edges of the minimum spanning forest of all pairs within eps of
+    which one end is home here, weighed by squared mutual reachability. Reads id, x, y, home, core2.
+
+    By rising radii: what lesser edges have joined is compared no more. Memory goes with
+    the points, not with their pairs.
+    """
     group = group.sort_values("id", ignore_index=True)
     x, y, ids, home, core2 = (group[c].to_numpy() for c in ("x", "y", "id", "home", "core2"))
-    forest = _Forest(len(group))
-    for i, j in _Cells(x, y, eps).blocks(np.flatnonzero(home)):
-        # a pair of two own points is met from both ends
-        once = (i < j) | ~home[j] & (i != j)
-        i, j = i[once], j[once]
-        dx, dy = x[i] - x[j], y[i] - y[j]
-        forest.add(np.maximum(np.maximum(core2[i], core2[j]), dx * dx + dy * dy), np.minimum(i, j), np.maximum(i, j))
-    w, a, b = forest.settle()
-    return pd.DataFrame({"i": ids[a], "j": ids[b], "w": w})
+    # core points in one place, at no distance from enough others: a star around the least id
+    place = np.flatnonzero(core2 == 0)
+    place = place[np.lexsort((place, y[place], x[place]))]
+    new = np.append(True, (np.diff(x[place]) != 0) | (np.diff(y[place]) != 0))[: len(place)]
+    centre = place[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    star = centre[~new], place[~new]
+    kept = np.delete(np.arange(len(group)), star[1])
+    reach, forest = _Reach(x[kept], y[kept], core2[kept], eps), _Forest(len(kept))
+    for high in reach.radii():
+        for w, i, j in reach.between(forest.label, high):
+            forest.add(w, np.minimum(i, j), np.maximum(i, j))
+        w, a, b = forest.settle()
+    w, a, b = np.append(w, np.zeros(len(star[0]))), np.append(kept[a], star[0]), np.append(kept[b], star[1])
+    own = home[a] | home[b]
+    return pd.DataFrame({"i": ids[a[own]], "j": ids[b[own]], "w": w[own]})

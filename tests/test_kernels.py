@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,49 @@ def test_forest_by_blocks_against_kruskal(monkeypatch, at_once):
     assert set(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) == kruskal(edges)
 
 
+@pytest.mark.parametrize("name", [*CLOUDS, "crowds", "copies"])
+def test_partition_forest_against_kruskal(name):
+    own = np.random.default_rng(9)
+    crowds = np.concatenate([own.normal(0, 1e-4, (150, 2)), own.normal(0.02, 1e-4, (150, 2)), own.random((30, 2)) * 0.1])
+    copies = np.repeat(own.integers(0, 9, (60, 2)) * 0.1, own.integers(1, 12, 60), axis=0)
+    x, y = CLOUDS[name] if name in CLOUDS else {"crowds": crowds, "copies": copies}[name].T
+    for eps in (0.05, 0.5):
+        group = pd.DataFrame({"id": 3 * own.permutation(len(x)), "x": x, "y": y, "home": True})
+        group = group.merge(local.kth_distances(group, eps, 5), on="id")
+        if group.empty:
+            continue
+        i, v, w, c = (group[n].to_numpy() for n in ("id", "x", "y", "core2"))
+        d2 = distances(v, w)
+        weight = np.maximum(np.maximum(c[:, None], c), d2)
+        a, b = np.nonzero((d2 <= eps * eps) & (i[:, None] < i))
+        want = kruskal(list(zip(i[a].tolist(), i[b].tolist(), weight[a, b].tolist(), strict=True)))
+        assert {tuple(r) for r in local.partition_forest(group, eps).itertuples(index=False)} == want
+        group["home"] = group["x"] > group["x"].median()
+        home = set(group["id"][group["home"]])
+        assert {tuple(r) for r in local.partition_forest(group, eps).itertuples(index=False)} == {e for e in want if home & {*e[:2]}}
+
+
+def test_forest_of_a_crowd_holds_points_not_pairs():
+    """5,000 points within eps of each other: 25 million pairs."""
+    x, y = np.random.default_rng(3).normal(0, 0.005, (2, 5_000))
+    group = pd.DataFrame({"id": np.arange(len(x)), "x": x, "y": y, "home": True})
+    tracemalloc.start()
+    try:
+        forest = local.partition_forest(group.merge(local.kth_distances(group, 0.05, 5), on="id"), 0.05)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(forest) == len(x) - 1 and most < 32e6
+
+
+def test_tree_leaves_copies_of_one_place_alone(monkeypatch):
+    """20,000 copies of a point: no leaf looks beyond itself."""
+    asked = []
+    held = local._Tree._held
+    monkeypatch.setattr(local._Tree, "_held", lambda self, leaves: asked.append(len(leaves)) or held(self, leaves))
+    assert not local._Tree(np.full(20_000, 1.0), np.full(20_000, 2.0), 0.5).kth(5).any() and not asked
+
+
 def test_forest_of_many_tasks_against_kruskal(spark):
     rng = random.Random(12)
     edges = [(rng.randrange(90), rng.randrange(90), float(rng.randrange(5))) for _ in range(600)]
