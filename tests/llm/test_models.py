@@ -52,6 +52,16 @@ def test_odd_rows(spark, odd, none):
     assert lm.score_documents(none).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(12,2)"])
+def test_ids_are_dealt_by_their_own_text(spark, texts, kind):
+    """'007' is not 7: an id's CRC-32 is that of its text as it stands."""
+    name = "concat('00', doc_id)" if kind == "string" else "doc_id"
+    some = spark.createDataFrame(list(texts.items())[:40], "doc_id long, text string").selectExpr(f"CAST({name} AS {kind}) AS doc_id", "text")
+    got = lm.score_documents(some).collect()
+    assert any(r["held_out"] for r in got) and not all(r["held_out"] for r in got)
+    check_base([(r["doc_id"], r["text"]) for r in some.collect()], got)
+
+
 def test_model_beats_its_base_on_held_out_texts(small):
     out = [r for r in small[1] if r["held_out"]]
     n = sum(r["n_tokens"] for r in out)
