@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from gridwell.llm import decontam, neardup, packing, quality, secrets
 from gridwell.llm.queries import vocabulary_path
-from gridwell.session import scratch_path, ship, table, written
+from gridwell.session import CHAIN_BATCH_BYTES, scratch_path, ship, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tail probability is high enough."""
-    ship(spark)
+    ship(spark, CHAIN_BATCH_BYTES)
     return quality.select(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -26,7 +26,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Where a doc_id repeats or is null, each row is a document of its own; a null doc_id
     comes last. Rows without words are in no group and all stay.
     """
-    ship(spark)
+    ship(spark, CHAIN_BATCH_BYTES)
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
         kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
         return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
@@ -42,19 +42,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    ship(spark)
+    ship(spark, CHAIN_BATCH_BYTES)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kinds."""
-    ship(spark)
+    ship(spark, CHAIN_BATCH_BYTES)
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' tokens in sequences of 2048."""
-    ship(spark)
+    ship(spark, CHAIN_BATCH_BYTES)
     return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
 
 

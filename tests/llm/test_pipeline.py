@@ -1,9 +1,11 @@
 """Each stage on its own input, against brute force."""
 
+import pyarrow as pa
+
 import corpus_pipeline
 from gridwell.llm.decontam import WINDOW
 from gridwell.llm.text import alnum_words
-from gridwell.session import written
+from gridwell.session import ship, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +94,21 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_get_small_batches(spark):
+    """Workers hold several times a batch, beside what an executor kept of earlier stages."""
+    texts = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('some words of a text ', 10000) as text")
+    small = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "rows"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "minhash near-dedup":  # the slowest; it ships as the others do
+            stage(spark, small, SF)
+            found = texts.mapInArrow(sizes, "size long, rows long").collect()
+            assert sum(r["rows"] for r in found) == 40
+            assert max(r["size"] for r in found) <= (2 << 20) + 250_000, name
+            ship(spark)
