@@ -261,3 +261,17 @@ def test_classifier_on_repeated_rows_and_ties(spark):
     model = quality.Model(np.zeros(quality.DIMENSIONS, np.float32), np.array([-1.0, 0.0]))
     # a tail probability that equals the limit is kept
     assert quality.select(docs, model).count() == 4 and quality.select(docs, model).columns == docs.columns
+
+
+def test_normalisers_of_some_words_are_for_all_states():
+    """Parts are rows of words, so that exponentials of words are worked out once for all states."""
+    rng = np.random.default_rng(3)
+    some = lambda *n: rng.normal(0, 2, n).astype(np.float32)
+    size = 3 * lm.WORDS_AT_ONCE + 5
+    p = lm.Parameters(some(size + 1, lm.WIDTH), some(lm.STATES, lm.WIDTH), some(lm.WIDTH, lm.WIDTH), some(lm.WIDTH, lm.WIDTH), some(size, lm.WIDTH), some(size))
+    # scores of hundreds: the largest of words and of states lie at other targets
+    s = ((p.word @ p.first)[None].astype(float) + (p.state @ p.second)[:, None]) @ p.target.T + p.bias
+    most = s.max(2, keepdims=True)
+    want = (most + np.log(np.exp(s - most).sum(2, keepdims=True)))[:, :, 0]
+    assert lm.normalisers(p) == pytest.approx(want, rel=1e-5, abs=1e-3)
+    assert lm.normalisers(p, range(130, 390)) == pytest.approx(want[:, 130:390], rel=1e-5, abs=1e-3)
